@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -178,7 +180,7 @@ def cooldown(
     fields = {f.name: f.dataType.simpleString() for f in attempts.schema.fields}
     keys = "".join(f"`{k}` {fields[k]}, " for k in by)
 
-    def reaction(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def reaction(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["_us"].to_numpy())
         hops = _hops(times, wait)
         final = np.empty(len(times), dtype=np.int64)
@@ -197,7 +199,7 @@ def cooldown(
         reaction, f"{keys}_slice bigint, _upto bigint, _final bigint"
     )
 
-    def follow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def follow(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_slice", "_upto"])
         slices, starts = np.unique(pdf["_slice"].to_numpy(), return_index=True)
         upto, final = pdf["_upto"].to_numpy(), pdf["_final"].to_numpy()
@@ -217,7 +219,7 @@ def cooldown(
     entries = reactions.groupBy(*by).applyInPandas(follow, f"{keys}_slice bigint, _enter bigint")
     rows = attempts.join(entries, [*by, "_slice"])
 
-    def decide(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def decide(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_us").reset_index(drop=True)
         times, hops = pdf["_us"].to_numpy(), _hops(pdf["_us"].to_numpy(), wait)
         accepted = np.zeros(len(times), dtype=bool)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Column names of the wide telemetry file, in file order.
 FEATURE_NAMES = [
     "message_rate",
@@ -35,45 +33,45 @@ MODEL_FEATURES = [
 ]
 
 
-def _columns(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+# Schemas are column lists as Spark's readers take them.
+
+
+def features(names: list[str] = FEATURE_NAMES) -> str:
+    return "timestamp string, workload_type int, " + ", ".join(f"`{name}` double" for name in names)
 
 
-def features(names: list[str] = FEATURE_NAMES) -> T.StructType:
-    return T.StructType(
-        [T.StructField("timestamp", T.StringType()), T.StructField("workload_type", T.IntegerType())]
-        + [T.StructField(name, T.DoubleType()) for name in names]
-    )
+def _only(schema: str, keep) -> str:
+    return ", ".join(column for i, column in enumerate(schema.split(", ")) if keep(i, column.split(" ")[0]))
 
 
-RECOVERY = _columns(
+RECOVERY = (
     "timestamp string, strategy string, workload_type string, config_source string, "
     "recovery_time_seconds double, cpu_usage_percent double, memory_usage_percent double, "
     "broker_url string, result string, under_replicated_before int, under_replicated_after int, "
     "offline_before int, offline_after int, details string, applied_config string"
 )
-RECOVERY_OLD = T.StructType([f for f in RECOVERY if f.name not in ("config_source", "applied_config")])
-RECOVERY_CURATED = T.StructType(list(RECOVERY)[:7])
+RECOVERY_OLD = _only(RECOVERY, lambda _, name: name not in ("config_source", "applied_config"))
+RECOVERY_CURATED = _only(RECOVERY, lambda i, _: i < 7)
 RECOVERY_VERSIONS = {"full": RECOVERY, "old": RECOVERY_OLD, "curated": RECOVERY_CURATED}
 
-EXPERIMENT = _columns(
+EXPERIMENT = (
     "experiment_id string, timestamp string, scenario string, run_number int, workload_type string, "
     "arms_strategy boolean, strategy string, broker_url string, recovery_time_seconds double, "
     "cpu_usage_percent double, memory_usage_percent double, message_rate_before double, "
     "message_rate_during double, message_rate_after double, under_replicated_before double, "
     "under_replicated_after double, offline_before double, offline_after double, result string, details string"
 )
-PROGRESS = _columns(
+PROGRESS = (
     "timestamp string, workload_type string, message_rate double, payload_size_bytes double, "
     "batch_size int, cpu_usage double, memory_usage double"
 )
-CLASSIFICATION = _columns("timestamp string, selected_strategy string")
-STRATEGY = _columns(
+CLASSIFICATION = "timestamp string, selected_strategy string"
+STRATEGY = (
     "timestamp double, strategy string, workload_type string, config map<string,string>, confidence double"
 )
-SAMPLES = _columns("ts timestamp, metric string, labels map<string,string>, value double, kind string")
+SAMPLES = "ts timestamp, metric string, labels map<string,string>, value double, kind string"
 
-MESSAGE = _columns(
+MESSAGE = (
     "taxonomy struct<latency_sensitivity:string,data_criticality:string,processing_pattern:string,"
     "resource_intensity:string>, "
     "metadata struct<source_id:string,timestamp:string,sample_rate:int,num_channels:int,"

@@ -43,7 +43,7 @@ def read_recovery(spark: SparkSession, path: str, version: str = "full", header:
 
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     rows = _csv(spark, path, schemas.EXPERIMENT)
-    numbers = [f.name for f in schemas.EXPERIMENT if f.dataType.typeName() == "double" and f.name != "recovery_time_seconds"]
+    numbers = [name for name, kind in rows.dtypes if kind == "double" and name != "recovery_time_seconds"]
     return nullify_sentinels(rows, numbers=numbers).withColumn("timestamp", parse_ts("timestamp"))
 
 
