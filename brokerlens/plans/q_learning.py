@@ -47,9 +47,20 @@ def m3(spark, sf):
     return rounded(features.mutual_information(classes(spark, sf), CLASS_FEATURES, LABEL), ["mi"], 6)
 
 
-@query("m3_information_neighbours")
+# Every pair of rows is compared here, which only a small table allows. Digamma of n is the (n - 1)-th harmonic number, less a constant.
+_NEIGHBOURS = f"""WITH {_LONG}, ln AS (SELECT feature, label, v, row_number() OVER () AS id, count(*) OVER (PARTITION BY feature) AS t, count(*) OVER (PARTITION BY feature, label) AS c FROM lng),
+    h AS (SELECT i AS n, sum(CASE WHEN i > 1 THEN 1 / (i - 1) ELSE 0 END) OVER (ORDER BY i) AS psi FROM range(1, (SELECT count(*) + 2 FROM cls)) r(i)),
+    d AS (SELECT a.feature, a.id, a.v, a.t, a.c, abs(a.v - b.v) AS d, row_number() OVER (PARTITION BY a.feature, a.id ORDER BY abs(a.v - b.v)) AS i
+          FROM ln a JOIN ln b ON a.feature = b.feature AND a.label = b.label AND a.id <> b.id),
+    r AS (SELECT * FROM d WHERE i = least(3, c - 1)),
+    m AS (SELECT r.feature, r.id, r.t, r.c, count(*) FILTER (CASE WHEN r.d = 0 THEN o.v = r.v ELSE abs(o.v - r.v) < r.d END) AS m FROM r JOIN ln o ON r.feature = o.feature GROUP BY ALL)
+    SELECT feature, round(greatest(any_value(ht.psi) + avg(hk.psi - hc.psi - hm.psi), 0), 5) AS mi FROM m JOIN h ht ON ht.n = t JOIN h hk ON hk.n = least(3, c - 1)
+      JOIN h hc ON hc.n = c JOIN h hm ON hm.n = m GROUP BY feature"""
+
+
+@query("m3_information_neighbours", _NEIGHBOURS)
 def m3_neighbours(spark, sf):
-    return features.mutual_information(classes(spark, sf), CLASS_FEATURES, LABEL, "neighbours")
+    return rounded(features.mutual_information(classes(spark, sf), CLASS_FEATURES, LABEL, "neighbours"), ["mi"], 5)
 
 
 def scores(rows):
@@ -186,11 +197,11 @@ _CELLS = "cel AS (" + " UNION ALL ".join(
 _TWO_WAY = f"""WITH {ANALYSED_SQL}, {_CELLS},
     da AS (SELECT metric, b, max(m) FILTER (a = 'ARMS') - max(m) FILTER (a = 'baseline') AS d, 1 / sum(1 / n) AS w FROM cel GROUP BY metric, b),
     db AS (SELECT metric, a, max(m) FILTER (b = 'batch') - max(m) FILTER (b = 'real-time') AS d, 1 / sum(1 / n) AS w FROM cel GROUP BY metric, a),
-    ta AS (SELECT metric, sum(w * d) * sum(w * d) / sum(w) AS main, sum(w * d * d) - sum(w * d) * sum(w * d) / sum(w) AS both FROM da GROUP BY metric),
+    ta AS (SELECT metric, sum(w * d) * sum(w * d) / sum(w) AS main, sum(w * d * d) - sum(w * d) * sum(w * d) / sum(w) AS crossed FROM da GROUP BY metric),
     tb AS (SELECT metric, sum(w * d) * sum(w * d) / sum(w) AS main FROM db GROUP BY metric),
     er AS (SELECT metric, sum(ss) AS ss, sum(n) - count(*) AS df FROM cel GROUP BY metric),
     al AS (SELECT metric, 'configuration' AS term, main AS q, 1 AS d FROM ta UNION ALL SELECT metric, 'workload_strategy', main, 1 FROM tb
-      UNION ALL SELECT metric, 'configuration:workload_strategy', both, 1 FROM ta UNION ALL SELECT metric, 'Residual', ss, df FROM er)
+      UNION ALL SELECT metric, 'configuration:workload_strategy', crossed, 1 FROM ta UNION ALL SELECT metric, 'Residual', ss, df FROM er)
     SELECT al.metric, term, CAST(d AS DOUBLE) AS df, round(q, 4) AS sum_sq, CASE WHEN term <> 'Residual' THEN round(q / (er.ss / er.df), 4) END AS f FROM al JOIN er ON al.metric = er.metric"""
 
 

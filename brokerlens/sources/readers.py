@@ -62,10 +62,13 @@ def read_strategy(spark: SparkSession, path: str) -> DataFrame:
     return known.withColumn("timestamp", F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("bigint")))
 
 
-def read_results(spark: SparkSession, path: str, value_type: str = "string") -> DataFrame:
-    """Result files that map keys to values, one row per entry; a missing path gives no rows."""
+def read_results(spark: SparkSession, path: str, value_type: str = "string", lines: bool = False) -> DataFrame:
+    """Result files that map keys to values, one row per entry; a missing path gives no rows.
+
+    A file is one JSON object, or with ``lines`` one object per line.
+    """
     try:
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.option("wholetext", not lines).text(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
