@@ -91,10 +91,8 @@ def nullify_sentinels(df: DataFrame, text: list[str] = (), numbers: list[str] =
 
 
 def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Fill NULLs with the column mean; a column without values stays NULL. The means are one row."""
-    means = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_mean_{c}")) for c in columns}
-    return df.join(F.broadcast(means)).withColumns(filled).select(*df.columns)
+    """Fill NULLs with the column mean, a scalar subquery; a column without values stays NULL."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), df.agg(F.avg(c)).scalar()) for c in columns})
 
 
 def where(df: DataFrame, condition: Column | str) -> DataFrame:

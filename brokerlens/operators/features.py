@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brokerlens.operators.ranks import _buckets, counted_ranks, cut_points, placed, with_offsets
+from brokerlens.operators.ranks import bucket_count, counted, cut_points, placed, ranked, with_offsets
 from brokerlens.operators.summary import no_nan
 
 
@@ -30,18 +30,18 @@ def spearman(df: DataFrame, features: list[str], label: str) -> DataFrame:
     centred on their known mean so that sums of squares stay accurate.
     """
     rows = long_features(df, features, label)
-    counts = rows.groupBy("feature", "value", "label").agg(F.count("*").alias("n"))
-    ranks = counted_ranks(rows, "value", ["feature"], ["feature"]).select("feature", "value", "rank", "n_all")
-    classes = counts.groupBy("feature", "label").agg(F.sum("n").alias("n"))
+    ranks = ranked(counted(rows, "value", ["feature"], ["feature"], ["label"]), "value", ["feature"])
+    x, n = F.col("rank") - (F.col("n_all") + 1) / 2, F.col("n")
+    # A label contributes through the sum of its centred feature ranks, so only classes are left to rank.
+    classes = ranks.groupBy("feature", "label").agg(
+        F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * x * x).alias("xx"), F.max("n_all").alias("n_all")
+    )
     below = W.partitionBy("feature").orderBy("label").rowsBetween(W.unboundedPreceding, -1)
-    label_rank = F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2
-    label_ranks = classes.select("feature", "label", label_rank.alias("label_rank"))
-    x = F.col("rank") - (F.col("n_all") + 1) / 2
-    y = F.col("label_rank") - (F.col("n_all") + 1) / 2
-    joined = counts.join(ranks, ["feature", "value"]).join(label_ranks, ["feature", "label"])
-    n = F.col("n")
-    sums = joined.groupBy("feature").agg(
-        F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy")
+    label_rank = F.coalesce(F.sum("n").over(below), F.lit(0)) + (n + 1) / 2
+    classes = classes.withColumn("y", label_rank - (F.col("n_all") + 1) / 2)
+    y = F.col("y")
+    sums = classes.groupBy("feature").agg(
+        F.sum(F.col("x") * y).alias("xy"), F.sum("xx").alias("xx"), F.sum(n * y * y).alias("yy")
     )
     found = sums.select("feature", F.abs(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy")))).alias("spearman"))
     return _all_features(df, features).join(found, "feature", "left")
@@ -79,15 +79,10 @@ def mutual_information(
 
 
 def _binned(rows: DataFrame, bins: int) -> DataFrame:
-    ranks = counted_ranks(rows, "value", ["feature"], ["feature"])
+    ranks = ranked(counted(rows, "value", ["feature"], ["feature"], ["label"]), "value", ["feature"])
     # Equal values share their smallest rank and so their bin.
     bin_of = F.floor(F.col("n_before") * bins / F.col("n_all")).alias("bin")
-    counts = rows.groupBy("feature", "value", "label").agg(F.count("*").alias("n"))
-    cells = (
-        counts.join(ranks.select("feature", "value", bin_of), ["feature", "value"])
-        .groupBy("feature", "bin", "label")
-        .agg(F.sum("n").cast("double").alias("n"))
-    )
+    cells = ranks.groupBy("feature", bin_of, "label").agg(F.sum("n").cast("double").alias("n"))
     total = F.sum("n").over(W.partitionBy("feature"))
     in_bin = F.sum("n").over(W.partitionBy("feature", "bin"))
     in_class = F.sum("n").over(W.partitionBy("feature", "label"))
@@ -107,7 +102,7 @@ def _kth_distance(window: W, k: int) -> Column:
 
 
 def _neighbours(rows: DataFrame, k: int) -> DataFrame:
-    buckets = _buckets(rows)
+    buckets = bucket_count(rows)
     cuts = cut_points(rows, "value", ["feature"], buckets)
     counts = rows.groupBy("feature", "label", "value").agg(F.count("*").alias("n"))
     counts = placed(counts, "value", ["feature"], cuts, buckets)
@@ -121,34 +116,31 @@ def _neighbours(rows: DataFrame, k: int) -> DataFrame:
     whole_class = W.partitionBy("feature", "label").orderBy("value", "_copy")
     edge = place.filter(rim).withColumn("_r", _kth_distance(whole_class, k)).filter(~inner)
     radii = place.filter(inner).unionByName(edge)
+    # A class of one row has no neighbour, and so no radius; it takes no further part.
     radii = radii.groupBy("feature", "label", "value").agg(F.max("n").alias("n"), F.max("_r").alias("radius"))
-    classes = counts.groupBy("feature", "label").agg(F.sum("n").alias("n_class"))
-    radii = radii.join(classes, ["feature", "label"]).filter("n_class > 1")
+    radii = radii.filter("radius IS NOT NULL")
     # Points strictly inside the radius: those below the upper end, less those not above the lower end.
     points = radii.groupBy("feature", "value").agg(F.sum("n").alias("here"))
-    ends = radii.select(
-        "feature", "label", F.col("value").alias("at"), "n", "n_class", "radius",
-        F.explode(
-            F.array(
-                F.struct((F.col("value") + F.col("radius")).alias("value"), F.lit(1).alias("side")),
-                F.struct((F.col("value") - F.col("radius")).alias("value"), F.lit(-1).alias("side")),
-            )
-        ).alias("_e"),
-    ).select("feature", "label", "at", "n", "n_class", "radius", "_e.value", "_e.side")
+    both = F.array(
+        F.struct((F.col("value") + F.col("radius")).alias("end"), F.lit(1).alias("side")),
+        F.struct((F.col("value") - F.col("radius")).alias("end"), F.lit(-1).alias("side")),
+    )
+    ends = radii.select("feature", "label", F.col("value").alias("at"), "n", "radius", F.explode(both).alias("_e"))
+    ends = ends.select("feature", "label", "at", "n", "radius", F.col("_e.end").alias("value"), "_e.side")
     wanted = ends.select("feature", "value").distinct().withColumn("here", F.lit(0).cast("bigint"))
     line = points.unionByName(wanted).groupBy("feature", "value").agg(F.sum("here").alias("here"))
     line = with_offsets(placed(line, "value", ["feature"], cuts, buckets), ["feature"], "value", ["here"])
-    line = line.select("feature", "value", F.col("here_before").alias("below"), "here")
-    met = ends.join(line, ["feature", "value"])
+    met = ends.join(line.select("feature", "value", F.col("here_before").alias("below"), "here"), ["feature", "value"])
     count = F.sum(F.when(F.col("side") == 1, F.col("below")).otherwise(-(F.col("below") + F.col("here"))))
-    inside = met.groupBy("feature", "label", "at", "n", "n_class", "radius").agg(count.alias("m"))
-    same = points.select("feature", F.col("value").alias("at"), "here")
-    inside = inside.join(same, ["feature", "at"])
-    m = F.greatest(F.when(F.col("radius") == 0, F.col("here")).otherwise(F.col("m")), F.lit(1))
-    kk = F.least(F.lit(k), F.col("n_class") - 1)
-    n = F.col("n")
-    term = (_digamma(kk) - _digamma(F.col("n_class")) - _digamma(m)) * n
-    sums = inside.groupBy("feature").agg(F.sum(term).alias("s"), F.sum(n).alias("t"))
+    inside = met.groupBy("feature", "label", "at", "n", "radius").agg(count.alias("m"))
+    # At radius 0 both ends are the point itself, which leaves its copies, counted negatively.
+    m = F.greatest(F.when(F.col("radius") == 0, -F.col("m")).otherwise(F.col("m")), F.lit(1))
+    cells = inside.groupBy("feature", "label").agg(
+        F.sum("n").alias("n_class"), F.sum(F.col("n") * _digamma(m)).alias("psi_m")
+    )
+    size = F.col("n_class")
+    term = size * (_digamma(F.least(F.lit(k), size - 1)) - _digamma(size)) - F.col("psi_m")
+    sums = cells.groupBy("feature").agg(F.sum(term).alias("s"), F.sum("n_class").alias("t"))
     return sums.select("feature", F.greatest(_digamma(F.col("t")) + F.col("s") / F.col("t"), F.lit(0.0)).alias("mi"))
 
 

@@ -174,9 +174,8 @@ def around_events(
 
 def within_period(df: DataFrame, period: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Rows inside the closed [start, end] of a one-row period table."""
-    bounds = period.agg(F.min("recovery_start").alias("_start"), F.max("recovery_end").alias("_end"))
-    inside = (F.col(ts) >= F.col("_start")) & (F.col(ts) <= F.col("_end"))
-    return df.join(F.broadcast(bounds), inside).drop("_start", "_end")
+    start, end = period.agg(F.min("recovery_start")).scalar(), period.agg(F.max("recovery_end")).scalar()
+    return df.filter((F.col(ts) >= start) & (F.col(ts) <= end))
 
 
 def compare_configs(df: DataFrame, metric: str, by: list[str], config: str = "configuration") -> DataFrame:

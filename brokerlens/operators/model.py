@@ -12,14 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brokerlens.functions.scalars import CLASS_NAMES, missing_feature
+from brokerlens.operators.ranks import bucket_count
 
 
-def class_positions(df: DataFrame, label: str, ids: list[str], seed: int = 42, buckets: int = 64) -> DataFrame:
+def class_positions(df: DataFrame, label: str, ids: list[str], seed: int = 42, buckets: int | None = None) -> DataFrame:
     """Add ``_position`` (from 1, in seeded hash order) and ``_size`` within each class.
 
     Hashes are spread evenly, so equal hash ranges of a class are equal shares of
     it: a window numbers one range, and range totals supply the offset.
     """
+    buckets = buckets or bucket_count(df)
     hashed = F.xxhash64(F.lit(seed), *[F.col(c) for c in ids])
     rows = df.withColumn("_hash", hashed).withColumn("_range", F.shiftright(F.col("_hash"), 64 - buckets.bit_length() + 1))
     totals = rows.groupBy(label, "_range").agg(F.count("*").alias("_n"))
@@ -63,12 +65,9 @@ def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataF
 
 def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns standardised by their own mean and population deviation, without an action."""
-    stats = df.agg(
-        *[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(f"_{c}") for c in columns]
-    )
-    std = {c: F.when(F.col(f"_{c}.std") == 0, 1.0).otherwise(F.col(f"_{c}.std")) for c in columns}
-    joined = df.join(F.broadcast(stats))
-    return joined.withColumns({c: (F.col(c) - F.col(f"_{c}.mean")) / std[c] for c in columns}).select(*df.columns)
+    std = {c: F.nullif(df.agg(F.stddev_pop(c)).scalar(), F.lit(0.0)) for c in columns}
+    mean = {c: df.agg(F.avg(c)).scalar() for c in columns}
+    return df.withColumns({c: (F.col(c) - mean[c]) / F.coalesce(std[c], F.lit(1.0)) for c in columns})
 
 
 def _scaling_stage(scaler: dict[str, tuple[float, float]]) -> SQLTransformer:

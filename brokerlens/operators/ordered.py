@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DEFAULT_SLICE = 3600.0
+# Short slices keep tasks small; a year of one key is still only 105,120 seed rows.
+DEFAULT_SLICE = 300.0
 
 
 def micros(seconds: float) -> int:
@@ -98,9 +99,12 @@ def last_seen(
     return out.select("*", *added).filter(~F.col("_seed")).select(*rows.columns, *marks)
 
 
-def running_totals(rows: DataFrame, keys: list[str], columns: list[str], width: float = DEFAULT_SLICE) -> DataFrame:
-    """Replace each column by its running sum over time within the key."""
-    cut = sliced(rows, width).select(*keys, "_slice", "_us", *columns)
+def running_totals(
+    rows: DataFrame, keys: list[str], columns: list[str], width: float = DEFAULT_SLICE, keep: dict[str, str] = {}
+) -> DataFrame:
+    """Replace each column by its running sum over time within the key; ``keep`` also copies columns unsummed."""
+    copies = [F.col(source).alias(name) for source, name in keep.items()]
+    cut = sliced(rows, width).select(*keys, "_slice", "_us", *columns, *copies)
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(c) for c in columns])
     seeds = totals.select(
@@ -113,7 +117,7 @@ def running_totals(rows: DataFrame, keys: list[str], columns: list[str], width:
         W.partitionBy(*keys, "_slice").orderBy(F.col("_us").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     )
     return (
-        cut.unionByName(seeds)
-        .select(*keys, "_us", *[F.sum(c).over(window).alias(c) for c in columns])
+        cut.unionByName(seeds, allowMissingColumns=True)
+        .select(*keys, "_us", *[F.sum(c).over(window).alias(c) for c in columns], *keep.values())
         .filter(F.col("_us").isNotNull())
     )

@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _buckets(df: DataFrame) -> int:
+def bucket_count(df: DataFrame) -> int:
+    """A power of two near the session's number of shuffle partitions."""
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return min(4096, 1 << max(wanted - 1, 1).bit_length())
 
@@ -75,64 +76,87 @@ def placed(df: DataFrame, value: str, groups: list[str], cuts, buckets: int) ->
 
 
 def with_offsets(counted: DataFrame, keys: list[str], value: str, weights: list[str]) -> DataFrame:
-    """Add, per weight, ``<weight>_before`` (sum over smaller values) and ``<weight>_all`` (sum of the key).
+    """Add, per weight, its sum over smaller values (``_before``), equal ones (``_here``) and the key (``_all``).
 
-    ``counted`` holds one row per (keys, value) with a ``_bucket``.
+    ``counted`` has a ``_bucket`` and may hold several rows per (keys, value).
+    Both windows share one shuffle and one sort.
     """
-    inside = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    up_to = W.partitionBy(*keys, "_bucket").orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow)
+    equal = W.partitionBy(*keys, "_bucket", value)
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
     sums = counted.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(w) for w in weights])
     offsets = sums.select(
         *keys,
         "_bucket",
         *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"_{w}_offset") for w in weights],
-        *[F.sum(w).over(whole).alias(f"{w}_all") for w in weights],
+        *[F.sum(w).over(W.partitionBy(*keys)).alias(f"{w}_all") for w in weights],
     )
-    ranked = counted.select("*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"{w}_before") for w in weights])
+    ranked = counted
+    for w in weights:
+        ranked = ranked.withColumn(f"{w}_before", F.sum(w).over(up_to)).withColumn(f"{w}_here", F.sum(w).over(equal))
     joined = ranked.join(offsets, [*keys, "_bucket"])
     for w in weights:
-        joined = joined.withColumn(f"{w}_before", F.col(f"{w}_before") + F.col(f"_{w}_offset")).drop(f"_{w}_offset")
+        before = F.col(f"{w}_before") - F.col(f"{w}_here") + F.col(f"_{w}_offset")
+        joined = joined.withColumn(f"{w}_before", before).drop(f"_{w}_offset")
     return joined
 
 
-def counted_ranks(df: DataFrame, value: str, keys: list[str], groups: list[str] = (), buckets: int | None = None):
-    """One row per (keys, value): ``n`` copies, ``n_before`` smaller ones, ``n_all`` in the key, average ``rank``.
+def counted(
+    df: DataFrame, value: str, keys: list[str], groups: list[str] = (), extra: list[str] = (), buckets: int | None = None
+) -> DataFrame:
+    """One row per (keys, value, extra) with its number of copies ``n`` and its ``_bucket``.
 
     NULL and NaN values are left out. ``groups`` is the part of the keys, few in
     number, whose values live on different scales and so need cuts of their own.
     """
-    buckets = buckets or _buckets(df)
+    buckets = buckets or bucket_count(df)
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     cuts = cut_points(clean, value, list(groups), buckets)
-    counted = clean.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    counted = placed(counted, value, list(groups), cuts, buckets)
-    ranked = with_offsets(counted, list(keys), value, ["n"])
-    return ranked.withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2).drop("_bucket")
+    counts = clean.groupBy(*keys, value, *extra).agg(F.count("*").alias("n"))
+    return placed(counts, value, list(groups), cuts, buckets)
+
+
+def ranked(counts: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Counted rows with ``n_before`` smaller, ``n_here`` equal, ``n_all`` rows of the key, and the average ``rank``."""
+    return with_offsets(counts, list(keys), value, ["n"]).withColumn(
+        "rank", F.col("n_before") + (F.col("n_here") + 1) / 2
+    )
 
 
 def average_rank(df: DataFrame, value: str, by: list[str] = (), groups: list[str] = (), name: str = "rank"):
     """Each row with the average rank of its value in its group; ties share the mean rank."""
-    ranks = counted_ranks(df, value, list(by), groups).select(*by, value, F.col("rank").alias(name))
+    ranks = ranked(counted(df, value, list(by), groups), value, list(by)).select(*by, value, F.col("rank").alias(name))
     return df.join(ranks, [*by, value], "left")
 
 
-def exact_quantiles(df: DataFrame, value: str, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per key plus ``n``, from ranked counts."""
-    ranked = counted_ranks(df, value, keys)
-    index = {name: F.lit(q) * (F.col("n_all") - 1) for name, q in quantiles.items()}
+def exact_quantiles(counts: DataFrame, value: str, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles per key plus ``total``, from counted rows."""
+    rows = ranked(counts, value, keys)
 
     def at(position: Column) -> Column:
         hit = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
         return F.max(F.when(hit, F.col(value)))
 
     sides = []
-    for name, position in index.items():
+    for name, q in quantiles.items():
+        position = F.lit(q) * (F.col("n_all") - 1)
         sides += [at(F.floor(position)).alias(f"{name}_low"), at(F.ceil(position)).alias(f"{name}_high")]
-    found = ranked.groupBy(*keys).agg(F.max("n_all").alias("n"), *sides)
+    found = rows.groupBy(*keys).agg(F.max("n_all").alias("total"), *sides)
     out = []
     for name, q in quantiles.items():
-        position = F.lit(q) * (F.col("n") - 1)
+        position = F.lit(q) * (F.col("total") - 1)
         low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
         out.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return found.select(*keys, "n", *out)
+    return found.select(*keys, "total", *out)
+
+
+def lookup(df: DataFrame, small: DataFrame, keys: list[str], spread: int | None = None) -> DataFrame:
+    """Inner join to one row per group, for groups so few or uneven that joining on them alone would pile up.
+
+    Rows are dealt out by a hash of their values, the group rows repeated once per share.
+    """
+    spread = spread or bucket_count(df)
+    hashable = [name for name, kind in df.dtypes if "map<" not in kind]
+    dealt = df.withColumn("_share", F.pmod(F.xxhash64(*hashable), F.lit(spread)).cast("int"))
+    repeated = small.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return dealt.join(repeated, [*keys, "_share"]).drop("_share")

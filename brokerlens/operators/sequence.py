@@ -241,8 +241,7 @@ def every_nth(
     kept, by = list(by), list(by) or ["_all"]
     df = df if kept else df.withColumn("_all", F.lit(0))
     steps = instants(df, by, ts, {"messages": F.count("*"), "bytes": F.sum(size)})
-    totals = running_totals(steps, by, ["messages", "bytes"], width)
-    totals = totals.join(steps.select(*by, "_us", F.col("messages").alias("_here")), [*by, "_us"])
+    totals = running_totals(steps, by, ["messages", "bytes"], width, keep={"messages": "_here"})
     start = df.groupBy(*by).agg(F.min(F.unix_micros(F.col(ts).cast("timestamp"))).alias("_start"))
     before = F.floor((F.col("messages") - F.col("_here")) / F.lit(n))
     now = F.floor(F.col("messages") / F.lit(n))

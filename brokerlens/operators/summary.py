@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brokerlens.operators.joins import PAIR
-from brokerlens.operators.ranks import exact_quantiles
+from brokerlens.operators.ranks import bucket_count, counted, exact_quantiles, lookup
 
 METRICS = ["recovery_time_seconds", "cpu_usage_percent", "memory_usage_percent"]
 FUNCTIONS = {
@@ -141,38 +141,39 @@ def box_stats(df: DataFrame, keys: list[str], metric: str, exact: bool = True) -
     """Quartiles, and whiskers at the outermost values within 1.5 interquartile ranges.
 
     Exact quartiles come from distributed ranks; ``exact=False`` uses a sketch.
+    Fences are met per (group, value bucket), so a large group stays spread out.
     """
-    rows = df.filter(F.col(metric).isNotNull())
+    counts = counted(df, metric, keys)
     if exact:
-        quartiles = exact_quantiles(rows, metric, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+        quartiles = exact_quantiles(counts, metric, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     else:
         sketch = F.percentile_approx(metric, [0.25, 0.5, 0.75]).alias("_q")
-        quartiles = rows.groupBy(*keys).agg(F.count("*").alias("n"), sketch)
-        names = ["q1", "median", "q3"]
-        quartiles = quartiles.select(*keys, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    # Copies of a value collapse before the join, so it is as small as the distinct values.
-    values = rows.groupBy(*keys, metric).agg(F.count("*").alias("_copies"))
+        quartiles = df.groupBy(*keys).agg(F.count(metric).alias("total"), sketch)
+        quartiles = quartiles.select(*keys, "total", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     spread = F.col("q3") - F.col("q1")
     fences = quartiles.withColumn("_low", F.col("q1") - 1.5 * spread).withColumn("_high", F.col("q3") + 1.5 * spread)
+    buckets = F.sequence(F.lit(0), F.lit(bucket_count(df) - 1))
+    fences = fences.withColumn("_bucket", F.explode(buckets)).withColumnRenamed("total", "_total")
     inside = F.col(metric).between(F.col("_low"), F.col("_high"))
-    names = ["n", "q1", "median", "q3"]
+    names = {"_total": "n", "q1": "q1", "median": "median", "q3": "q3"}
     return (
-        values.join(fences, keys)
+        counts.join(fences, [*keys, "_bucket"])
         .groupBy(*keys)
         .agg(
-            *[F.first(n).alias(n) for n in names],
+            *[F.first(source).alias(name) for source, name in names.items()],
             F.min(F.when(inside, F.col(metric))).alias("whisker_low"),
             F.max(F.when(inside, F.col(metric))).alias("whisker_high"),
-            F.sum(F.when(~inside, F.col("_copies")).otherwise(0)).alias("outliers"),
+            F.sum(F.when(~inside, F.col("n")).otherwise(0)).alias("outliers"),
         )
     )
 
 
 def box_outliers(df: DataFrame, keys: list[str], metric: str, exact: bool = True) -> DataFrame:
     """The rows outside the whiskers of their group."""
-    stats = box_stats(df, keys, metric, exact).select(*keys, "whisker_low", "whisker_high")
-    outside = (F.col(metric) < F.col("whisker_low")) | (F.col(metric) > F.col("whisker_high"))
-    return df.join(stats, keys).filter(outside).select(*df.columns)
+    ends = [F.col("whisker_low").alias("_low"), F.col("whisker_high").alias("_high")]
+    stats = box_stats(df, keys, metric, exact).select(*keys, *ends)
+    outside = (F.col(metric) < F.col("_low")) | (F.col(metric) > F.col("_high"))
+    return lookup(df, stats, keys).filter(outside).select(*df.columns)
 
 
 def resource_long(df: DataFrame, keys: list[str], columns: list[str], fns: list[str] = ("mean", "max")) -> DataFrame:

@@ -74,8 +74,7 @@ def read_latest(spark: SparkSession, path: str, schema, before: int | None = Non
     rows = spark.read.schema(stored).parquet(path)
     if before is not None:
         rows = rows.filter(F.col("version") < before)
-    newest = rows.agg(F.max("version").alias("version"))
-    return rows.join(F.broadcast(newest), "version").select(*schema.names)
+    return rows.filter(F.col("version") == rows.agg(F.max("version")).scalar()).select(*schema.names)
 
 
 def latest_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str] = (), ts: str = "ts"):
