@@ -23,30 +23,48 @@ def _all_features(df: DataFrame, features: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
 
 
-def spearman(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Absolute rank correlation of each feature with the label; a constant feature gets NULL.
+def feature_scores(df: DataFrame, features: list[str], label: str, bins: int = 16) -> DataFrame:
+    """Absolute rank correlation and binned mutual information of each feature, in one pass.
 
-    Everything is computed on counts per (feature, value, label), with ranks
-    centred on their known mean so that sums of squares stay accurate.
+    Counts per (feature, value, label) are ranked once; what is kept of them is one
+    row per (feature, bin, label). Ranks are centred on their known mean so that
+    sums of squares stay accurate. A constant feature has no rank correlation.
     """
     rows = long_features(df, features, label)
     ranks = ranked(counted(rows, "value", ["feature"], ["feature"], ["label"]), "value", ["feature"])
     x, n = F.col("rank") - (F.col("n_all") + 1) / 2, F.col("n")
-    # A label contributes through the sum of its centred feature ranks, so only classes are left to rank.
-    classes = ranks.groupBy("feature", "label").agg(
-        F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * x * x).alias("xx"), F.max("n_all").alias("n_all")
+    # Equal values share their smallest rank and so their bin.
+    bin_of = F.floor(F.col("n_before") * bins / F.col("n_all")).alias("bin")
+    cells = ranks.groupBy("feature", bin_of, "label").agg(
+        F.sum("n").alias("n"), F.sum(n * x).alias("x"), F.sum(n * x * x).alias("xx"), F.max("n_all").alias("t")
     )
+    in_bin = F.sum("n").over(W.partitionBy("feature", "bin"))
+    in_class = F.sum("n").over(W.partitionBy("feature", "label"))
+    part = n / F.col("t") * F.log(n.cast("double") * F.col("t") / (in_bin.cast("double") * in_class))
+    classes = cells.withColumn("part", part).groupBy("feature", "label").agg(
+        *[F.sum(c).alias(c) for c in ("n", "x", "xx", "part")], F.max("t").alias("t")
+    )
+    # A label contributes through the sum of its centred feature ranks, so only classes are left to rank.
     below = W.partitionBy("feature").orderBy("label").rowsBetween(W.unboundedPreceding, -1)
     label_rank = F.coalesce(F.sum("n").over(below), F.lit(0)) + (n + 1) / 2
-    classes = classes.withColumn("y", label_rank - (F.col("n_all") + 1) / 2)
+    classes = classes.withColumn("y", label_rank - (F.col("t") + 1) / 2)
     y = F.col("y")
     sums = classes.groupBy("feature").agg(
-        F.sum(F.col("x") * y).alias("xy"), F.sum("xx").alias("xx"), F.sum(n * y * y).alias("yy")
+        F.sum(F.col("x") * y).alias("xy"), F.sum("xx").alias("xx"), F.sum(n * y * y).alias("yy"), F.sum("part").alias("mi")
+    )
+    found = sums.select(
+        "feature",
+        F.abs(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy")))).alias("spearman"),
+        F.greatest("mi", F.lit(0.0)).alias("mi"),
     )
-    found = sums.select("feature", F.abs(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy")))).alias("spearman"))
     return _all_features(df, features).join(found, "feature", "left")
 
 
+def spearman(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Absolute rank correlation of each feature with the label; a constant feature gets NULL."""
+    return feature_scores(df, features, label).select("feature", "spearman")
+
+
 def normalize_max(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """Divide by the largest value, NaN and NULL left out. Meant for one row per feature."""
     best = F.max(no_nan(column)).over(W.partitionBy(F.lit(1)))
@@ -73,24 +91,12 @@ def mutual_information(
     the distance to the k-th nearest row of the same class. In the latter equal
     values are at distance 0 and count as one another's neighbours.
     """
-    rows = long_features(df, features, label)
-    found = _binned(rows, bins) if method == "binned" else _neighbours(rows, k)
+    if method == "binned":
+        return feature_scores(df, features, label, bins).select("feature", "mi")
+    found = _neighbours(long_features(df, features, label), k)
     return _all_features(df, features).join(found, "feature", "left")
 
 
-def _binned(rows: DataFrame, bins: int) -> DataFrame:
-    ranks = ranked(counted(rows, "value", ["feature"], ["feature"], ["label"]), "value", ["feature"])
-    # Equal values share their smallest rank and so their bin.
-    bin_of = F.floor(F.col("n_before") * bins / F.col("n_all")).alias("bin")
-    cells = ranks.groupBy("feature", bin_of, "label").agg(F.sum("n").cast("double").alias("n"))
-    total = F.sum("n").over(W.partitionBy("feature"))
-    in_bin = F.sum("n").over(W.partitionBy("feature", "bin"))
-    in_class = F.sum("n").over(W.partitionBy("feature", "label"))
-    terms = cells.select("feature", "n", total.alias("t"), in_bin.alias("b"), in_class.alias("c"))
-    term = F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("b") * F.col("c")))
-    return terms.groupBy("feature").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
-
-
 def _kth_distance(window: W, k: int) -> Column:
     """Distance to the k-th nearest of the rows around the current one, in one sorted class."""
     value = F.col("value")
@@ -144,9 +150,12 @@ def _neighbours(rows: DataFrame, k: int) -> DataFrame:
     return sums.select("feature", F.greatest(_digamma(F.col("t")) + F.col("s") / F.col("t"), F.lit(0.0)).alias("mi"))
 
 
-def aggregate_scores(ranks: DataFrame, information: DataFrame) -> DataFrame:
-    """Sum of both normalised scores per feature; NULL if either is missing."""
-    both = ranks.join(information, "feature")
+def aggregate_scores(scores: DataFrame, information: DataFrame | None = None) -> DataFrame:
+    """Sum of both normalised scores per feature; NULL if either is missing.
+
+    ``information`` replaces the mutual information that ``scores`` came with.
+    """
+    both = scores if information is None else scores.select("feature", "spearman").join(information, "feature")
     both = normalize_max(normalize_max(both, "spearman"), "mi")
     return both.withColumn("score", F.col("normalized_spearman") + F.col("normalized_mi"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from multiprocessing.pool import ThreadPool
+from statistics import fmean, pstdev
+
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -33,8 +36,8 @@ def class_positions(df: DataFrame, label: str, ids: list[str], seed: int = 42, b
         F.sum("_n").over(W.partitionBy(label)).alias("_size"),
     )
     inside = W.partitionBy(label, "_range").orderBy("_hash", *ids)
-    # One row per class and range, so the table is small for any number of input rows.
-    placed = rows.withColumn("_row", F.row_number().over(inside)).join(F.broadcast(offsets), [label, "_range"])
+    # The window already partitions by class and range, so the join moves only the totals.
+    placed = rows.withColumn("_row", F.row_number().over(inside)).join(offsets, [label, "_range"])
     return placed.withColumn("_position", F.col("_row") + F.col("_offset")).drop("_hash", "_range", "_row", "_offset")
 
 
@@ -85,7 +88,7 @@ def train_classifier(
     scaler: dict[str, tuple[float, float]] | None = None,
 ) -> PipelineModel:
     """Standardise and fit a logistic regression with an L2 penalty of inverse strength ``strength``."""
-    rows = _clean(df, features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _clean(df, features, label).select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         scaler = scaler or fit_scaler(rows, features)
         n = rows.count()
@@ -94,7 +97,7 @@ def train_classifier(
             VectorAssembler(inputCols=[f"_scaled_{f}" for f in features], outputCol="_vector"),
             LogisticRegression(
                 featuresCol="_vector", labelCol=label, regParam=1.0 / (strength * max(n, 1)), elasticNetParam=0.0,
-                standardization=False, maxIter=max_iter, tol=1e-8,
+                standardization=False, maxIter=max_iter,
             ),
         ]
         return Pipeline(stages=stages).fit(rows)
@@ -173,39 +176,64 @@ def forest(features: list[str], label: str, trees: int = 100, depth: int = 12, s
 
 
 
+_SCORES = "n_features int, accuracy_mean double, accuracy_std double, f1_mean double, f1_std double"
+
+
+def _fold_scores(
+    df: DataFrame, sets: list[list[str]], label: str, ids: list[str], fit, k: int, seed: int, parallelism: int
+) -> list[tuple]:
+    """Scores of every feature set over the same stratified folds.
+
+    Fits of all sets and folds are independent jobs, so several run at a time;
+    each one is distributed by Spark. Rows are reduced to the needed columns and kept.
+    """
+    names = sorted({f for features in sets for f in features})
+    if not names:
+        return [(0, 0.0, 0.0, 0.0, 0.0) for _ in sets]
+    rows = stratified_folds(_clean(df, names, label), label, ids, k, seed).select(*names, label, "fold")
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def score(job: tuple[int, int]) -> tuple[float, float]:
+        features, fold = sets[job[0]], job[1]
+        fitted = fit(rows.filter(F.col("fold") != fold).select(*features, label), features)
+        tested = fitted.transform(rows.filter(F.col("fold") == fold).select(*features, label))
+        found = classification_report(tested, label).select("accuracy", "macro_f1").first()
+        return found["accuracy"], found["macro_f1"]
+
+    jobs = [(i, fold) for i, features in enumerate(sets) if features for fold in range(k)]
+    try:
+        rows.count()
+        with ThreadPool(parallelism) as pool:
+            scores = dict(zip(jobs, pool.map(inheritable_thread_target(score), jobs)))
+    finally:
+        rows.unpersist()
+    out = []
+    for i, features in enumerate(sets):
+        if not features:
+            out.append((0, 0.0, 0.0, 0.0, 0.0))
+            continue
+        accuracy, f1 = zip(*[scores[i, fold] for fold in range(k)])
+        out.append((len(features), fmean(accuracy), pstdev(accuracy), fmean(f1), pstdev(f1)))
+    return out
+
+
 def cross_validate(
     df: DataFrame, features: list[str], label: str, ids: list[str], estimator: Estimator | None = None, k: int = 5,
-    seed: int = 42, scaler: dict[str, tuple[float, float]] | None = None,
+    seed: int = 42, scaler: dict[str, tuple[float, float]] | None = None, parallelism: int = 4,
 ) -> DataFrame:
     """Accuracy and macro F1 over stratified folds: mean and population deviation, one row.
 
     Without an estimator a scaled logistic regression is used; its scaler is fitted
     inside each fold unless one fitted elsewhere is passed in.
     """
-    spark = df.sparkSession
-    schema = "n_features int, accuracy_mean double, accuracy_std double, f1_mean double, f1_std double"
-    if not features:
-        return spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.0)], schema)
-    rows = stratified_folds(_clean(df, features, label), label, ids, k, seed).select(*features, label, "fold")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        scores = []
-        for fold in range(k):
-            train = rows.filter(F.col("fold") != fold)
-            model = train_classifier(train, features, label, scaler=scaler) if estimator is None else estimator.fit(train)
-            tested = model.transform(rows.filter(F.col("fold") == fold))
-            report = classification_report(tested, label).select("accuracy", "macro_f1").first()
-            scores.append((fold, report["accuracy"], report["macro_f1"]))
-    finally:
-        rows.unpersist()
-    folds = spark.createDataFrame(scores, "fold int, accuracy double, f1 double")
-    return folds.agg(
-        F.lit(len(features)).alias("n_features"),
-        F.avg("accuracy").alias("accuracy_mean"),
-        F.stddev_pop("accuracy").alias("accuracy_std"),
-        F.avg("f1").alias("f1_mean"),
-        F.stddev_pop("f1").alias("f1_std"),
-    )
+
+    def fit(train: DataFrame, names: list[str]):
+        if estimator is not None:
+            return estimator.fit(train)
+        return train_classifier(train, names, label, scaler=scaler)
+
+    scores = _fold_scores(df, [features], label, ids, fit, k, seed, parallelism)
+    return df.sparkSession.createDataFrame(scores, _SCORES)
 
 
 # Score thresholds tried by the sweep.
@@ -214,24 +242,20 @@ THRESHOLDS = [0.8, 1.0, 1.2, 1.4, 1.6, 1.8]
 
 def threshold_sweep(
     df: DataFrame, scores: DataFrame, label: str, ids: list[str], thresholds: list[float] = THRESHOLDS,
-    trees: int = 100, depth: int = 12, k: int = 5,
+    trees: int = 100, depth: int = 12, k: int = 5, seed: int = 42, parallelism: int = 4,
 ) -> DataFrame:
     """Cross-validated forest per threshold; equal feature sets are fitted once."""
-    spark = df.sparkSession
     ranked = [(r["feature"], r["score"]) for r in scores.select("feature", "score").orderBy("feature").collect()]
-    done: dict[tuple[str, ...], tuple] = {}
-    rows = []
-    for threshold in thresholds:
-        chosen = tuple(f for f, s in ranked if s is not None and s > threshold)
-        if chosen not in done:
-            estimator = forest(list(chosen), label, trees, depth)
-            done[chosen] = tuple(cross_validate(df, list(chosen), label, ids, estimator, k).first())
-        rows.append((float(threshold), ", ".join(chosen) or "None", *done[chosen]))
-    schema = (
-        "threshold double, features string, n_features int, accuracy_mean double, accuracy_std double, "
-        "f1_mean double, f1_std double"
-    )
-    return spark.createDataFrame(rows, schema)
+    chosen = [tuple(f for f, s in ranked if s is not None and s > t) for t in thresholds]
+    sets = list(dict.fromkeys(chosen))
+    fit = _forest_fit(label, trees, depth)
+    found = dict(zip(sets, _fold_scores(df, [list(s) for s in sets], label, ids, fit, k, seed, parallelism)))
+    rows = [(float(t), ", ".join(c) or "None", *found[c]) for t, c in zip(thresholds, chosen)]
+    return df.sparkSession.createDataFrame(rows, f"threshold double, features string, {_SCORES}")
+
+
+def _forest_fit(label: str, trees: int, depth: int):
+    return lambda train, names: forest(names, label, trees, depth).fit(train)
 
 
 def _names(model: Model | PipelineModel) -> list[str]:
@@ -255,11 +279,10 @@ def coefficients(model: PipelineModel, spark) -> DataFrame:
 
 
 def compare_feature_sets(
-    df: DataFrame, sets: dict[str, list[str]], label: str, ids: list[str], trees: int = 100, depth: int = 12, k: int = 5
+    df: DataFrame, sets: dict[str, list[str]], label: str, ids: list[str], trees: int = 100, depth: int = 12, k: int = 5,
+    seed: int = 42, parallelism: int = 4,
 ) -> DataFrame:
     """Cross-validated accuracy and F1 of named feature sets, one row each."""
-    rows = []
-    for name, features in sets.items():
-        found = cross_validate(df, features, label, ids, forest(features, label, trees, depth), k).first()
-        rows.append((name, len(features), found["accuracy_mean"], found["f1_mean"]))
+    scores = _fold_scores(df, list(sets.values()), label, ids, _forest_fit(label, trees, depth), k, seed, parallelism)
+    rows = [(name, n, accuracy, f1) for name, (n, accuracy, _, f1, _) in zip(sets, scores)]
     return df.sparkSession.createDataFrame(rows, "feature_set string, features int, accuracy double, f1 double")

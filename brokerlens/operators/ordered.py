@@ -102,15 +102,19 @@ def last_seen(
 def running_totals(
     rows: DataFrame, keys: list[str], columns: list[str], width: float = DEFAULT_SLICE, keep: dict[str, str] = {}
 ) -> DataFrame:
-    """Replace each column by its running sum over time within the key; ``keep`` also copies columns unsummed."""
+    """Replace each column by its running sum over time within the key.
+
+    ``keep`` also copies columns unsummed; ``_first_us`` is the key's first instant.
+    """
     copies = [F.col(source).alias(name) for source, name in keep.items()]
-    cut = sliced(rows, width).select(*keys, "_slice", "_us", *columns, *copies)
+    cut = sliced(rows, width).select(*keys, "_slice", "_us", F.col("_us").alias("_first_us"), *columns, *copies)
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(c) for c in columns])
+    totals = cut.groupBy(*keys, "_slice").agg(F.min("_us").alias("_first_us"), *[F.sum(c).alias(c) for c in columns])
     seeds = totals.select(
         *keys,
         "_slice",
         F.lit(None).cast("bigint").alias("_us"),
+        F.min("_first_us").over(before).alias("_first_us"),
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in columns],
     )
     window = (
@@ -118,6 +122,12 @@ def running_totals(
     )
     return (
         cut.unionByName(seeds, allowMissingColumns=True)
-        .select(*keys, "_us", *[F.sum(c).over(window).alias(c) for c in columns], *keep.values())
+        .select(
+            *keys,
+            "_us",
+            F.min("_first_us").over(window).alias("_first_us"),
+            *[F.sum(c).over(window).alias(c) for c in columns],
+            *keep.values(),
+        )
         .filter(F.col("_us").isNotNull())
     )

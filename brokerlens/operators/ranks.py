@@ -38,11 +38,13 @@ def cut_points(df: DataFrame, value: str, groups: list[str], buckets: int) -> Da
 def _search(cuts: Column, value: str, buckets: int) -> Column:
     """How many cut points are below the value: a binary search over the sorted array."""
     halves = F.array(*[F.lit(buckets >> i) for i in range(1, buckets.bit_length())])
-    return F.aggregate(
+    found = F.aggregate(
         halves,
         F.lit(0),
         lambda at, step: F.when(F.get(cuts, at + step - 1) < F.col(value), at + step).otherwise(at),
     )
+    # Never NULL, which also keeps the optimizer from testing the search for NULL on every input row.
+    return F.coalesce(found, F.lit(0))
 
 
 def placed(df: DataFrame, value: str, groups: list[str], cuts, buckets: int) -> DataFrame:

@@ -242,12 +242,10 @@ def every_nth(
     df = df if kept else df.withColumn("_all", F.lit(0))
     steps = instants(df, by, ts, {"messages": F.count("*"), "bytes": F.sum(size)})
     totals = running_totals(steps, by, ["messages", "bytes"], width, keep={"messages": "_here"})
-    start = df.groupBy(*by).agg(F.min(F.unix_micros(F.col(ts).cast("timestamp"))).alias("_start"))
     before = F.floor((F.col("messages") - F.col("_here")) / F.lit(n))
     now = F.floor(F.col("messages") / F.lit(n))
     marks = totals.filter(now > before).withColumn("_mark", F.explode(F.sequence(before + 1, now)))
-    marks = marks.join(start, by)
-    elapsed = (F.col("_us") - F.col("_start")) / F.lit(1e6)
+    elapsed = (F.col("_us") - F.col("_first_us")) / F.lit(1e6)
     return marks.select(
         *kept,
         _ts().alias("ts"),

@@ -64,10 +64,7 @@ def m3_neighbours(spark, sf):
 
 
 def scores(rows):
-    found = features.aggregate_scores(
-        features.spearman(rows, CLASS_FEATURES, LABEL), features.mutual_information(rows, CLASS_FEATURES, LABEL)
-    )
-    return found
+    return features.aggregate_scores(features.feature_scores(rows, CLASS_FEATURES, LABEL))
 
 
 @query("m4_selected", f"""WITH {_RANKED} {_BINNED}, nm AS (SELECT sp.feature, spearman / max(spearman) OVER () AS a, mi / max(mi) OVER () AS b FROM sp JOIN mi ON sp.feature = mi.feature)

@@ -127,14 +127,16 @@ def s8(spark, sf):
     return rows.select("key", F.get_json_object("value", "$.taxonomy.latency_sensitivity").alias("sensitivity"))
 
 
-@query("s9_metric_names", """SELECT metric, kind, label, CAST(count(*) AS BIGINT) AS n FROM (SELECT
+_NAMES = """SELECT metric, kind, label, CAST(count(*) AS BIGINT) AS n FROM (SELECT
     CASE event_type WHEN 'click' THEN 'kafka_server_brokertopicmetrics_bytesin_total' WHEN 'view' THEN 'kafka_network_requestmetrics_totaltimems'
       WHEN 'error' THEN 'kafka_controller_stats_leaderelectionrateandtimems' WHEN 'signup' THEN CASE WHEN user_id % 2 = 0 THEN 'java_lang_memory_heapmemoryusage_used' ELSE 'jvm_memory_heap_committed_bytes' END
       WHEN 'purchase' THEN CASE WHEN user_id % 2 = 0 THEN 'kafka_cluster_partition_underreplicated_topic_x_' || CAST(user_id % 5 AS VARCHAR) ELSE 'java_nio_bufferpool_memoryused' END END AS metric,
     CASE WHEN event_type = 'click' THEN 'COUNTER' WHEN event_type = 'purchase' AND user_id % 2 = 1 THEN 'UNTYPED' ELSE 'GAUGE' END AS kind,
     CASE event_type WHEN 'click' THEN 'Topic.' || CAST(user_id % 4 AS VARCHAR) WHEN 'view' THEN 'Produce' WHEN 'error' THEN '0.' || CAST(90 + user_id % 10 AS VARCHAR)
-      WHEN 'signup' THEN CASE WHEN user_id % 2 = 1 THEN 'heap' END WHEN 'purchase' THEN CASE WHEN user_id % 2 = 1 THEN 'direct' END END AS label FROM events) GROUP BY ALL""")
-def s9(spark, sf):
+      WHEN 'signup' THEN CASE WHEN user_id % 2 = 1 THEN 'heap' END WHEN 'purchase' THEN CASE WHEN user_id % 2 = 1 THEN 'direct' END END AS label FROM events) GROUP BY ALL"""
+
+
+def _beans(spark, sf):
     user, kind = F.col("user_id"), F.col("event_type")
     bean = (
         F.when(kind == "click", F.concat(F.lit("kafka.server<type=BrokerTopicMetrics, name=BytesInPerSec, topic=Topic."), (user % 4).cast("string"), F.lit("><>Count")))
@@ -146,10 +148,23 @@ def s9(spark, sf):
             .otherwise("java.nio<type=BufferPool, name=direct><>MemoryUsed")
         )
     )
-    rows = naming.normalize_metrics(views.events(spark, sf).select(bean.alias("bean")))
+    return views.events(spark, sf).select(bean.alias("bean"))
+
+
+def _named_counts(rows):
     return rows.groupBy("metric", "kind", F.get(F.map_values("labels"), 0).alias("label")).agg(F.count("*").alias("n"))
 
 
+@query("s9_metric_names", _NAMES)
+def s9(spark, sf):
+    return _named_counts(naming.normalize_metrics(_beans(spark, sf)))
+
+
+@query("s9_repeated_names", _NAMES)
+def s9_repeated(spark, sf):
+    return _named_counts(naming.normalize_repeated(_beans(spark, sf)))
+
+
 @query("s10_append", "SELECT event_id, event_type, value FROM events UNION ALL SELECT event_id, event_type, value FROM events WHERE value > 100")
 def s10(spark, sf):
     rows, path = views.events(spark, sf).select("event_id", "event_type", "value"), scratch(spark, "appended")

@@ -84,17 +84,23 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled feature rows out of documents."""
     text = F.col("text")
 
-    def count_of(pattern):
-        return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("double")
+    def without(shorter):
+        return (F.length(text) - F.length(shorter)).cast("double")
+
+    def count_of(character):
+        return without(F.replace(text, F.lit(character), F.lit("")))
+
+    def count_in(characters):
+        return without(F.regexp_replace(text, f"[{characters}]+", ""))
 
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         F.length(text).cast("double").alias("chars"),
         count_of(" ").alias("spaces"),
         count_of("\n").alias("newlines"),
-        count_of("[0-9]").alias("digits"),
+        count_in("0-9").alias("digits"),
         count_of(",").alias("commas"),
-        count_of("[A-Z]").alias("uppers"),
+        count_in("A-Z").alias("uppers"),
         F.lit(1.0).alias("constant"),
     )
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))

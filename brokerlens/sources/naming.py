@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,57 +88,73 @@ RULES = [
 ]
 
 
-def _filled(bean: Column, rule: Rule, template: str) -> Column:
+# The CASE over all rules is written as SQL text: one expression to hand over instead of hundreds of calls.
+
+
+def _quoted(text: str) -> str:
+    return "r'" + text + "'"
+
+
+def _filled(bean: str, rule: Rule, template: str) -> str:
     """The template with its ``$n`` replaced by what the pattern's groups caught."""
-    whole = f"^.*(?:{rule.pattern}).*$"
+    whole = _quoted(f"^.*(?:{rule.pattern}).*$")
     parts = [p for p in re.split(r"(\$\d)", template) if p]
-    columns = [F.regexp_extract(bean, whole, int(p[1:])) if re.fullmatch(r"\$\d", p) else F.lit(p) for p in parts]
-    return columns[0] if len(columns) == 1 else F.concat(*columns)
+    texts = [f"regexp_extract({bean}, {whole}, {p[1:]})" if re.fullmatch(r"\$\d", p) else _quoted(p) for p in parts]
+    return texts[0] if len(texts) == 1 else f"concat({', '.join(texts)})"
 
 
-def _safe_name(name: Column) -> Column:
+def _safe_name(name: str) -> str:
     """Lower case, with every run of other characters as one underscore."""
-    return F.lower(F.regexp_replace(name, "[^a-zA-Z0-9:]+", "_"))
+    return f"lower(regexp_replace({name}, '[^a-zA-Z0-9:]+', '_'))"
 
 
-def _label_map(pairs: Column) -> Column:
-    return F.map_from_entries(F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != "")))
+def _named(metric: str, kind: str, labels: str) -> str:
+    """Labels are an array of key and value; empty ones are left out."""
+    known = f"map_from_entries(filter({labels}, p -> p.key <> '' AND p.value <> ''))" if labels else "map()"
+    return f"named_struct('metric', {metric}, 'kind', '{kind}', 'labels', CAST({known} AS map<string,string>))"
 
 
-def _pair(key: Column, value: Column) -> Column:
-    return F.struct(key.alias("key"), value.alias("value"))
+def _from_rule(bean: str, rule: Rule) -> str:
+    pairs = [f"named_struct('key', '{k.lower()}', 'value', {_filled(bean, rule, v)})" for k, v in rule.labels.items()]
+    return _named(_safe_name(_filled(bean, rule, rule.name)), rule.kind, f"array({', '.join(pairs)})" if pairs else "")
 
 
-def _from_bean(bean: Column) -> Column:
+def _from_bean(bean: str) -> str:
     """Name and labels of a reading no rule names: first property in the name, the others as labels."""
-    domain = F.substring_index(bean, "<", 1)
-    properties = F.split(F.regexp_extract(bean, "^[^<]*<(.*?)><", 1), ", ")
-    path = F.regexp_replace(F.regexp_extract(bean, "><(.*)>[^>]*$", 1), ", ", "_")
-    attribute = F.regexp_extract(bean, ">([^>]*)$", 1)
-    first = F.regexp_extract(F.get(properties, 0), "^[^=]*=(.*)$", 1)
-    name = F.concat_ws("_", domain, *[F.when(c != "", c) for c in (first, path, attribute)])
-    rest = F.transform(
-        F.slice(properties, 2, 100),
-        lambda p: _pair(_safe_name(F.substring_index(p, "=", 1)), F.regexp_extract(p, "^[^=]*=(.*)$", 1)),
-    )
-    return F.struct(_safe_name(name).alias("metric"), F.lit("UNTYPED").alias("kind"), _label_map(rest).alias("labels"))
+    properties = f"split(regexp_extract({bean}, '^[^<]*<(.*?)><', 1), ', ')"
+    parts = [
+        f"substring_index({bean}, '<', 1)",
+        f"nullif(regexp_extract(get({properties}, 0), '^[^=]*=(.*)$', 1), '')",
+        f"nullif(regexp_replace(regexp_extract({bean}, '><(.*)>[^>]*$', 1), ', ', '_'), '')",
+        f"nullif(regexp_extract({bean}, '>([^>]*)$', 1), '')",
+    ]
+    key, value = _safe_name("substring_index(p, '=', 1)"), "regexp_extract(p, '^[^=]*=(.*)$', 1)"
+    rest = f"transform(slice({properties}, 2, 100), p -> named_struct('key', {key}, 'value', {value}))"
+    return _named(_safe_name(f"concat_ws('_', {', '.join(parts)})"), "UNTYPED", rest)
 
 
 def normalize_metrics(df: DataFrame, rules: list[Rule] = RULES, bean: str = "bean") -> DataFrame:
     """Add ``metric``, ``kind`` and ``labels``; one CASE expression, so later rules run only when needed."""
-    source = F.col(bean)
-    chosen = None
-    for rule in rules:
-        if rule.name is None:
-            result = _from_bean(source)
-        else:
-            pairs = [_pair(F.lower(F.lit(k)), _filled(source, rule, v)) for k, v in rule.labels.items()]
-            empty = F.create_map().cast("map<string,string>")
-            result = F.struct(
-                _safe_name(_filled(source, rule, rule.name)).alias("metric"),
-                F.lit(rule.kind).alias("kind"),
-                (_label_map(F.array(*pairs)) if pairs else empty).alias("labels"),
-            )
-        matches = source.rlike(rule.pattern)
-        chosen = F.when(matches, result) if chosen is None else chosen.when(matches, result)
-    return df.withColumn("_named", chosen).select(*df.columns, "_named.metric", "_named.kind", "_named.labels")
+    source = f"`{bean}`"
+    cases = [
+        f"WHEN {source} RLIKE {_quoted(r.pattern)} THEN {_from_bean(source) if r.name is None else _from_rule(source, r)}"
+        for r in rules
+    ]
+    named = df.withColumn("_named", F.expr(f"CASE {' '.join(cases)} END"))
+    return named.select(*df.columns, "_named.metric", "_named.kind", "_named.labels")
+
+
+NAMES_KEPT = 100_000
+
+
+def normalize_repeated(df: DataFrame, rules: list[Rule] = RULES, bean: str = "bean") -> DataFrame:
+    """The same for tables in which few bean names repeat in many readings.
+
+    The rules run once per distinct name and the result is joined back by
+    broadcast; more than ``NAMES_KEPT`` names are handled reading by reading.
+    """
+    names = df.select(bean).distinct().limit(NAMES_KEPT + 1).collect()
+    if len(names) > NAMES_KEPT:
+        return normalize_metrics(df, rules, bean)
+    table = df.sparkSession.createDataFrame(names, f"`{bean}` string")
+    return df.join(F.broadcast(normalize_metrics(table, rules, bean)), bean, "left")
