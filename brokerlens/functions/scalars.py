@@ -91,8 +91,10 @@ def nullify_sentinels(df: DataFrame, text: list[str] = (), numbers: list[str] =
 
 
 def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Fill NULLs with the column mean, a scalar subquery; a column without values stays NULL."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), df.agg(F.avg(c)).scalar()) for c in columns})
+    """Fill NULL and NaN with the column mean, a scalar subquery; a column without values stays NULL."""
+    values = {c: F.col(c).cast("double") for c in columns}
+    known = {c: F.when(~F.isnan(v), v) for c, v in values.items()}
+    return df.withColumns({c: F.coalesce(v, df.agg(F.avg(v)).scalar()) for c, v in known.items()})
 
 
 def where(df: DataFrame, condition: Column | str) -> DataFrame:

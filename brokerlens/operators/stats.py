@@ -115,6 +115,11 @@ def studentized_range_quantile(alpha: float, groups: int, df: float) -> float:
     return (low + high) / 2
 
 
+def _no_rows(text: list[str] = (), whole: list[str] = (), real: list[str] = (), flag: list[str] = ()) -> pd.DataFrame:
+    kinds = {"object": text, "int64": whole, "float64": real, "bool": flag}
+    return pd.DataFrame({c: pd.Series(dtype=kind) for kind, names in kinds.items() for c in names})
+
+
 _ANOVA = "metric string, term string, df double, sum_sq double, f double, p double"
 
 
@@ -159,7 +164,7 @@ def anova_one_way(df: DataFrame, y: list[str], group: str) -> DataFrame:
     def table(pdf: pd.DataFrame) -> pd.DataFrame:
         columns = ["metric", "groups", "df_between", "df_within", "f", "p"]
         if len(pdf) < 2:
-            return pd.DataFrame({c: [] for c in columns})
+            return _no_rows(text=columns[:1], whole=columns[1:2], real=columns[2:])
         n, mean, ss = (pdf[c].to_numpy(dtype=float) for c in ("n", "mean", "ss"))
         grand = (n * mean).sum() / n.sum()
         between, within = (n * (mean - grand) ** 2).sum(), ss.sum()
@@ -179,7 +184,7 @@ def tukey_hsd(df: DataFrame, y: list[str], group: str, alpha: float = 0.05) -> D
         groups, freedom = len(pdf), float(pdf["n"].sum() - len(pdf))
         columns = ["metric", "group1", "group2", "meandiff", "p_adj", "lower", "upper", "reject"]
         if groups < 2 or freedom <= 0:
-            return pd.DataFrame({c: [] for c in columns})
+            return _no_rows(text=columns[:3], real=columns[3:7], flag=columns[7:])
         error = pdf["ss"].sum() / freedom
         limit = studentized_range_quantile(alpha, groups, freedom)
         rows = []

@@ -172,7 +172,7 @@ def box_outliers(df: DataFrame, keys: list[str], metric: str, exact: bool = True
     """The rows outside the whiskers of their group."""
     ends = [F.col("whisker_low").alias("_low"), F.col("whisker_high").alias("_high")]
     stats = box_stats(df, keys, metric, exact).select(*keys, *ends)
-    outside = (F.col(metric) < F.col("_low")) | (F.col(metric) > F.col("_high"))
+    outside = (no_nan(metric) < F.col("_low")) | (no_nan(metric) > F.col("_high"))
     return lookup(df, stats, keys).filter(outside).select(*df.columns)
 
 
@@ -210,7 +210,7 @@ def throughput(df: DataFrame, by: list[str], ts: str = "ts", size: Column | str
 
 def no_nan(column: str) -> Column:
     """NaN as NULL, since NaN would otherwise sort above every number."""
-    return F.when(~F.isnan(F.col(column)), F.col(column))
+    return F.when(~F.isnan(F.col(column).cast("double")), F.col(column))
 
 
 def sort_scores(df: DataFrame, column: str) -> DataFrame:

@@ -68,7 +68,7 @@ def read_results(spark: SparkSession, path: str, value_type: str = "string", lin
     A file is one JSON object, or with ``lines`` one object per line.
     """
     try:
-        text = spark.read.option("wholetext", not lines).text(path)
+        text = spark.read.text(path, wholetext=not lines)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
