@@ -236,8 +236,8 @@ def _per_micro(index: pd.DatetimeIndex) -> int:
 def gap_sessions(stream: DataFrame, seconds: float = 10.0, by: list[str] = (), ts: str = "ts", delay: str = DELAY) -> DataFrame:
     """Spans without a pause longer than ``seconds``; each new span follows a gap."""
     session = F.session_window(ts, f"{micros(seconds) + 1} microseconds")
-    # Spark wants a key beside a session; one time line for everything gets a constant.
-    keys = [F.col(k) for k in by] or [F.lit(0).alias("_all")]
+    # Spark wants a key beside a session; one time line for everything gets one that is always 0.
+    keys = [F.col(k) for k in by] or [F.pmod(F.unix_micros(ts), F.lit(1)).alias("_all")]
     spans = event_time(stream, ts, delay).groupBy(*keys, session).agg(
         F.count("*").alias("events"), F.max(ts).alias("last_seen")
     )
