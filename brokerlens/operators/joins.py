@@ -13,25 +13,31 @@ from brokerlens.operators.ordered import DEFAULT_SLICE, micros, sliced
 BROADCAST_ROWS = 100_000
 
 
-def _fill(rows: DataFrame, by: list[str], width: float, backward: bool) -> DataFrame:
-    """For each left instant, the nearest right row at or before (at or after) it."""
+_START, _END = -(2**62), 2**62
+
+
+def _fill(rows: DataFrame, by: list[str], width: float, modes: list[str]) -> DataFrame:
+    """For each left instant, the nearest right row at or before it (``_back``) and at or after it (``_ahead``).
+
+    A slice gets what it cannot see as rows at the start and the end of its time:
+    the last right row of the slices before it and the first of those after it.
+    """
     cut = sliced(rows, width)
-    before = W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
-    before = before.orderBy(F.col("_slice").asc() if backward else F.col("_slice").desc())
-    pick = F.max if backward else F.min
-    edges = cut.groupBy(*by, "_slice").agg(pick("_right").alias("_right"))
-    seeds = edges.select(
-        *by, "_slice", F.lit(None).cast("bigint").alias("_us"), F.lit(0).alias("_side"),
-        F.last("_right", ignorenulls=True).over(before).alias("_right"),
-    ).filter(F.col("_right").isNotNull())
-    time = F.col("_us").asc_nulls_first() if backward else F.col("_us").desc_nulls_first()
-    so_far = W.partitionBy(*by, "_slice").orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
-    found = (
-        cut.select(*by, "_slice", "_us", "_side", "_right")
-        .unionByName(seeds)
-        .withColumn("_right", F.last("_right", ignorenulls=True).over(so_far))
-    )
-    return found.filter("_side = 1").drop("_side", "_slice")
+    edges = cut.groupBy(*by, "_slice").agg(F.max("_right").alias("_last"), F.min("_right").alias("_first"))
+    outer = W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    carried = {
+        "_back": (_START, F.last("_last", ignorenulls=True).over(outer.orderBy("_slice"))),
+        "_ahead": (_END, F.last("_first", ignorenulls=True).over(outer.orderBy(F.desc("_slice")))),
+    }
+    named = edges.select(*by, "_slice", *[carried[m][1].alias(m) for m in modes])
+    ends = [F.struct(F.lit(carried[m][0]).alias("_us"), F.col(m).alias("_right")) for m in modes]
+    seeds = named.select(*by, "_slice", F.lit(0).alias("_side"), F.explode(F.array(*ends)).alias("_e"))
+    seeds = seeds.select(*by, "_slice", "_side", "_e.*").filter("_right IS NOT NULL")
+    inner = W.partitionBy(*by, "_slice").rowsBetween(W.unboundedPreceding, 0)
+    order = {"_back": F.asc("_us"), "_ahead": F.desc("_us")}
+    found = cut.select(*by, "_slice", "_us", "_side", "_right").unionByName(seeds)
+    nearest = [F.last("_right", ignorenulls=True).over(inner.orderBy(order[m], "_side")).alias(m) for m in modes]
+    return found.select(*by, "_us", "_side", *nearest).filter("_side = 1").drop("_side")
 
 
 def _asof(left, right, on_ts, by, modes, width, right_ts=None):
@@ -49,10 +55,7 @@ def _asof(left, right, on_ts, by, modes, width, right_ts=None):
     asked = left.filter("_us IS NOT NULL").select(*by, "_us").distinct()
     asked = asked.withColumn("_side", F.lit(1))
     rows = facts.unionByName(asked, allowMissingColumns=True)
-    found = None
-    for mode in modes:
-        part = _fill(rows, by, width, backward=mode == "_back").withColumnRenamed("_right", mode)
-        found = part if found is None else found.join(part, [*by, "_us"])
+    found = _fill(rows, by, width, modes)
     return left.join(found, [*by, "_us"], "left"), payload
 
 
