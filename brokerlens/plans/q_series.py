@@ -226,9 +226,9 @@ def t14(spark, sf):
     return rounded(rows.select(us("ts").alias("ts"), series.label("broker").alias("broker"), "value"), ["value"])
 
 
-@query("t14_summary_mean_total", """SELECT day AS ts, round(s / n, 4) AS value FROM (SELECT epoch_us(date_trunc('day', ts)) AS day, sum(value) AS s, count(*) AS n FROM events GROUP BY 1)""")
+@query("t14_summary_mean_total", """SELECT day AS ts, round(s / n, 4) AS value FROM (SELECT epoch_us(date_trunc('day', ts)) AS day, sum(round(value * 100)) AS s, count(*) AS n FROM events GROUP BY 1)""")
 def t14_total(spark, sf):
-    rows = views.events(spark, sf).groupBy(F.date_trunc("day", "ts").alias("ts"), views.broker().alias("broker")).agg(
+    rows = _cents(views.events(spark, sf)).groupBy(F.date_trunc("day", "ts").alias("ts"), views.broker().alias("broker")).agg(
         F.sum("value").alias("latency_sum"), F.count("*").cast("double").alias("latency_count")
     )
     long = rows.unpivot(["ts", "broker"], ["latency_sum", "latency_count"], "metric", "value")
