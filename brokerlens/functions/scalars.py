@@ -66,7 +66,7 @@ def parse_ts(column: Column | str) -> Column:
     column = _col(column)
     text = column.cast("string")
     epoch = text.try_cast("double")
-    return F.when(epoch.isNotNull(), F.timestamp_micros((epoch * 1_000_000).cast("bigint"))).otherwise(
+    return F.when(epoch.isNotNull(), F.timestamp_micros((epoch * 1_000_000).try_cast("bigint"))).otherwise(
         F.try_to_timestamp(text)
     )
 

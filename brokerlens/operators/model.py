@@ -10,7 +10,7 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,11 +54,20 @@ def stratified_folds(df: DataFrame, label: str, ids: list[str], k: int = 5, seed
     return placed.withColumn("fold", F.pmod("_position", F.lit(k)).cast("int")).drop("_position", "_size")
 
 
+def _moments(df: DataFrame, columns: list[str]):
+    return df.agg(
+        F.count("*").alias("n"),
+        *[F.avg(c).alias(f"{c}__mean") for c in columns],
+        *[F.stddev_pop(c).alias(f"{c}__std") for c in columns],
+    ).first()
+
+
 def fit_scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per column, one aggregate; a constant column scales by 1."""
-    row = df.agg(
-        *[F.avg(c).alias(f"{c}__mean") for c in columns], *[F.stddev_pop(c).alias(f"{c}__std") for c in columns]
-    ).first()
+    return _as_scaler(_moments(df, columns), columns)
+
+
+def _as_scaler(row, columns: list[str]) -> dict[str, tuple[float, float]]:
     return {c: (row[f"{c}__mean"] or 0.0, row[f"{c}__std"] or 1.0) for c in columns}
 
 
@@ -90,8 +99,8 @@ def train_classifier(
     """Standardise and fit a logistic regression with an L2 penalty of inverse strength ``strength``."""
     rows = _clean(df, features, label).select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        scaler = scaler or fit_scaler(rows, features)
-        n = rows.count()
+        moments = _moments(rows, features)
+        scaler, n = scaler or _as_scaler(moments, features), moments["n"]
         stages = [
             _scaling_stage(scaler),
             VectorAssembler(inputCols=[f"_scaled_{f}" for f in features], outputCol="_vector"),
@@ -264,15 +273,17 @@ def _names(model: Model | PipelineModel) -> list[str]:
     return [n.removeprefix("_scaled_") for n in assembler.getInputCols()]
 
 
-def importances(model: PipelineModel, spark) -> DataFrame:
+def importances(model: PipelineModel, spark: SparkSession | None = None) -> DataFrame:
     """Importance of each feature of a forest, largest first."""
+    spark = spark or SparkSession.active()
     values = [float(v) for v in model.stages[-1].featureImportances.toArray()]
     rows = spark.createDataFrame(list(zip(_names(model), values)), "feature string, importance double")
     return rows.orderBy(F.desc("importance"), "feature")
 
 
-def coefficients(model: PipelineModel, spark) -> DataFrame:
+def coefficients(model: PipelineModel, spark: SparkSession | None = None) -> DataFrame:
     """Coefficient of each feature of a logistic regression, largest first."""
+    spark = spark or SparkSession.active()
     values = [float(v) for v in model.stages[-1].coefficients.toArray()]
     rows = spark.createDataFrame(list(zip(_names(model), values)), "feature string, coefficient double")
     return rows.orderBy(F.desc("coefficient"), "feature")

@@ -13,6 +13,7 @@ one shuffle on (metric, series, slice). No task ever holds a whole series.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from math import gcd
 
 from pyspark.sql import Column, DataFrame
@@ -261,7 +262,7 @@ def agg_series(df: DataFrame, fn: str, by: list[str] = ()) -> DataFrame:
     return out.select("ts", "metric", (F.create_map(*pairs) if pairs else empty).alias("labels"), "value")
 
 
-def histogram_quantile(q: float, buckets: DataFrame, by: list[str] = ()) -> DataFrame:
+def histogram_quantile(buckets: DataFrame, q: float, by: list[str] = ()) -> DataFrame:
     """Quantile from cumulative bucket rates, linear inside the bucket that holds the rank.
 
     Input labels carry ``le``. Buckets of a group are summed first, so the array
@@ -289,8 +290,8 @@ def histogram_quantile(q: float, buckets: DataFrame, by: list[str] = ()) -> Data
     low = F.when(at > 1, F.get("b", at - 2)["le"]).otherwise(0.0)
     below = F.when(at > 1, F.get("b", at - 2)["c"]).otherwise(0.0)
     here = F.get("b", at - 1)
-    inside = low + (here["le"] - low) * ((rank - below) / (here["c"] - below))
     nan = F.lit(float("nan"))
+    inside = low + (here["le"] - low) * F.coalesce(F.try_divide(rank - below, here["c"] - below), nan)
     value = (
         F.when(F.lit(q < 0), F.lit(float("-inf")))
         .when(F.lit(q > 1), F.lit(float("inf")))
@@ -408,6 +409,38 @@ def to_one_hot(events: DataFrame, metric: str, column: str, names: list[str], ts
     return _as_samples(rows, metric, [column], "GAUGE")
 
 
+@dataclass(frozen=True)
+class SeriesSpec:
+    """One metric made out of event rows; ``kind`` is COUNTER, SUMMARY, HISTOGRAM or GAUGE (one-hot)."""
+
+    metric: str
+    kind: str
+    labels: tuple[str, ...] = ()
+    value: str | None = None
+    bounds: tuple[float, ...] = ()
+    names: tuple[str, ...] = ()
+
+
+# Latency bounds in seconds of the classification histogram.
+LATENCY_BOUNDS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 120.0)
+
+
+def to_series(events: DataFrame, specs: list[SeriesSpec], ts: str = "ts") -> DataFrame:
+    """All the series the specs describe, as one sample table."""
+
+    def one(spec: SeriesSpec) -> DataFrame:
+        labels, value = list(spec.labels), None if spec.value is None else F.col(spec.value)
+        if spec.kind == "COUNTER":
+            return to_counter(events, spec.metric, labels, ts, value)
+        if spec.kind == "SUMMARY":
+            return to_summary(events, spec.metric, labels, value, ts)
+        if spec.kind == "HISTOGRAM":
+            return to_histogram(events, spec.metric, labels, value, list(spec.bounds or LATENCY_BOUNDS), ts)
+        return to_one_hot(events, spec.metric, labels[0], list(spec.names), ts)
+
+    return reduce(DataFrame.unionByName, map(one, specs))
+
+
 def _as_samples(df: DataFrame, metric: str | None, labels: list[str], kind: str) -> DataFrame:
     pairs = [part for n in labels for part in (F.lit(n), F.col(n).cast("string"))]
     return df.select(

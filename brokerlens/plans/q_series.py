@@ -150,7 +150,7 @@ def _quantile(q: float, by: list[str]):
 
     @query(f"t9_quantile_{int(q * 100)}{'_by_broker' if by else ''}", text)
     def run(spark, sf):
-        rows = series.histogram_quantile(q, _buckets(spark, sf), by)
+        rows = series.histogram_quantile(_buckets(spark, sf), q, by)
         return rounded(rows.withColumn("ts", us("ts")), ["value"])
 
 

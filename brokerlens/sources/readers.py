@@ -37,7 +37,7 @@ def read_recovery(spark: SparkSession, path: str, version: str = "full", header:
     rows = full.unionByName(rows, allowMissingColumns=True)
     text = ["strategy", "workload_type", "config_source", "broker_url", "result", "details"]
     rows = nullify_sentinels(rows, text, [*_READINGS, *_HEALTH])
-    rows = rows.withColumns({c: F.col(c).cast("int") for c in _HEALTH})
+    rows = rows.withColumns({c: F.col(c).try_cast("int") for c in _HEALTH})
     return rows.withColumns({"timestamp": parse_ts("timestamp"), "applied_config": json_to_map("applied_config")})
 
 
@@ -59,7 +59,7 @@ def read_strategy(spark: SparkSession, path: str) -> DataFrame:
     """Strategy snapshots, one JSON object per file; anything else is ignored."""
     rows = spark.read.schema(schemas.STRATEGY).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     known = rows.filter(F.col("strategy").isNotNull())
-    return known.withColumn("timestamp", F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("bigint")))
+    return known.withColumn("timestamp", F.timestamp_micros((F.col("timestamp") * 1_000_000).try_cast("bigint")))
 
 
 def read_results(spark: SparkSession, path: str, value_type: str = "string", lines: bool = False) -> DataFrame:
@@ -78,7 +78,10 @@ def read_results(spark: SparkSession, path: str, value_type: str = "string", lin
 
 
 def read_samples(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "parquet", **options) -> DataFrame:
-    """Metric samples as a table or as a stream; a failed fetch is a NULL value of that metric alone."""
+    """Metric samples as a table or as a stream; a failed fetch is a NULL value of that metric alone.
+
+    A stream should bound its micro-batches, for example with ``maxFilesPerTrigger=...``.
+    """
     reader = spark.readStream if streaming else spark.read
     return reader.schema(schemas.SAMPLES).options(**options).format(fmt).load(path)
 

@@ -44,13 +44,18 @@ def write_result_map(df: DataFrame, path: str, key: str) -> None:
     text.write.mode("overwrite").text(path)
 
 
-def upsert_latest(batch: DataFrame, path: str, version: int, keys: list[str] = (), ts: str = "ts") -> None:
+def upsert_latest(
+    batch: DataFrame, path: str, version: int | None = None, keys: list[str] = (), ts: str = "ts"
+) -> None:
     """Write the newest row (per key) of the batch and of the stored snapshot as a new version.
 
     A version is written once into its own folder, so a repeated batch replaces
-    its own output and readers never see a half-written state.
+    its own output and readers never see a half-written state. Without a version
+    the next one is taken.
     """
     spark = batch.sparkSession
+    if version is None:
+        version = _next_version(spark, path)
     stored = read_latest(spark, path, batch.schema, before=version)
     row = F.max(F.struct(ts, *[c for c in batch.columns if c != ts])).alias("_r")
     if any(f.dataType.typeName() == "map" for f in batch.schema):
@@ -66,6 +71,12 @@ def _has_files(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _next_version(spark: SparkSession, path: str) -> int:
+    if not _has_files(spark, path):
+        return 0
+    return spark.read.schema("version bigint").parquet(path).agg(F.max("version") + 1).first()[0] or 0
+
+
 def read_latest(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
     """The newest complete snapshot version (older than ``before``), or no rows."""
     if not _has_files(spark, path):

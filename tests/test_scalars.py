@@ -20,10 +20,10 @@ def test_sentinels_become_null(spark):
 
 def test_parse_ts_takes_three_formats(spark):
     rows = spark.createDataFrame(
-        [("2024-01-01T00:00:01.5",), ("2024-01-01 00:00:01",), ("1704067201.25",), ("N/A",), (None,)], "t string"
+        [("2024-01-01T00:00:01.5",), ("2024-01-01 00:00:01",), ("1704067201.25",), ("N/A",), (None,), ("NaN",)], "t string"
     )
     out = [r[0] for r in rows.select(scalars.parse_ts("t")).collect()]
-    assert out == [at(1.5), at(1), at(1.25), None, None]
+    assert out == [at(1.5), at(1), at(1.25), None, None, None]
 
 
 def test_impute_only_fills_missing_and_leaves_empty_columns(spark):

@@ -119,10 +119,11 @@ def bucket_rows(spark, counts, t=0):
         (0.5, {"1": 0, "+Inf": 0}, float("nan")),
         (0.5, {"-1": 6, "1": 10, "+Inf": 10}, -1.0),
         (1.5, {"1": 1, "+Inf": 1}, float("inf")),
+        (0.0, {"1": 0, "2": 4, "+Inf": 4}, float("nan")),
     ],
 )
 def test_histogram_quantile(spark, q, counts, expected):
-    value = series.histogram_quantile(q, bucket_rows(spark, counts)).first()["value"]
+    value = series.histogram_quantile(bucket_rows(spark, counts), q).first()["value"]
     assert (math.isnan(value) and math.isnan(expected)) or value == pytest.approx(expected)
 
 
@@ -144,6 +145,10 @@ def test_events_to_series(spark):
     assert summary[4000.0, "r_sum", (("k", "s"),)] == pytest.approx(8.3) and summary[1.0, "r_count", (("k", "s"),)] == 2.0
     buckets = series_rows(series.to_histogram(events, "h", ["k"], F.col("v"), [0.5, 5.0]))
     assert [buckets[4000.0, "h_bucket", (("k", "s"), ("le", le))] for le in ("0.5", "5.0", "+Inf")] == [1.0, 2.0, 3.0]
+    specs = [series.SeriesSpec("n", "COUNTER", ("k",)), series.SeriesSpec("h", "HISTOGRAM", ("k",), "v"), series.SeriesSpec("now", "GAUGE", ("k",), names=("s", "t"))]
+    together = series_rows(series.to_series(events, specs))
+    assert together[2.0, "n", (("k", "t"),)] == 1.0 and together[1.0, "h_bucket", (("k", "s"), ("le", "10.0"))] == 2.0
+    assert together[2.0, "now", (("k", "s"),)] == 0.0
     hot = series_rows(series.to_one_hot(events, "now", "k", ["s", "t"]))
     assert hot[2.0, "now", (("k", "t"),)] == 1.0 and hot[2.0, "now", (("k", "s"),)] == 0.0
 

@@ -85,6 +85,8 @@ def test_latest_snapshot_is_versioned_and_repeatable(spark, folder):
     for _ in range(2):
         sinks.upsert_latest(rows.filter("s = 'y'"), path, 1, ["k"])
     assert {r["k"]: r["s"] for r in sinks.read_latest(spark, path, rows.schema).collect()} == {"a": "y", "b": "z"}
+    sinks.upsert_latest(spark.createDataFrame([("b", at(9), "n")], rows.schema), path, keys=["k"])
+    assert {r["k"]: r["s"] for r in sinks.read_latest(spark, path, rows.schema).collect()} == {"a": "y", "b": "n"}
 
 
 def named(spark, *beans):
