@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -158,9 +159,46 @@ def outages(
     )
 
 
-def _hops(times: np.ndarray, wait: int) -> np.ndarray:
-    """For each attempt, the position of the first attempt at least ``wait`` later."""
-    return np.searchsorted(times, times + wait, side="left")
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted Arrow batches regrouped so that no group is cut, each with the start positions of its groups."""
+    pending = None
+    for batch in batches:
+        rows = batch if pending is None else pd.concat([pending, batch], ignore_index=True)
+        starts = _starts(rows, keys)
+        cut = starts[-1]
+        pending = rows.iloc[cut:].reset_index(drop=True)
+        if cut:
+            yield rows.iloc[:cut], starts[:-1]
+    if pending is not None and len(pending):
+        yield pending, np.array([0])
+
+
+def _starts(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    new = np.zeros(len(rows), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        codes = pd.factorize(rows[k])[0]
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+class _Slices:
+    """Many slices of attempts laid end to end on one line, far enough apart not to touch."""
+
+    def __init__(self, rows: pd.DataFrame, starts: np.ndarray, span: int, wait: int):
+        self.starts, self.wait, self.far = starts, wait, span + 2 * wait + 1
+        self.ends = np.append(starts[1:], len(rows))
+        self.group = np.repeat(np.arange(len(starts)), self.ends - starts)
+        self.times = rows["_us"].to_numpy()
+        self.origin = rows["_slice"].to_numpy()[starts] * span
+        self.line = self.times - self.origin[self.group] + self.group * self.far
+        # The first attempt at least a cool-down later, in the same slice or else past its end.
+        self.hops = np.searchsorted(self.line, self.line + wait, side="left")
+
+    def first_from(self, us: np.ndarray) -> np.ndarray:
+        """Per slice, the position of its first attempt at or after a time."""
+        offset = np.clip(us - self.origin, 0, self.far - self.wait - 1)
+        return np.searchsorted(self.line, offset + np.arange(len(self.starts)) * self.far, side="left")
 
 
 def cooldown(
@@ -173,31 +211,30 @@ def cooldown(
     attempts merge quickly, so that is a handful of ranges per slice; following
     them from slice to slice gives every slice its starting time.
     """
-    by, wait = list(by), micros(seconds)
+    by, wait, span = list(by), micros(seconds), micros(width)
     if width < seconds:
         raise ValueError("a slice must be at least as long as the cool-down")
     attempts = sliced(instants(df, by, ts, {"attempts": F.count("*")}), width)
     fields = {f.name: f.dataType.simpleString() for f in attempts.schema.fields}
     keys = "".join(f"`{k}` {fields[k]}, " for k in by)
-
-    def reaction(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_us"].to_numpy())
-        hops = _hops(times, wait)
-        final = np.empty(len(times), dtype=np.int64)
-        for i in range(len(times) - 1, -1, -1):
-            final[i] = times[i] if hops[i] == len(times) else final[hops[i]]
-        # Only attempts within one cool-down of the slice start can be the first accepted one.
-        entry = int(np.searchsorted(times, int(key[-1]) * micros(width) + wait, side="right"))
-        entry = min(len(times), entry + 1)
-        ends = np.flatnonzero(np.append(final[: entry - 1] != final[1:entry], True))
-        out = pd.DataFrame({"_upto": times[ends], "_final": final[ends]})
-        for name, value in zip([*by, "_slice"], key):
-            out[name] = value
-        return out
-
-    reactions = attempts.select(*by, "_slice", "_us").groupBy(*by, "_slice").applyInPandas(
-        reaction, f"{keys}_slice bigint, _upto bigint, _final bigint"
-    )
+    cell = [*by, "_slice"]
+
+    def reactions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in _whole_groups(batches, cell):
+            s = _Slices(rows, starts, span, wait)
+            # Follow each chain to its last attempt by doubling the distance jumped.
+            last = np.where(s.hops < s.ends[s.group], s.hops, np.arange(len(rows)))
+            while not np.array_equal(last, jumped := last[last]):
+                last = jumped
+            # The first accepted attempt lies within one cool-down of the start, or is the first after that.
+            entry = np.minimum(s.first_from(s.origin + wait + 1), s.ends - 1)
+            usable = np.arange(len(rows)) <= entry[s.group]
+            closes = np.append(last[:-1] != last[1:], True) | (np.arange(len(rows)) == entry[s.group])
+            kept = usable & closes
+            yield rows.loc[kept, cell].assign(_upto=s.times[kept], _final=s.times[last[kept]])
+
+    laid_out = attempts.repartition(*cell).sortWithinPartitions(*cell, "_us")
+    found = laid_out.select(*cell, "_us").mapInPandas(reactions, f"{keys}_slice bigint, _upto bigint, _final bigint")
 
     def follow(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_slice", "_upto"])
@@ -207,8 +244,7 @@ def cooldown(
         last, entering = None, []
         for start, stop in zip(starts, stops):
             entering.append(last)
-            free = upto[start] if last is None else last + wait
-            at = start if last is None else start + int(np.searchsorted(upto[start:stop], free, side="left"))
+            at = start if last is None else start + int(np.searchsorted(upto[start:stop], last + wait, side="left"))
             if at < stop:
                 last = int(final[at])
         out = pd.DataFrame({"_slice": slices, "_enter": pd.array(entering, dtype="Int64")})
@@ -216,21 +252,26 @@ def cooldown(
             out[name] = value
         return out
 
-    entries = reactions.groupBy(*by).applyInPandas(follow, f"{keys}_slice bigint, _enter bigint")
-    rows = attempts.join(entries, [*by, "_slice"])
-
-    def decide(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_us").reset_index(drop=True)
-        times, hops = pdf["_us"].to_numpy(), _hops(pdf["_us"].to_numpy(), wait)
-        accepted = np.zeros(len(times), dtype=bool)
-        enter = pdf["_enter"].iloc[0]
-        at = 0 if pd.isna(enter) else int(np.searchsorted(times, int(enter) + wait, side="left"))
-        while at < len(times):
-            accepted[at] = True
-            at = hops[at]
-        return pdf.assign(accepted=accepted)[[*by, "_us", "attempts", "accepted"]]
-
-    decided = rows.groupBy(*by, "_slice").applyInPandas(decide, f"{keys}_us bigint, attempts bigint, accepted boolean")
+    entries = found.groupBy(*by).applyInPandas(follow, f"{keys}_slice bigint, _enter bigint")
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in _whole_groups(batches, cell):
+            s = _Slices(rows, starts, span, wait)
+            enter = rows["_enter"].to_numpy(dtype="float64", na_value=np.nan)[starts]
+            never = np.isnan(enter)
+            known = rows["_enter"].fillna(0).to_numpy(dtype="int64")[starts]
+            at = s.first_from(np.where(never, s.origin, known + wait))
+            accepted, ends = np.zeros(len(rows), dtype=bool), s.ends
+            # Every round takes one step in all slices, so there are few rounds.
+            while len(at):
+                inside = at < ends
+                at, ends = at[inside], ends[inside]
+                accepted[at] = True
+                at = s.hops[at]
+            yield rows[[*by, "_us", "attempts"]].assign(accepted=accepted)
+
+    rows = attempts.join(entries, cell).repartition(*cell).sortWithinPartitions(*cell, "_us")
+    decided = rows.mapInPandas(decide, f"{keys}_us bigint, attempts bigint, accepted boolean")
     return decided.select(*by, _ts().alias("ts"), "attempts", "accepted")
 
 
