@@ -8,7 +8,7 @@ from brokerlens.functions.rules import alignment_verdict
 from brokerlens.operators import joins, series, sequence
 from brokerlens.plans import views
 from brokerlens.plans.registry import ANALYSED_SQL, PROGRESS_SQL, query, rounded, us
-from brokerlens.plans.q_series import DAY, QUARTER, _PAIR_SQL, _pair
+from brokerlens.plans.q_series import DAY, _PAIR_SQL, _pair
 
 WIDTH = DAY
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brokerlens.operators import features, model, stats
-from brokerlens.operators.summary import sort_scores
 from brokerlens.plans import views
 from brokerlens.plans.q_joins import WIDTH
 from brokerlens.plans.q_summary import METRICS, analysed

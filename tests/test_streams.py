@@ -3,7 +3,6 @@
 import os
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from brokerlens.operators import sequence, series
