@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -15,8 +17,34 @@ SETTINGS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it.
+
+    Spark distributes the archive; a cluster that has the package installed needs no call.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(package):  # already imported from an archive
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="run-"), "brokerlens.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("brokerlens", os.path.relpath(path, package)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin UTC and adaptive execution; sizes and memory stay with the cluster."""
+    """Pin UTC and adaptive execution and ship the package; sizes and memory stay with the cluster."""
+    ship(spark)
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
