@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brokerlens.llm import quality, simhash, toxicity
+from brokerlens.llm import packing, pii, quality, simhash, toxicity
 from brokerlens.llm.common import table, written
 
 
@@ -24,10 +24,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.representatives(docs)
 
 
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind in angle brackets; n_chars follows."""
+    return pii.redact(docs, pii.fit(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's tokens go: (doc_id, piece, n_tokens, bin, slot, start)."""
+    return packing.best_fit(docs)
+
+
 STAGES = [
     ("quality", drop_low_quality),
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("packing", pack_sequences),
 ]
 
 #: Compression lengths, fingerprints and a trained model are beyond SQL; tests compare with a plain version.
