@@ -158,6 +158,14 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str
     return _judged(docs, rules, text, host, False)[0]
 
 
-def clean(docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that pass, boilerplate lines removed from their texts; the columns stay as they are."""
-    return _judged(docs, rules, text, host, True)[0].select(*docs.columns)
+def clean(
+    docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str = "source", length: str = "n_chars"
+) -> DataFrame:
+    """The documents that pass, boilerplate lines removed from their texts; the columns stay as they are.
+
+    ``length``, if there is such a column, follows the new text.
+    """
+    kept = _judged(docs, rules, text, host, True)[0].select(*docs.columns)
+    if length in docs.columns:
+        kept = kept.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
+    return kept
