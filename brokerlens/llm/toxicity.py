@@ -107,35 +107,34 @@ def _prefixes(words: Column) -> Column:
 
 
 def fit(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     text: str = "text",
     label: str = "toxic",
+    key: str = "doc_id",
     per_class: int = 4000,
     dictionary_bytes: int = 65_536,
     toxic_bytes: int = 16_384,
     least_z: float = 7.0,
     least_lift: float = 5.0,
-    key: str = "doc_id",
 ) -> Model:
-    """Fit on at most ``per_class`` labelled rows of each class, the ones whose hashed key is smallest.
+    """Fit on the documents of at most ``per_class`` label rows of each class, those whose hashed key is smallest.
 
     Half of them trains the dictionaries. The ordinary one is filled with the most frequent words of ordinary texts.
     The toxic one holds the same and besides the words of toxic texts that occur, or begin like words that occur, in
-    markedly more toxic than ordinary documents (by ``least_z`` standard errors and ``least_lift`` times). The other half
-    calibrates: a logistic fit of the label on a document's distribution of saved bytes, weighted to the shares that
-    the classes have among all labelled rows. With a class missing, every score is the share of label 1.
+    markedly more toxic than ordinary documents (by ``least_z`` standard errors and ``least_lift`` times). The other
+    half calibrates: a logistic fit of the label on a document's distribution of saved bytes, weighted to the shares
+    that the classes have among all label rows. Labels other than 0 and 1, null keys and keys without a document take
+    no part. With a class missing, every score is the share of label 1.
     """
-    rows = labelled.where(F.col(label).isin(0, 1)).select(
-        F.col(label).cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-        F.xxhash64(F.col(key), F.lit(7)).alias("h"),
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
+        F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key), F.lit(7)).alias("h")
     )
-    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     positive, negative = totals.get(1, 0), totals.get(0, 0)
-    if not positive or not negative:
-        share = (positive + 1e-3) / (positive + negative + 1)
-        n = MOST - LEAST + 1 + MOST - 1 + 1
-        return Model(b" ", b" ", b" ", (0.0,) * n, (1.0,) * n, (0.0,) * n + (math.log(share / (1 - share)),))
-    sample = rows.where("y = 1").orderBy("h").limit(per_class).unionAll(rows.where("y = 0").orderBy("h").limit(per_class))
+    chosen = known.where("y = 1").orderBy("h").limit(per_class).unionAll(known.where("y = 0").orderBy("h").limit(per_class))
+    body = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sample = body.join(F.broadcast(chosen), "k").drop("k")  # a few thousand keys at most
     sample = sample.persist()
     try:
         half = F.pmod(F.col("h"), F.lit(1 << 20)) < (1 << 19)
@@ -143,6 +142,8 @@ def fit(
         train = sample.where(half).select("y", words.alias("words"), F.count("*").over(_by("y")).alias("n"))
         size = {r["y"]: r["n"] for r in train.select("y", "n").distinct().collect()}
         n1, n0 = size.get(1, 0), size.get(0, 0)
+        if not n1 or not n0:
+            return _constant(positive, negative)
         counted = (
             train.select("y", F.explode(_prefixes(F.col("words"))).alias("token"))
             .groupBy("token").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
@@ -165,14 +166,20 @@ def fit(
     finally:
         sample.unpersist()
     x, y = np.array([r["measures"] for r in pairs]), np.array([r["y"] for r in pairs], dtype=float)
+    if not y.any() or y.all():
+        return _constant(positive, negative)
     return Model(toxic, ordinary, carrier, *_logistic(x, y, positive, negative))
 
 
 def fit_tables(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
-    """Fit on the labelled documents outside the held-out part. Null labels and keys take no part."""
-    known = labels.where("toxic IN (0, 1)").select(F.col(key).alias(key), F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.select(key, F.col(text).alias("text")).where(~held_out(F.col(key)))
-    return fit(rows.join(known, key), key=key)
+    """Fit on the labelled documents outside the held-out part."""
+    return fit(docs, labels.where(~held_out(F.col(key))), text, key=key)
+
+
+def _constant(positive: int, negative: int) -> Model:
+    share = (positive + 1e-3) / (positive + negative + 1)
+    n = len(Distance(b" ", b" ", b" ").measures(""))
+    return Model(b" ", b" ", b" ", (0.0,) * n, (1.0,) * n, (0.0,) * n + (math.log(share / (1 - share)),))
 
 
 def _by(column: str):
