@@ -115,7 +115,7 @@ def fit(
     per_class: int = 4000,
     dictionary_bytes: int = 65_536,
     toxic_bytes: int = 16_384,
-    least_z: float = 7.0,
+    least_z: float = 5.0,
     least_lift: float = 5.0,
 ) -> Model:
     """Fit on the documents of at most ``per_class`` label rows of each class, those whose hashed key is smallest.
@@ -135,6 +135,7 @@ def fit(
     chosen = known.where("y = 1").orderBy("h").limit(per_class).unionAll(known.where("y = 0").orderBy("h").limit(per_class))
     body = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sample = body.join(F.broadcast(chosen), "k").drop("k")  # a few thousand keys at most
+    sample = sample.dropDuplicates(["text", "y"])  # copies would make their words look frequent
     sample = sample.persist()
     try:
         half = F.pmod(F.col("h"), F.lit(1 << 20)) < (1 << 19)
