@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,19 +117,26 @@ def read_file(folder: str, name: str) -> Iterator[tuple[object, np.ndarray]]:
             yield key, np.concatenate(parts) if parts else np.empty(0, dtype=np.uint32)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {**{b: chr(b) for b in prints}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
+
+
 _HELD: dict[str, PretokenCache] = {}
 
 
 def _cache(path: str, pattern: str) -> PretokenCache:
+    """One per worker process. Pretokens go to the library's model as they are; its own splitting was done here."""
     if path not in _HELD:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        model, letters = Tokenizer.from_file(path).model, byte_letters()
 
         def encode(pretokens: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch(pretokens, add_special_tokens=False)
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+            spelled = (p.encode().decode("latin-1").translate(letters) for p in pretokens)
+            return [array("I", [t.id for t in model.tokenize(s)]).tobytes() for s in spelled]
 
         _HELD[path] = PretokenCache(pattern, encode)
     return _HELD[path]

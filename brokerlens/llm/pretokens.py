@@ -4,27 +4,32 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import regex
 
-MEMO_ENTRIES = 400_000
-PART_CHARS = 1_000_000
+#: Entries of a generation of the memo; there are two. Longer pieces are not remembered.
+MEMO_ENTRIES = 600_000
 LONGEST_KEPT = 64
-_BLANK_BEFORE_SPACE = re.compile(r"\s ")
+PART_CHARS = 1_000_000
+#: Where cutting at every blank, full stop and comma would not fall between pretokens.
+_UNSAFE = re.compile(r"[.,\s\x00](?:(?<=\s\s)|(?<=[\W_][.,])|(?<=\x00))")
 
 
 class PretokenCache:
     """Encodes texts with a function over pretokens, whose ids are little-endian unsigned 32-bit integers.
 
-    A pattern of the kind used for byte-level BPE never lets a pretoken cross from a non-blank to a blank, so a text
-    may first be cut before single spaces. The pieces repeat a lot and are remembered, in a memo of bounded size.
+    A pattern of the kind used for byte-level BPE never lets a pretoken cross from a non-blank to a blank, nor from a
+    letter or digit to a full stop or comma. So most texts may first be cut there, which is quicker than matching
+    the pattern; what is left to match are the different pieces. These repeat a lot, and the ids of recent ones are
+    remembered: when a generation is full, the one before it is given up.
     """
 
     def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]]):
         self.pattern = regex.compile(pattern)
         self.encode = encode
-        self.pieces: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def texts(self, texts: Iterable[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -39,45 +44,32 @@ class PretokenCache:
         return out + self._joined(part)
 
     def _cut(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if text[0] == " " or _BLANK_BEFORE_SPACE.search(text):
+        if _UNSAFE.search(text):
             return self.pattern.findall(text)
-        first, *rest = text.split(" ")
-        if text.endswith(" "):
-            rest[-2:] = [rest[-2] + " "] if len(rest) > 1 else rest[-1:]
-            if len(rest) == 1 and not rest[0]:
-                return self.pattern.findall(text)
-        return [first, *(" " + piece for piece in rest)]
+        marked = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").replace(".", "\x00.").replace(",", "\x00,")
+        return marked.split("\x00")
 
     def _joined(self, part: list[list[str]]) -> list[bytes]:
-        if len(self.pieces) >= MEMO_ENTRIES:
-            self.pieces.clear()
-        missing = list({p for pieces in part for p in pieces if p not in self.pieces})
-        found = {p: self.pattern.findall(p) for p in missing}
-        self._learn(t for tokens in found.values() for t in tokens)
-        own = self.pretokens
-        extra: dict[str, bytes] = {}
-        for piece, tokens in found.items():
-            ids = b"".join([own[t] for t in tokens])
-            (self.pieces if len(piece) <= LONGEST_KEPT else extra)[piece] = ids
-        held = {**extra} if extra else None
-        known = self.pieces
-        out = []
-        for pieces in part:
-            if held:
-                out.append(b"".join([known[p] if p in known else held[p] for p in pieces]))
+        if len(self.young) >= MEMO_ENTRIES:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        unknown = set(chain.from_iterable(part)).difference(young)
+        found: dict[str, list[str]] = {}
+        for piece in unknown:
+            ids = old.get(piece)
+            if ids is not None:
+                young[piece] = ids
+            elif piece.isalpha() or (piece[:1] == " " and piece[1:].isalpha()):
+                found[piece] = [piece]
             else:
-                out.append(b"".join(map(known.__getitem__, pieces)))
+                found[piece] = self.pattern.findall(piece)
+        new = list({t for tokens in found.values() for t in tokens if t not in young})
+        own = dict(zip(new, self.encode(new)))
+        for piece, tokens in found.items():
+            own[piece] = b"".join([own[t] if t in own else young[t] for t in tokens])
+        young.update(own)
+        out = [b"".join(map(young.__getitem__, pieces)) for pieces in part]
+        for piece in own:
+            if len(piece) > LONGEST_KEPT:
+                del young[piece]
         return out
-
-    def _learn(self, tokens: Iterable[str]) -> None:
-        if len(self.pretokens) >= MEMO_ENTRIES:
-            self.pretokens.clear()
-        for long in [t for t in self.pretokens if len(t) > LONGEST_KEPT]:
-            del self.pretokens[long]
-        new = list(set(tokens))
-        if len(self.pretokens) + len(new) > 2 * MEMO_ENTRIES:
-            self.pretokens.clear()
-        new = [t for t in new if t not in self.pretokens]
-        self.pretokens.update(zip(new, self.encode(new)))

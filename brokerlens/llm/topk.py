@@ -105,8 +105,8 @@ def _nodes(classes: DataFrame, parts: int) -> DataFrame:
 
 
 def _cut(blob: bytes, part: int, parts: int) -> bytes:
-    n = len(blob) // 8
-    return blob[n * part // parts * 8 : n * (part + 1) // parts * 8]
+    """Every ``parts``-th component, so that vectors of different lengths are cut alike."""
+    return np.frombuffer(blob, dtype="<i8")[part::parts].tobytes()
 
 
 def _query_piece(queries: list[bytes], part: int, parts: int) -> np.ndarray:
@@ -127,7 +127,7 @@ def top_k(
 
     Scores are inner products of floor(256 * x); ties go to the smaller key; fewer than k rows give what there is.
     Vectors that are null, or hold a null or non-finite component, and rows without a key take no part; repeated
-    rows of a key count once per different vector. Vectors of another length than the query's count with zeros.
+    rows of a key count once per different vector. Vectors of another length than the query's count with zeros. Scores must fit in 64 bits.
 
     Equal vectors are one class with its k + 1 smallest keys, which is all that any query can use. Every node holds
     one part of the vectors' components. Queries are taken in blocks of ``query_block``; for each block
