@@ -72,7 +72,7 @@ def normalize_max(df: DataFrame, column: str, name: str | None = None) -> DataFr
 
 
 def _digamma(n: Column) -> Column:
-    """The digamma function of a positive whole number: shifted up, then its asymptotic series."""
+    """The digamma function of a positive number: shifted up, then its asymptotic series."""
     shifts = 6
     x = n.cast("double") + shifts
     inverse = 1 / (x * x)
@@ -88,8 +88,10 @@ def mutual_information(
     """Mutual information in nats between each feature and the class label, never below 0.
 
     ``binned`` cuts values at their rank quantiles; ``neighbours`` estimates from
-    the distance to the k-th nearest row of the same class. In the latter equal
-    values are at distance 0 and count as one another's neighbours.
+    the distance to the k-th nearest row of the same class. In the latter a value
+    with more than k copies in its class counts k neighbours there and as many of
+    other classes as their share of the copies asks for, which is what noise too
+    small to matter would give on average. NULL and NaN take no part.
     """
     if method == "binned":
         return feature_scores(df, features, label, bins).select("feature", "mi")
@@ -108,6 +110,7 @@ def _kth_distance(window: W, k: int) -> Column:
 
 
 def _neighbours(rows: DataFrame, k: int) -> DataFrame:
+    rows = rows.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     buckets = bucket_count(rows)
     cuts = cut_points(rows, "value", ["feature"], buckets)
     counts = rows.groupBy("feature", "label", "value").agg(F.count("*").alias("n"))
@@ -139,8 +142,9 @@ def _neighbours(rows: DataFrame, k: int) -> DataFrame:
     met = ends.join(line.select("feature", "value", F.col("here_before").alias("below"), "here"), ["feature", "value"])
     count = F.sum(F.when(F.col("side") == 1, F.col("below")).otherwise(-(F.col("below") + F.col("here"))))
     inside = met.groupBy("feature", "label", "at", "n", "radius").agg(count.alias("m"))
-    # At radius 0 both ends are the point itself, which leaves its copies, counted negatively.
-    m = F.greatest(F.when(F.col("radius") == 0, -F.col("m")).otherwise(F.col("m")), F.lit(1))
+    # At radius 0 both ends are the point itself, which leaves its copies in all classes, counted negatively.
+    tied = F.least(F.lit(k), F.col("n") - 1) * -F.col("m") / F.col("n")
+    m = F.greatest(F.when(F.col("radius") == 0, tied).otherwise(F.col("m").cast("double")), F.lit(1.0))
     cells = inside.groupBy("feature", "label").agg(
         F.sum("n").alias("n_class"), F.sum(F.col("n") * _digamma(m)).alias("psi_m")
     )

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brokerlens.operators import series
 from brokerlens.operators.ordered import DEFAULT_SLICE, micros, sliced
 
-# A lookup table of at most this many rows may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
-
-
 _START, _END = -(2**62), 2**62
 
 
@@ -50,8 +47,12 @@ def _asof(left, right, on_ts, by, modes, width, right_ts=None):
     us = F.unix_micros(F.col(right_ts or on_ts).cast("timestamp"))
     payload = [c for c in right.columns if c not in by]
     facts = right.withColumn("_us", us).filter("_us IS NOT NULL")
-    facts = facts.groupBy(*by, "_us").agg(F.min(F.struct(*payload)).alias("_p"))
-    facts = facts.select(*by, "_us", F.lit(0).alias("_side"), F.struct("_us", "_p.*").alias("_right"))
+    # Of several rows at an instant the smallest; maps have no order, so they are compared and kept as sorted entries.
+    maps = [c for c in payload if isinstance(right.schema[c].dataType, T.MapType)]
+    held = [F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in payload]
+    facts = facts.groupBy(*by, "_us").agg(F.min(F.struct(*held)).alias("_p"))
+    fields = [F.map_from_entries(f"_p.{c}").alias(c) if c in maps else F.col(f"_p.{c}") for c in payload]
+    facts = facts.select(*by, "_us", F.lit(0).alias("_side"), F.struct("_us", *fields).alias("_right"))
     asked = left.filter("_us IS NOT NULL").select(*by, "_us").distinct()
     asked = asked.withColumn("_side", F.lit(1))
     rows = facts.unionByName(asked, allowMissingColumns=True)
@@ -131,10 +132,9 @@ def strategy_dimension(spark) -> DataFrame:
 def with_strategy_config(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Look up the configuration of each row's strategy; unknown strategies get NULL.
 
-    The dimension is counted up to the limit before it is broadcast.
+    Adaptive execution chooses the join from the sizes it meets.
     """
-    small = dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(dim) if small else dim, "strategy", "left")
+    return df.join(dim, "strategy", "left")
 
 
 def align_labels(
@@ -175,8 +175,12 @@ def around_events(
     return out.select(*events.columns, *probes)
 
 
-def within_period(df: DataFrame, period: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Rows inside the closed [start, end] of a one-row period table."""
+def within_period(df: DataFrame, period: DataFrame, ts: str = "timestamp", by: list[str] = ()) -> DataFrame:
+    """Rows inside the closed [start, end] of their key's period, or (no ``by``) of a one-row period table."""
+    if by:
+        bounds = period.select(*by, F.col("recovery_start").alias("_start"), F.col("recovery_end").alias("_end"))
+        inside = (F.col(ts) >= F.col("_start")) & (F.col(ts) <= F.col("_end"))
+        return df.join(bounds, list(by)).filter(inside).select(*df.columns)
     start, end = period.agg(F.min("recovery_start")).scalar(), period.agg(F.max("recovery_end")).scalar()
     return df.filter((F.col(ts) >= start) & (F.col(ts) <= end))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brokerlens.functions.scalars import CLASS_NAMES, missing_feature
+from brokerlens.functions.scalars import CLASS_NAMES
 from brokerlens.operators.ranks import bucket_count
 
 
@@ -117,13 +117,15 @@ def train_classifier(
 def classify(df: DataFrame, model: PipelineModel, features: list[str]) -> DataFrame:
     """Add prediction, both probabilities, confidence, type and error.
 
-    A row that lacks a required feature keeps a NULL prediction, type UNKNOWN,
+    A row that lacks a required feature, or has NaN there, keeps a NULL prediction, type UNKNOWN,
     confidence 0 and names the first missing feature.
     """
     filled = df.withColumns({f"_given_{f}": F.col(f) for f in features})
-    filled = filled.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
+    known = {f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features}
+    filled = filled.withColumn("_missing", F.coalesce(*(F.when(known[f].isNull(), F.lit(f"_given_{f}")) for f in features)))
+    filled = filled.withColumns({f: F.coalesce(known[f], F.lit(0.0)) for f in features})
     scored = model.transform(filled)
-    missing = missing_feature([f"_given_{f}" for f in features])
+    missing = F.col("_missing")
     known = missing.isNull()
     chance = vector_to_array("probability")
     code = F.col("prediction").cast("int")
@@ -136,7 +138,7 @@ def classify(df: DataFrame, model: PipelineModel, features: list[str]) -> DataFr
         ),
         F.when(known, confidence).otherwise(0.0).alias("confidence"),
         F.when(known, F.when(code == 0, CLASS_NAMES[0]).otherwise(CLASS_NAMES[1])).otherwise("UNKNOWN").alias("type"),
-        F.when(~known, F.concat(F.lit("Missing required feature: "), F.substring(missing, 8, 1000))).alias("error"),
+        F.when(~known, F.concat(F.lit("Missing required feature: "), F.regexp_replace(missing, "^_given_", ""))).alias("error"),
     )
 
 
@@ -146,8 +148,12 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
 
 
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Precision, recall, F1 and support per class, with overall accuracy and macro F1 on each row."""
-    counts = confusion(df, label, prediction)
+    """Precision, recall, F1 and support per class, with overall accuracy and macro F1 on each row.
+
+    Rows without a prediction count as misses of their class; they are no class of their own.
+    Rows without a label are left out.
+    """
+    counts = confusion(df, label, prediction).filter("label IS NOT NULL")
     hit = F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)
     sides = F.explode(
         F.array(
@@ -155,7 +161,7 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
             F.struct(F.col("prediction").alias("class"), F.lit(0).cast("bigint").alias("actual"), F.col("count").alias("claimed"), F.lit(0).cast("bigint").alias("hit")),
         )
     )
-    classes = counts.select(sides.alias("_s")).select("_s.*").groupBy("class")
+    classes = counts.select(sides.alias("_s")).select("_s.*").filter("class IS NOT NULL").groupBy("class")
     sums = classes.agg(F.sum("actual").alias("support"), F.sum("claimed").alias("claimed"), F.sum("hit").alias("hit"))
     precision = F.coalesce(F.try_divide("hit", "claimed"), F.lit(0.0))
     recall = F.coalesce(F.try_divide("hit", "support"), F.lit(0.0))

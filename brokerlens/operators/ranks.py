@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 def bucket_count(df: DataFrame) -> int:
     """A power of two near the session's number of shuffle partitions."""
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(4096, 1 << max(wanted - 1, 1).bit_length())
+    return 1 << max(wanted - 1, 1).bit_length()
 
 
 def cut_points(df: DataFrame, value: str, groups: list[str], buckets: int) -> DataFrame | list[float]:
@@ -57,26 +57,6 @@ def placed(df: DataFrame, value: str, groups: list[str], cuts, buckets: int) ->
     return df.withColumn("_bucket", _search(F.array(*[F.lit(float(c)) for c in cuts]), value, buckets))
 
 
-def placed(df: DataFrame, value: str, groups: list[str], cuts, buckets: int) -> DataFrame:
-    """Add ``_bucket``. Cut points of groups are joined as a table of one row per group."""
-    if groups:
-        found = F.aggregate(
-            F.array(*[F.lit(buckets >> i) for i in range(1, buckets.bit_length())]),
-            F.lit(0),
-            lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(value), at + step).otherwise(at),
-        )
-        return df.join(F.broadcast(cuts), groups, "left").withColumn("_bucket", found).drop("_cuts")
-    if not cuts:
-        return df.withColumn("_bucket", F.lit(0))
-    array = F.array(*[F.lit(float(c)) for c in cuts])
-    found = F.aggregate(
-        F.array(*[F.lit(buckets >> i) for i in range(1, buckets.bit_length())]),
-        F.lit(0),
-        lambda at, step: F.when(F.get(array, at + step - 1) < F.col(value), at + step).otherwise(at),
-    )
-    return df.withColumn("_bucket", found)
-
-
 def with_offsets(counted: DataFrame, keys: list[str], value: str, weights: list[str]) -> DataFrame:
     """Add, per weight, its sum over smaller values (``_before``), equal ones (``_here``) and the key (``_all``).
 

@@ -88,25 +88,41 @@ def _range_below(w: np.ndarray, groups: int) -> np.ndarray:
     return np.clip(groups * (density[None, :] * np.maximum(inner, 0) ** (groups - 1)).sum(axis=1), 0, 1)
 
 
+def _log_scale_density(u: np.ndarray, df: float) -> np.ndarray:
+    """Log density of the scale estimate s = 1 + u; the large terms of the gamma function cancel on paper."""
+    a = df / 2
+    if a > 20:
+        front = 0.5 * math.log(a / (2 * math.pi)) - 1 / (12 * a) + 1 / (360 * a**3) - 1 / (1260 * a**5)
+    else:
+        front = a * math.log(a) - a - math.lgamma(a)
+    return math.log(2) + front + (df - 1) * np.log1p(u) - a * (2 * u + u * u)
+
+
 def studentized_range_tail(q: float, groups: int, df: float) -> float:
-    """Probability that the studentised range exceeds q, by integrating over the scale estimate."""
+    """Probability that the studentised range exceeds q, by integrating over the scale estimate.
+
+    The interval that holds its mass is cut at halves towards 0, where few degrees of freedom need a fine grid.
+    """
     if q <= 0:
         return 1.0
-    if df > 25_000:
-        return float(1 - _range_below(np.array([q]), groups)[0])
-    spread = 8 / math.sqrt(2 * df)
-    low, high = max(1e-8, 1 - spread), 1 + spread + 4 / df
-    s = low + (high - low) * (_NODES + 1) / 2
-    log_density = (
-        math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2
-    )
-    weights = np.exp(log_density) * _WEIGHTS * (high - low) / 2
-    return float(np.clip(1 - (weights * _range_below(q * s, groups)).sum(), 0, 1))
+    spread = 9 / math.sqrt(2 * df)
+    low, high = max(0.0, 1 - spread), 1 + spread + 4 / df
+    edges = [low, high]
+    if low == 0.0:
+        edges = [0.0, *(high / 2**i for i in range(40, -1, -1))]
+    total = 0.0
+    for a, b in zip(edges, edges[1:]):
+        s = a + (b - a) * (_NODES + 1) / 2
+        weights = np.exp(_log_scale_density(s - 1, df)) * _WEIGHTS * (b - a) / 2
+        total += float((weights * (1 - _range_below(q * s, groups))).sum())
+    return float(np.clip(total, 0, 1))
 
 
 def studentized_range_quantile(alpha: float, groups: int, df: float) -> float:
-    low, high = 0.0, 200.0
-    for _ in range(60):
+    low, high = 0.0, 8.0
+    while studentized_range_tail(high, groups, df) > alpha:
+        low, high = high, 2 * high
+    while high - low > 1e-9 * high:
         middle = (low + high) / 2
         if studentized_range_tail(middle, groups, df) > alpha:
             low = middle

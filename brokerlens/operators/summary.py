@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brokerlens.operators.joins import PAIR
@@ -119,9 +118,8 @@ def recovery_time(
 def value_share(df: DataFrame, *columns: str) -> DataFrame:
     """Counts and percentages per value (or combination of values)."""
     counts = df.groupBy(*columns).agg(F.count("*").alias("count"))
-    # The window runs over one row per distinct value.
-    share = F.col("count") * 100.0 / F.sum("count").over(W.partitionBy(F.lit(1)))
-    return counts.withColumn("percent", share)
+    total = df.agg(F.count("*")).scalar()
+    return counts.withColumn("percent", F.col("count") * 100.0 / total)
 
 
 def outage_summary(df: DataFrame) -> DataFrame:

@@ -12,8 +12,7 @@ from brokerlens.plans.registry import ANALYSED_SQL, CLASSES_SQL, PROGRESS_SQL, q
 from brokerlens.plans.views import CLASS_FEATURES
 
 LABEL, IDS = "label", ["doc_id"]
-# Small forests keep the registered queries short; the library's default is 100 trees.
-TREES, DEPTH = 10, 6
+TREES, DEPTH = 100, 12
 
 _LONG = f"{CLASSES_SQL}, lng AS (UNPIVOT (SELECT label, {', '.join(CLASS_FEATURES)} FROM cls) ON {', '.join(CLASS_FEATURES)} INTO NAME feature VALUE v)"
 _RANKED = _LONG + """, rk AS (SELECT feature, v, label, count(*) OVER (PARTITION BY feature) AS n,
@@ -49,12 +48,16 @@ def m3(spark, sf):
 # Every pair of rows is compared here, which only a small table allows. Digamma of n is the (n - 1)-th harmonic number, less a constant.
 _NEIGHBOURS = f"""WITH {_LONG}, ln AS (SELECT feature, label, v, row_number() OVER () AS id, count(*) OVER (PARTITION BY feature) AS t, count(*) OVER (PARTITION BY feature, label) AS c FROM lng),
     h AS (SELECT i AS n, sum(CASE WHEN i > 1 THEN 1 / (i - 1) ELSE 0 END) OVER (ORDER BY i) AS psi FROM range(1, (SELECT count(*) + 2 FROM cls)) r(i)),
-    d AS (SELECT a.feature, a.id, a.v, a.t, a.c, abs(a.v - b.v) AS d, row_number() OVER (PARTITION BY a.feature, a.id ORDER BY abs(a.v - b.v)) AS i
+    d AS (SELECT a.feature, a.id, a.label, a.v, a.t, a.c, abs(a.v - b.v) AS d, row_number() OVER (PARTITION BY a.feature, a.id ORDER BY abs(a.v - b.v)) AS i
           FROM ln a JOIN ln b ON a.feature = b.feature AND a.label = b.label AND a.id <> b.id),
     r AS (SELECT * FROM d WHERE i = least(3, c - 1)),
-    m AS (SELECT r.feature, r.id, r.t, r.c, count(*) FILTER (CASE WHEN r.d = 0 THEN o.v = r.v ELSE abs(o.v - r.v) < r.d END) AS m FROM r JOIN ln o ON r.feature = o.feature GROUP BY ALL)
-    SELECT feature, round(greatest(any_value(ht.psi) + avg(hk.psi - hc.psi - hm.psi), 0), 5) AS mi FROM m JOIN h ht ON ht.n = t JOIN h hk ON hk.n = least(3, c - 1)
-      JOIN h hc ON hc.n = c JOIN h hm ON hm.n = m GROUP BY feature"""
+    w AS (SELECT r.feature, r.id, r.label, r.t, r.c, r.d, count(*) FILTER (abs(o.v - r.v) < r.d) AS near, count(*) FILTER (o.v = r.v) AS copies,
+          count(*) FILTER (o.v = r.v AND o.label = r.label) AS own FROM r JOIN ln o ON r.feature = o.feature GROUP BY ALL),
+    x AS (SELECT *, greatest(CASE WHEN d = 0 THEN least(3, own - 1) * copies / own ELSE near END, 1) AS x FROM w),
+    m AS (SELECT feature, id, t, c, ln(x + 6) - 1 / (2 * (x + 6)) - 1 / (12 * power(x + 6, 2)) + 1 / (120 * power(x + 6, 4)) - 1 / (252 * power(x + 6, 6))
+          - 1 / x - 1 / (x + 1) - 1 / (x + 2) - 1 / (x + 3) - 1 / (x + 4) - 1 / (x + 5) + 0.5772156649015329 AS psi FROM x)
+    SELECT feature, round(greatest(any_value(ht.psi) + avg(hk.psi - hc.psi - m.psi), 0), 5) AS mi FROM m JOIN h ht ON ht.n = t JOIN h hk ON hk.n = least(3, c - 1)
+      JOIN h hc ON hc.n = c GROUP BY feature"""
 
 
 @query("m3_information_neighbours", _NEIGHBOURS)
@@ -76,13 +79,13 @@ def m4(spark, sf):
 @query("m5_threshold_sweep")
 def m5(spark, sf):
     rows = classes(spark, sf)
-    return model.threshold_sweep(rows, scores(rows), LABEL, IDS, trees=TREES, depth=DEPTH, k=3)
+    return model.threshold_sweep(rows, scores(rows), LABEL, IDS, trees=TREES, depth=DEPTH)
 
 
 @query("m6_forest_cv")
 def m6(spark, sf):
-    chosen = ["chars", "spaces", "digits"]
-    return model.cross_validate(classes(spark, sf), chosen, LABEL, IDS, model.forest(chosen, LABEL, TREES, DEPTH))
+    whole = model.forest(CLASS_FEATURES, LABEL, TREES, DEPTH)
+    return model.cross_validate(classes(spark, sf), CLASS_FEATURES, LABEL, IDS, whole)
 
 
 @query("m7_importances")
@@ -93,8 +96,10 @@ def m7(spark, sf):
 
 @query("m8_compare_sets")
 def m8(spark, sf):
-    sets = {"All Features": CLASS_FEATURES, "Selected Features": ["chars", "spaces"]}
-    return model.compare_feature_sets(classes(spark, sf), sets, LABEL, IDS, TREES, DEPTH, 3)
+    rows = classes(spark, sf)
+    selected = features.select_features(scores(rows), 0.8).select("feature").orderBy("feature").collect()
+    sets = {"All Features": CLASS_FEATURES, "Selected Features": [r["feature"] for r in selected]}
+    return model.compare_feature_sets(rows, sets, LABEL, IDS, TREES, DEPTH)
 
 
 _MATRIX = ["recovery_time_seconds", "cpu_usage_percent", "memory_usage_percent", "price"]
@@ -176,7 +181,7 @@ def m14_report(spark, sf):
 
 @query("m15_logistic_cv")
 def m15(spark, sf):
-    return model.cross_validate(classes(spark, sf), CLASS_FEATURES[:4], LABEL, IDS, k=3)
+    return model.cross_validate(classes(spark, sf), CLASS_FEATURES, LABEL, IDS)
 
 
 @query("m16_coefficients")

@@ -129,7 +129,7 @@ def _from_bean(bean: str) -> str:
         f"nullif(regexp_extract({bean}, '>([^>]*)$', 1), '')",
     ]
     key, value = _safe_name("substring_index(p, '=', 1)"), "regexp_extract(p, '^[^=]*=(.*)$', 1)"
-    rest = f"transform(slice({properties}, 2, 100), p -> named_struct('key', {key}, 'value', {value}))"
+    rest = f"transform(slice({properties}, 2, size({properties})), p -> named_struct('key', {key}, 'value', {value}))"
     return _named(_safe_name(f"concat_ws('_', {', '.join(parts)})"), "UNTYPED", rest)
 
 
@@ -144,17 +144,10 @@ def normalize_metrics(df: DataFrame, rules: list[Rule] = RULES, bean: str = "bea
     return named.select(*df.columns, "_named.metric", "_named.kind", "_named.labels")
 
 
-NAMES_KEPT = 100_000
-
-
 def normalize_repeated(df: DataFrame, rules: list[Rule] = RULES, bean: str = "bean") -> DataFrame:
     """The same for tables in which few bean names repeat in many readings.
 
-    The rules run once per distinct name and the result is joined back by
-    broadcast; more than ``NAMES_KEPT`` names are handled reading by reading.
+    The rules run once per distinct name and the result is joined back.
     """
-    names = df.select(bean).distinct().limit(NAMES_KEPT + 1).collect()
-    if len(names) > NAMES_KEPT:
-        return normalize_metrics(df, rules, bean)
-    table = df.sparkSession.createDataFrame(names, f"`{bean}` string")
-    return df.join(F.broadcast(normalize_metrics(table, rules, bean)), bean, "left")
+    names = df.select(bean).where(F.col(bean).isNotNull()).distinct()
+    return df.join(normalize_metrics(names, rules, bean), bean, "left")

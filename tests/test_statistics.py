@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -120,14 +121,15 @@ def random_classes(seed=1, n=150):
 
 
 def neighbours_brute_force(x, y, k=3):
-    psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, int(n)))
+    psi = lambda n: (math.lgamma(n + 1e-5) - math.lgamma(n - 1e-5)) / 2e-5
     total = 0.0
     for i in range(len(x)):
         same = np.sort(np.abs(np.delete(x[y == y[i]], np.flatnonzero(np.flatnonzero(y == y[i]) == i)) - x[i]))
         size = len(same) + 1
         kk = min(k, size - 1)
         r = same[kk - 1]
-        m = (x == x[i]).sum() if r == 0 else (np.abs(x - x[i]) < r).sum()
+        # Among copies the k nearest of the class come with their share of the other classes' copies.
+        m = kk * (x == x[i]).sum() / ((x == x[i]) & (y == y[i])).sum() if r == 0 else (np.abs(x - x[i]) < r).sum()
         total += psi(kk) - psi(size) - psi(m)
     return max(psi(len(x)) + total / len(x), 0)
 
@@ -146,6 +148,43 @@ def test_scores(spark):
         assert near[name] == pytest.approx(neighbours_brute_force(pdf[name].to_numpy(), pdf.label.to_numpy()), abs=1e-6)
 
 
+def test_neighbours_of_tied_values_and_missing_ones(spark):
+    rows = [(i, i % 2, float(i % 2), float(i % 4), float(i % 3), 0.001 * i) for i in range(240)]
+    pdf = pd.DataFrame(rows, columns=["id", "label", "same", "four", "apart", "x"])
+    names = ["same", "four", "apart"]
+    found = {r["feature"]: r["mi"] for r in features.mutual_information(spark.createDataFrame(pdf), names, "label", "neighbours").collect()}
+    # The label itself and values that tell it have its entropy, ln 2; an independent value has nothing.
+    assert found["same"] == pytest.approx(math.log(2), abs=0.02) and found["four"] == pytest.approx(math.log(2), abs=0.02)
+    assert found["apart"] == pytest.approx(0, abs=0.02)
+    more = pd.concat([pdf, pd.DataFrame([(1000 + i, i % 2, *[float("nan")] * 4) for i in range(60)], columns=pdf.columns)])
+    again = {r["feature"]: r["mi"] for r in features.mutual_information(spark.createDataFrame(more), names, "label", "neighbours").collect()}
+    assert again == pytest.approx(found)
+    chosen = workflows.choose_features(spark.createDataFrame(pdf), ["same", "apart"], "label", ["id"], trees=3, k=2)
+    assert chosen.selected == ["same"]
+
+
+def test_studentised_range_has_no_limits():
+    # Published tables.
+    assert stats.studentized_range_quantile(0.01, 10, 1) == pytest.approx(246, abs=1)
+    assert stats.studentized_range_tail(1351, 3, 1) == pytest.approx(0.001, rel=0.01)
+    assert stats.studentized_range_quantile(0.05, 3, 10) == pytest.approx(3.877, abs=0.002)
+    near, far = (stats.studentized_range_tail(3.5, 4, df) for df in (25_000, 25_001))
+    assert near == pytest.approx(far, rel=1e-5)
+    assert stats.studentized_range_tail(3.633, 4, 1e9) == pytest.approx(0.05, abs=2e-4)
+
+
+def test_report_without_and_classify_with_missing_values(spark):
+    rows = [(1, 1), (0, 0), (1, None)]
+    report = {r["class"]: r for r in model.classification_report(spark.createDataFrame(rows, "label int, prediction int")).collect()}
+    assert set(report) == {0, 1} and report[1]["recall"] == 0.5 and report[0]["f1"] == 1.0
+    train = spark.createDataFrame([(float(i), i % 5 * 1.0, int(i > 20)) for i in range(40)], "a double, b double, label int")
+    fitted = model.train_classifier(train, ["a", "b"], "label")
+    odd = spark.createDataFrame([(float("nan"), 1.0), (1.0, None), (3.0, float("nan")), (30.0, 1.0)], "a double, b double")
+    out = [(r["type"], r["error"]) for r in model.classify(odd, fitted, ["a", "b"]).collect()]
+    assert [t == "UNKNOWN" for t, _ in out] == [True, True, True, False]
+    assert [e for _, e in out] == ["Missing required feature: a", "Missing required feature: b", "Missing required feature: b", None]
+
+
 def test_scores_normalise_sum_and_select(spark):
     # Published scores of four features (rank correlation, mutual information).
     rows = [("w", 0.8, 0.6), ("x", 0.4, 0.6), ("y", 0.2, 0.0), ("z", float("nan"), 0.0)]
