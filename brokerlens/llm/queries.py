@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brokerlens.llm import bpe, packing, pii, planes, quality, secrets, simhash, topk, toxicity, warc
+from brokerlens.llm import bpe, oracles, packing, pii, planes, quality, secrets, simhash, topk, toxicity, warc
 from brokerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +38,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op3_quality")
+@query("op3_quality", oracles.QUALITY)
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality.judge(docs).drop("text", "source")
@@ -62,12 +62,12 @@ def op6_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read(spark, folder, manifest, docs.schema["doc_id"])
 
 
-@query("op7_topk")
+@query("op7_topk", oracles.TOPK)
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-@query("op9_warc")
+@query("op9_warc", oracles.WARC)
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder, manifest = warc.write(pages)
@@ -80,6 +80,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-@query("op4_secrets")
+@query("op4_secrets", oracles.SECRETS)
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
