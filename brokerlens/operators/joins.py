@@ -47,16 +47,20 @@ def _asof(left, right, on_ts, by, modes, width, right_ts=None):
     us = F.unix_micros(F.col(right_ts or on_ts).cast("timestamp"))
     payload = [c for c in right.columns if c not in by]
     facts = right.withColumn("_us", us).filter("_us IS NOT NULL")
-    # Of several rows at an instant the smallest; maps have no order, so they are compared and kept as sorted entries.
+    # Of several rows at an instant the smallest; maps have no order, so they travel as sorted entries.
     maps = [c for c in payload if isinstance(right.schema[c].dataType, T.MapType)]
     held = [F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in payload]
     facts = facts.groupBy(*by, "_us").agg(F.min(F.struct(*held)).alias("_p"))
-    fields = [F.map_from_entries(f"_p.{c}").alias(c) if c in maps else F.col(f"_p.{c}") for c in payload]
-    facts = facts.select(*by, "_us", F.lit(0).alias("_side"), F.struct("_us", *fields).alias("_right"))
+    facts = facts.select(*by, "_us", F.lit(0).alias("_side"), F.struct("_us", "_p.*").alias("_right"))
     asked = left.filter("_us IS NOT NULL").select(*by, "_us").distinct()
     asked = asked.withColumn("_side", F.lit(1))
     rows = facts.unionByName(asked, allowMissingColumns=True)
     found = _fill(rows, by, width, modes)
+    for mode in modes if maps else ():
+        match = F.col(mode)
+        fields = [F.map_from_entries(match[c]).alias(c) if c in maps else match[c].alias(c) for c in payload]
+        whole = F.struct(match["_us"].alias("_us"), *fields)
+        found = found.withColumn(mode, F.when(match.isNotNull(), whole))
     return left.join(found, [*by, "_us"], "left"), payload
 
 

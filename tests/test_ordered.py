@@ -55,6 +55,26 @@ def test_around_events(spark):
     assert (row["value_before"], row["value_during"], row["value_after"]) == (None, None, None)
 
 
+def test_asof_takes_columns_of_maps(spark):
+    r = spark.createDataFrame(
+        [(at(10), "a", {"x": "1", "w": "2"}), (at(10), "b", {"x": "0"}), (at(30), "c", None)],
+        "ts timestamp, strategy string, config map<string,string>",
+    )
+    l = spark.createDataFrame([(1, at(12)), (2, at(40)), (3, at(5))], "id int, ts timestamp")
+    got = {x["id"]: (x["right_strategy"], x["right_config"]) for x in joins.asof_backward(l, r, "ts").collect()}
+    assert got == {1: ("a", {"x": "1", "w": "2"}), 2: ("c", None), 3: (None, None)}
+
+
+def test_within_period_of_each_key(spark):
+    rows = spark.createDataFrame([("a", at(s)) for s in (5, 15, 25)] + [("b", at(15))], "k string, timestamp timestamp")
+    period = spark.createDataFrame(
+        [("a", at(0), at(10)), ("a", at(20), at(30)), ("c", at(0), at(99))],
+        "k string, recovery_start timestamp, recovery_end timestamp",
+    )
+    got = joins.within_period(rows, period, by=["k"]).collect()
+    assert sorted((r["k"], since(r["timestamp"])) for r in got) == [("a", 5), ("a", 25)]
+
+
 def test_within_period_and_no_period(spark):
     rows = spark.createDataFrame([(at(t), 1) for t in (0, 5, 20, 22, 500)], "timestamp timestamp, v int")
     period = sequence.recovery_period(rows)
