@@ -91,10 +91,14 @@ def nullify_sentinels(df: DataFrame, text: list[str] = (), numbers: list[str] =
 
 
 def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Fill NULL and NaN with the column mean, a scalar subquery; a column without values stays NULL."""
+    """Fill NULL and NaN with the column mean; a column without values stays NULL.
+
+    All means are one row of one scalar subquery, so the input is read once for them.
+    """
     values = {c: F.col(c).cast("double") for c in columns}
     known = {c: F.when(~F.isnan(v), v) for c, v in values.items()}
-    return df.withColumns({c: F.coalesce(v, df.agg(F.avg(v)).scalar()) for c, v in known.items()})
+    means = df.agg(F.struct(*[F.avg(v).alias(c) for c, v in known.items()])).scalar()
+    return df.withColumns({c: F.coalesce(v, means[c]) for c, v in known.items()})
 
 
 def where(df: DataFrame, condition: Column | str) -> DataFrame:

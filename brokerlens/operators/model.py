@@ -76,10 +76,14 @@ def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataF
 
 
 def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns standardised by their own mean and population deviation, without an action."""
-    std = {c: F.nullif(df.agg(F.stddev_pop(c)).scalar(), F.lit(0.0)) for c in columns}
-    mean = {c: df.agg(F.avg(c)).scalar() for c in columns}
-    return df.withColumns({c: (F.col(c) - mean[c]) / F.coalesce(std[c], F.lit(1.0)) for c in columns})
+    """The columns standardised by their own mean and population deviation, without an action.
+
+    All of them are one row of one scalar subquery, so the input is read once for them.
+    """
+    both = [F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns]
+    known = df.agg(F.struct(*both)).scalar()
+    std = {c: F.coalesce(F.nullif(known[c]["std"], F.lit(0.0)), F.lit(1.0)) for c in columns}
+    return df.withColumns({c: (F.col(c) - known[c]["mean"]) / std[c] for c in columns})
 
 
 def _scaling_stage(scaler: dict[str, tuple[float, float]]) -> SQLTransformer:
