@@ -50,6 +50,7 @@ def outcome(
     df: DataFrame, recovered: Column, strategy: str = "strategy", restarted: Column | None = None
 ) -> DataFrame:
     """Result label and detail text of a recovery."""
+    # The texts of the recovery log.
     strategy = F.coalesce(F.col(strategy), F.lit("DEFAULT"))
     detail = F.when(recovered, F.format_string("Successfully recovered broker with strategy '%s'", strategy)).otherwise(
         F.format_string("Broker still unavailable after applying strategy '%s'", strategy)
@@ -62,6 +63,7 @@ def outcome(
 
 def recovery_kind(recovered: Column) -> Column:
     """Detail text of an experiment run: recovered by itself or by hand."""
+    # The texts of the experiment table.
     return F.concat(F.when(recovered, "Automatic").otherwise("Manual"), F.lit(" recovery"))
 
 

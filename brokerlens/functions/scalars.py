@@ -54,6 +54,7 @@ def class_name(code: Column | str) -> Column:
 
 
 def scenario_name(workload: Column | str, adaptive: Column | str) -> Column:
+    # The endings of scenario names in the experiment table.
     return F.concat(_col(workload), F.when(_col(adaptive), "_with_arms").otherwise("_without_arms"))
 
 

@@ -120,6 +120,7 @@ def phase_changes(df: DataFrame, t0: str, seconds: float, names: list[str] = ("b
     rows = last.filter("_last >= 1").select(F.explode(F.sequence(F.lit(1).cast("bigint"), "_last")).alias("_i"))
     name = F.array(*[F.lit(n) for n in names])[F.pmod("_i", F.lit(len(names))).cast("int")]
     zero, none = F.lit(0.0), F.lit(0)
+    # The texts of a mode change in the recovery log.
     return rows.select(
         F.timestamp_micros(start + F.col("_i") * micros(seconds)).alias("timestamp"),
         F.lit("AUTO-SWITCH").alias("strategy"),
