@@ -281,12 +281,13 @@ def near_links(prints: DataFrame, bits: int = BITS, shard_rows: int = 512, sampl
     Two fingerprints within ``bits`` (3 at most, else 2 * r + 1) bits agree but for ``bits // 2`` bits in their lower
     or their upper half. So there is one tree for each half, that measures by this half and its small radius: a
     fingerprint is in few shards besides its home, where whole fingerprints would meet a bound at every second node.
-    Shards below that number of rows have about ``shard_rows`` of their own. The trees are grown on a random sample of
-    at most ``sample_rows`` and are sent to every task; the sample decides only how even shards are, not what is found.
+    A shard has about ``shard_rows`` of its own, or more where that would take over ``sample_rows`` / 16 shards. The trees
+    are grown on a random sample of an eighth of the fingerprints and at most ``sample_rows``, and are sent to every
+    task; the sample decides only how even shards are, not what is found.
     """
     total = prints.count()
     shards = max(1, min(total // shard_rows, sample_rows // 16))
-    share = min(1.0, sample_rows / max(total, 1))
+    share = min(0.125, sample_rows / max(total, 1))
     keep = F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)
     sample = prints.where(keep).select("fp").limit(2 * sample_rows).toPandas()["fp"].to_numpy(dtype=np.int64)
     points = np.sort(sample).view(np.uint64)

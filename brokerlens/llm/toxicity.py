@@ -140,8 +140,8 @@ def fit(
     try:
         half = F.pmod(F.col("h"), F.lit(1 << 20)) < (1 << 19)
         words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})")))
-        train = sample.where(half).select("y", words.alias("words"), F.count("*").over(_by("y")).alias("n"))
-        size = {r["y"]: r["n"] for r in train.select("y", "n").distinct().collect()}
+        train = sample.where(half).select("y", words.alias("words"))
+        size = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
         n1, n0 = size.get(1, 0), size.get(0, 0)
         if not n1 or not n0:
             return _constant(positive, negative)
@@ -183,12 +183,6 @@ def _constant(positive: int, negative: int) -> Model:
     return Model(b" ", b" ", b" ", (0.0,) * n, (1.0,) * n, (0.0,) * n + (math.log(share / (1 - share)),))
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 def _is_marked(word: str, marked: set[str]) -> bool:
     return word in marked or any(word[:k] + "*" in marked for k in range(3, min(8, len(word))))
 

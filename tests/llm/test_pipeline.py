@@ -1,11 +1,11 @@
+import numpy as np
+
 import corpus_pipeline
 from brokerlens.llm import packing, pii, quality, simhash, toxicity
 from tests.llm.test_packing import plain as plain_pack
 from tests.llm.test_quality import plain as plain_measures
 from tests.llm.test_simhash import plain_classes
 
-import numpy as np
-
 SF = "/root/testdata/sf0.01"
 
 
