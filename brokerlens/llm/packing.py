@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from brokerlens.llm import planes
 from brokerlens.llm.common import text_key
 
 CAPACITY = 2048
@@ -54,18 +55,24 @@ def pack(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, in
     return out
 
 
-def pieces(docs: DataFrame, capacity: int, text: str, key: str, source: str) -> DataFrame:
+def pieces(
+    docs: DataFrame, capacity: int, text: str, key: str, source: str, tokenizer: tuple[str, str] | None = None
+) -> DataFrame:
     """(key, piece, copy, size, source, cluster): what is to be placed.
 
-    A document needs a token for every 4 bytes of its text, as an estimate, and one for its end; a longer one than a
-    bin is cut into pieces of a full bin and a rest. Equal rows are counted first and numbered as copies, so many of
-    them neither gather in a shuffle nor in a shard.
+    A document needs the tokens that ``tokenizer`` makes of its text and one for its end; a longer one than a bin is
+    cut into pieces of a full bin and a rest, so piece k begins at its token k * capacity. Equal rows are counted
+    first and numbered as copies, so many of them neither gather in a shuffle nor in a shard.
     """
-    size = F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("long") + 1
     rows = docs.select(
         F.col(key).alias("key"), F.xxhash64(F.col(source)).alias("source"), text_key(F.col(text)).alias("cluster"),
-        size.alias("total"),
+        F.col(text).alias("body"),
     )
+    if tokenizer is None:
+        size = F.ceil(F.coalesce(F.octet_length("body"), F.lit(0)) / 4).cast("long") + 1
+        rows = rows.withColumn("total", size).drop("body")
+    else:
+        rows = planes.counted(rows, *tokenizer, "body", "total")
     rows = rows.groupBy("key", "source", "cluster", "total").agg(F.count("*").alias("copies"))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     parts = F.ceil(F.col("total") / capacity).cast("long")
@@ -81,15 +88,19 @@ def best_fit(
     text: str = "text",
     key: str = "doc_id",
     source: str = "source",
+    tokenizer: tuple[str, str] | None = None,
 ) -> DataFrame:
     """(key, piece, n_tokens, bin, slot, start) for every piece of every row.
 
+    ``tokenizer`` is a file of the tokenizers library and its pattern, as ``planes.write`` takes them; tokens are
+    counted by encoding every text. Without one they are an estimate, a token for every 4 bytes and one for the end.
+
     Pieces are dealt by a hash into shards of about ``shard_rows``; each shard is packed by itself, largest first,
     which costs at most its last open bins. The pieces of one source, however many, spread over all shards and are
     at most one to a bin, as are copies of one text. A null source is a source of its own; null and empty texts take
     one token for their end. Repeated rows are all placed. An empty table gives an empty table.
     """
-    rows = pieces(docs, capacity, text, key, source)
+    rows = pieces(docs, capacity, text, key, source, tokenizer)
     shards = max(1, -(-docs.count() // shard_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("key", "cluster", "piece", "copy"), F.lit(shards)))
     kind = docs.schema[key].dataType

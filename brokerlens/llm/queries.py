@@ -46,7 +46,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"))
+    tokenizer = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer=tokenizer)
 
 
 @query("op8_pii")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from brokerlens.llm import packing, pii, quality, simhash, toxicity
@@ -31,7 +32,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's tokens go: (doc_id, piece, n_tokens, bin, slot, start)."""
-    return packing.best_fit(docs)
+    return packing.best_fit(docs, tokenizer=(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
 STAGES = [

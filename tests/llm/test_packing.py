@@ -44,3 +44,23 @@ def test_edge_rows_and_clashing_names(spark, crowded, nothing):
     assert (rows[rows["doc_id"] == 5]["bin"].nunique()) == 2
     assert rows[rows["doc_id"] == 6]["n_tokens"].sum() == 30_002
     assert packing.best_fit(nothing).count() == 0
+
+
+def test_sizes_are_tokens_of_the_library(spark, corpus):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from brokerlens.llm import queries
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    need = {r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for r in docs.collect()}
+    for rows in (queries.QUERIES["op5_packing"](spark, sf), corpus_pipeline.pack_sequences(spark, docs, sf)):
+        rows = rows.toPandas()
+        assert rows.groupby("doc_id")["n_tokens"].sum().to_dict() == need
+        assert rows.groupby("bin")["n_tokens"].sum().max() <= packing.CAPACITY
+    edge = corpus_pipeline.pack_sequences(spark, corpus, sf).toPandas()
+    assert edge[edge["doc_id"].isin([2, 3])]["n_tokens"].tolist() == [1, 1]
+    assert (edge["piece"] == 0).sum() == len(TEXTS)
