@@ -18,22 +18,21 @@ ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "entropy"]
+SPANS = "array<struct<start:long,end:long>>"
 
-#: Alphabets of the character classes, in the order in which a string is tried; the last holds all others.
+#: Alphabets of the character classes; the last holds all others. A candidate is a maximal stretch of one class.
 CLASSES = {
     "hex": "0123456789abcdef",
     "upper_hex": "0123456789ABCDEF",
     "alphanumeric": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-
 
 @dataclass(frozen=True)
 class Limits:
     """Window length and least entropy in bits per character class, and what is never a secret.
 
-    ``allowed_patterns`` are searched in a candidate; ``allowed`` are whole strings.
+    ``allowed_patterns`` are searched in a candidate of a class; ``allowed`` are whole candidates.
     """
 
     window: int = 20
@@ -112,22 +111,36 @@ def _entropy_range(hit: Column, alphabet: str, window: int, least: float) -> Col
     return F.aggregate(moves, start, step, lambda held: F.struct(held["first"].alias("first"), held["last"].alias("last")))
 
 
-def _high(candidate: Column, limits: Limits) -> Column:
+def _candidates(text: Column, name: str, limits: Limits) -> Column:
+    """[(start, end, hit, part)] of the maximal stretches of a class that have a window and are not allowed."""
+    letters = "[" + CLASSES[name].replace("-", r"\-") + "]"
+    found = _found(text, f"(?<!{letters}){letters}{{{limits.window},}}")
+    return F.filter(found, lambda s: ~_allowed(s["hit"], limits))
+
+
+def _high(candidate: Column, name: str, least: float, window: int) -> Column:
     """(start, end) within the text of a candidate's stretch of high entropy; start is null without any."""
-    found = F.lit(None).cast("struct<first:int,last:int>")
-    for name, least in reversed(limits.bits):
-        pattern = "^[" + CLASSES[name].replace("-", r"\-") + "]*$"
-        own = _entropy_range(candidate["hit"], CLASSES[name], limits.window, least)
-        found = F.when(candidate["hit"].rlike(pattern), own).otherwise(found)
     return F.transform(
-        F.array(found),
+        F.array(_entropy_range(candidate["hit"], CLASSES[name], window, least)),
         lambda f: F.struct(
             (candidate["start"] + f["first"]).cast("long").alias("start"),
-            (candidate["start"] + f["last"] + limits.window).cast("long").alias("end"),
+            (candidate["start"] + f["last"] + window).cast("long").alias("end"),
         ),
     )[0]
 
 
+def _merged(spans: Column) -> Column:
+    """Spans in order of start, those that overlap made one."""
+
+    def step(held: Column, x: Column) -> Column:
+        last = F.get(held, F.size(held) - 1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        joined = F.array_append(F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0))), wider)
+        return F.when(x["start"] < last["end"], joined).otherwise(F.array_append(held, x))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
+
+
 def _allowed(hit: Column, limits: Limits) -> Column:
     out = hit.isin(*limits.allowed) if limits.allowed else F.lit(False)
     for pattern in limits.allowed_patterns:
@@ -139,7 +152,9 @@ def scan(docs: DataFrame, limits: Limits = Limits(), text: str = "text", key: st
     """Per row: key, n_assign, n_access, n_hex, base_sha256 and spans ("kind:start:end", comma-joined).
 
     Offsets are code points, ends exclusive; spans are in order of start, then kind as in ``KINDS``. A high-entropy
-    stretch is listed only where no fixed pattern lies and the allow-list does not suppress its candidate. A null or
+    stretch is listed only where no fixed pattern lies and the allow-list does not suppress its candidate. Candidates
+    are the maximal stretches of each class, so a key glued to a name or a path is judged by its own class too, and
+    an allowed word beside it does not suppress it; stretches of several classes that overlap are one span. A null or
     empty text has none and the digest of an empty list. Repeated rows each get a row; other columns are left out.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -148,7 +163,7 @@ def scan(docs: DataFrame, limits: Limits = Limits(), text: str = "text", key: st
         F.filter(_found(body, ASSIGN, 2), lambda s: F.length(s["part"]) >= ASSIGN_LEAST).alias("assign"),
         _found(body, ACCESS).alias("access"),
         _found(body, HEX).alias("hex"),
-        F.filter(_found(body, CANDIDATE), lambda s: ~_allowed(s["hit"], limits)).alias("candidates"),
+        *(_candidates(body, name, limits).alias(f"in_{name}") for name, _ in limits.bits),
     )
 
     def placed(name: str) -> Column:
@@ -156,16 +171,18 @@ def scan(docs: DataFrame, limits: Limits = Limits(), text: str = "text", key: st
         return F.transform(F.col(name), lambda s: F.struct(s["start"].alias("start"), kind.alias("kind"), s["end"].alias("end")))
 
     rows = rows.withColumn("base", F.array_sort(F.concat(placed("assign"), placed("access"), placed("hex"))))
-    stretches = F.when(
-        F.size("candidates") > 0, F.transform("candidates", lambda c: _high(c, limits))
-    ).otherwise(F.array().cast("array<struct<start:long,end:long>>"))
-    rows = rows.withColumn("entropy", stretches)
-    free = F.filter(
-        F.col("entropy"),
-        lambda e: e["start"].isNotNull()
-        & ~F.exists(F.col("base"), lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])),
-    )
-    rows = rows.withColumn("entropy", F.when(F.size("entropy") > 0, free).otherwise(F.col("entropy")))
+
+    def free(name: str, least: float) -> Column:
+        """The stretches of high entropy of a class where no fixed pattern lies."""
+        held = F.filter(
+            F.transform(f"in_{name}", lambda c: _high(c, name, least, limits.window)),
+            lambda e: e["start"].isNotNull()
+            & ~F.exists(F.col("base"), lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])),
+        )
+        return F.when(F.size(f"in_{name}") > 0, held).otherwise(F.array().cast(SPANS))
+
+    rows = rows.withColumn("entropy", F.concat(*(free(name, least) for name, least in limits.bits)))
+    rows = rows.withColumn("entropy", F.when(F.size("entropy") > 1, _merged(F.col("entropy"))).otherwise(F.col("entropy")))
     names = F.array(*(F.lit(k) for k in KINDS))
 
     def listed(spans: Column) -> Column:

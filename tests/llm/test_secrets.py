@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 from brokerlens.llm import secrets
@@ -61,3 +62,30 @@ def test_limits_and_allowed_strings(spark):
     allowed = secrets.Limits(allowed=("Zx9Kq2Lm8Vt4Bn7Wp3Rd",))
     assert secrets.scan(docs, allowed).first()["spans"] == ""
     assert "Python" not in secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_glued_to_names_and_paths(spark):
+    rng = random.Random(11)
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    mixed = secrets.CLASSES["alphanumeric"]
+    cases = []
+    for _ in range(25):
+        upper, other = key("0123456789ABCDEF", 40), key(mixed, 40)
+        cases += [(f"see {front}{upper} end", upper) for front in ("sig=", "x_", "/v1/", "sample/")]
+        cases += [(f"see {front}{other} end", other) for front in ("example/", "0123456789/")]
+    docs = [(i, text) for i, (text, _) in enumerate(cases)]
+    found = 0
+    for row in secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        text, hidden = cases[row["doc_id"]]
+        spans = [s.split(":") for s in row["spans"].split(",") if s]
+        at = text.index(hidden)
+        found += any(int(a) < at + 40 and at < int(b) for _, a, b in spans)
+    assert found >= 0.97 * len(cases)
+
+
+def test_stretches_beside_fixed_patterns_and_overlaps(spark):
+    own, upper, hexes = "Zx9Kq2Lm8Vt4Bn7Wp3Rd", "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B", "9f86d081884c7d659a2feaa0c55ad015"
+    texts = [f"{hexes}/{own}", f"{own} {own}", f"sample/{own}", f"example{own}", f"dir/sample/{upper}/{own}"]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r["doc_id"]: r["spans"] for r in rows}
+    assert spans == {0: "hex:0:32,entropy:33:53", 1: "entropy:0:20,entropy:21:41", 2: "entropy:7:27", 3: "", 4: "entropy:11:51,entropy:52:72"}
