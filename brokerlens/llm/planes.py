@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,21 +124,39 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in prints}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
 
-_HELD: dict[str, PretokenCache] = {}
+class Encoder(PretokenCache):
+    """As ``PretokenCache``; texts with a string of the tokenizer's added tokens go to the library whole."""
 
+    def __init__(self, pattern: str, encode, tokenizer):
+        super().__init__(pattern, encode)
+        self.tokenizer = tokenizer
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-def _cache(path: str, pattern: str) -> PretokenCache:
+    def texts(self, texts: Iterable[str | None]) -> list[bytes]:
+        held = list(texts)
+        whole = {k: t for k, t in enumerate(held) if t and any(a in t for a in self.added)}
+        out = super().texts("" if k in whole else t for k, t in enumerate(held))
+        for k, t in whole.items():
+            out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
+
+
+_HELD: dict[str, Encoder] = {}
+
+
+def _cache(path: str, pattern: str) -> Encoder:
     """One per worker process. Pretokens go to the library's model as they are; its own splitting was done here."""
     if path not in _HELD:
         from tokenizers import Tokenizer
 
-        model, letters = Tokenizer.from_file(path).model, byte_letters()
+        tokenizer = Tokenizer.from_file(path)
+        model, letters = tokenizer.model, byte_letters()
 
         def encode(pretokens: list[str]) -> list[bytes]:
             spelled = (p.encode().decode("latin-1").translate(letters) for p in pretokens)
             return [array("I", [t.id for t in model.tokenize(s)]).tobytes() for s in spelled]
 
-        _HELD[path] = PretokenCache(pattern, encode)
+        _HELD[path] = Encoder(pattern, encode, tokenizer)
     return _HELD[path]
 
 

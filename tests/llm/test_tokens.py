@@ -93,3 +93,20 @@ def test_files_give_back_every_document_in_order(spark, bits, tokenizer, crowded
 def test_an_empty_table_has_no_files(spark, nothing):
     folder, manifest = planes.write(nothing, VOCABULARY, public_tokenizers.PATTERN)
     assert manifest.count() == 0 and planes.read(spark, folder, manifest, nothing.schema["doc_id"]).count() == 0
+
+
+def test_added_tokens_in_texts_as_the_library_has_them(spark):
+    library = Tokenizer.from_file(VOCABULARY)
+    texts = [*odd_texts()[-40:], "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n y", "<|endoftext", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder, manifest = planes.write(docs, VOCABULARY, public_tokenizers.PATTERN)
+    rows = planes.read(spark, folder, manifest, docs.schema["doc_id"]).orderBy("start").collect()
+    at = 0
+    for row in rows:
+        ids = library.encode(texts[row["doc_id"]] or "", add_special_tokens=False).ids + [planes.END_ID]
+        assert (row["start"], row["n_tokens"]) == (at, len(ids))
+        assert row["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        at += len(ids)
+    assert len(rows) == len(texts)
+    sized = planes.counted(docs, VOCABULARY, public_tokenizers.PATTERN, "text", "n").collect()
+    assert {r["doc_id"]: r["n"] for r in sized} == {r["doc_id"]: r["n_tokens"] for r in rows}
