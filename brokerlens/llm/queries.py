@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brokerlens.llm import bpe, oracles, packing, pii, planes, quality, secrets, simhash, topk, toxicity, warc
+from brokerlens.llm import bpe, oracles, packing, pii, planes, quality, resampling, secrets, simhash, topk, toxicity, warc
+from brokerlens.llm import whitening
 from brokerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_secrets", oracles.SECRETS)
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_resample")
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_whiten")
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
