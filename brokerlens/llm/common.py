@@ -20,13 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """The same rows, written once to the folder all executors share and read back.
 
-    Cuts the lineage: a lost executor costs a re-read, not the work before it.
+    Cuts the lineage: a lost executor costs a re-read, not the work before it. ``compression`` is the codec of the
+    files, the session's own if not given.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brokerlens.llm import bpe, oracles, packing, pii, planes, quality, resampling, secrets, simhash, topk, toxicity, warc
-from brokerlens.llm import whitening
+from brokerlens.llm import bpe, jaccard, oracles, packing, pii, planes, quality, resampling, secrets, simhash, topk
+from brokerlens.llm import toxicity, warc, whitening
 from brokerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,11 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_jaccard")
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 @query("op13_whiten")
 def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
