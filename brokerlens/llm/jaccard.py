@@ -8,19 +8,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from brokerlens.llm.common import free_name, per_batch, slices, written
 from brokerlens.llm.components import components
-from brokerlens.llm.simhash import shingle_hashes
 
 SIZE, PERCENT = 4, 85
 #: Counters of grams by the upper bits of their hashes, and the 64-bit words of a class's stored bitmap.
 COUNTERS, WORDS = 1 << 16, 16
 #: Members and grams of a shard, and members of a leaf.
-BLOCK, BLOCK_GRAMS, LEAF = 2048, 4_000_000, 16
+BLOCK, BLOCK_GRAMS, LEAF = 2048, 1_000_000, 16
 #: Class ids are sent to every task up to so many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -28,9 +28,58 @@ BROADCAST_BYTES = 32 << 20
 # Sets of grams
 
 
-def grams(text: str | None, size: int = SIZE) -> np.ndarray:
-    """The distinct hashes of the runs of ``size`` words, sorted; empty without words."""
-    return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
+# A word's hash is the sum of its letters' values times rising powers of an odd step, in 64 bits.
+_STEP, _CHUNK = 0x9E3779B97F4A7C15, 1 << 16
+_LETTER = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], dtype=np.uint64)
+_LETTER[65:91] = _LETTER[97:123]
+_GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_UP = np.cumprod(np.r_[np.uint64(1), np.full(_CHUNK, _STEP, dtype=np.uint64)])
+_DOWN = np.cumprod(np.r_[np.uint64(1), np.full(_CHUNK, pow(_STEP, -1, 1 << 64), dtype=np.uint64)])
+
+
+def word_hashes(body: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z lower-cased; a chunk of many words at a time."""
+    letters = np.frombuffer(body, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(_GAP[letters], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    out, at = np.zeros(len(starts), dtype=np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        last = int(np.searchsorted(ends, base + _CHUNK, side="right"))
+        if last > at:
+            values = _LETTER[letters[base : ends[last - 1]]]
+            sums = np.zeros(len(values) + 1, dtype=np.uint64)
+            np.cumsum(values * _UP[: len(values)], out=sums[1:])
+            out[at:last] = (sums[ends[at:last] - base] - sums[starts[at:last] - base]) * _DOWN[starts[at:last] - base]
+            at = last
+            continue
+        whole = 0
+        for low in range(int(base), int(ends[at]), _CHUNK):  # one word longer than a chunk
+            values = _LETTER[letters[low : min(low + _CHUNK, ends[at])]]
+            whole += int((values * _UP[: len(values)]).sum(dtype=np.uint64)) * pow(_STEP, low - int(base), 1 << 64)
+        out[at] = whole % (1 << 64)
+        at += 1
+    return out
+
+
+def runs(body: bytes, size: int = SIZE) -> np.ndarray:
+    """64-bit hashes of the runs of ``size`` words (fewer words: the whole sequence), A-Z lower-cased.
+
+    A run's hash is a polynomial of its words' hashes.
+    """
+    marks = word_hashes(body)
+    width = min(size, len(marks))
+    out = np.full(len(marks) - width + 1 if width else 0, width, dtype=np.uint64)
+    for at in range(width):
+        out *= _LETTER[1] | np.uint64(1)
+        out += marks[at : at + len(out)]
+    return out
+
+
+def grams(body: bytes, size: int = SIZE) -> np.ndarray:
+    """The distinct hashes of the runs, sorted; empty without words."""
+    found = np.sort(runs(body, size))
+    return found[np.append(True, found[1:] != found[:-1])] if len(found) else found
 
 
 def needed(sizes: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
@@ -166,9 +215,31 @@ def possible(group: pa.Table, percent: int) -> list[tuple[int, int]]:
     return _shard(group, bits, percent).search(lambda i, j: True)
 
 
+def possible_in_leaves(rows: pa.RecordBatch, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many groups of a leaf's size at once: pairs of rows at equal distances, all groups together."""
+    bits = np.frombuffer(b"".join(rows.column("load").to_pylist()), dtype=np.uint64).reshape(rows.num_rows, -1)
+    n, comp, home = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "comp", "home"))
+    extra = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    left, right = [], []
+    for gap in range(1, LEAF):
+        a = np.flatnonzero(group[:-gap] == group[gap:])
+        if not len(a):
+            break
+        b = a + gap
+        total, smaller = n[a] + n[b], np.minimum(n[a], n[b])
+        near = (smaller >= needed(total, percent)) & (comp[a] != comp[b]) & (home[a] | home[b])
+        a, b, total = a[near], b[near], total[near]
+        overlap = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(extra[a], extra[b])
+        near = overlap >= needed(total, percent)
+        left.append(a[near])
+        right.append(b[near])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+
+
 def certain(group: pa.Table, percent: int, size: int) -> list[tuple[int, int]]:
     """Links of the whole sets, counted gram by gram after the tree of this shard's own bitmaps."""
-    sets = [grams(text, size) for text in group.column("load").to_pylist()]
+    unpack = zstandard.ZstdDecompressor().decompress
+    sets = [grams(unpack(load), size) for load in group.column("load").to_pylist()]
     words = 4
     while words < 256 and 16 * words < max(map(len, sets)):
         words *= 2
@@ -191,15 +262,20 @@ def _shard(group: pa.Table, bits: np.ndarray, percent: int) -> Shard:
 # Shards in Spark
 
 
-def by_group(find: Callable[[pa.Table], list[tuple[int, int]]]):
-    """A ``mapInArrow`` function over partitions sorted by (grp, block): links (a, b) of each group of rows."""
+def by_group(find: Callable[[pa.Table], list[tuple[int, int]]], in_leaves=None):
+    """A ``mapInArrow`` function over partitions sorted by (grp, block): links (a, b) of each group of rows.
+
+    Groups that fit a leaf and end within their batch are handed to ``in_leaves`` together, if given.
+    """
+
+    def made(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.stack([ids[a], ids[b]], axis=1), axis=0)
+        return pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     def links(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        if group.num_rows < 2:
-            return
-        found = np.array(find(group), dtype=np.int64).reshape(-1, 2)
-        ids = group.column("id").to_numpy()
-        yield pa.RecordBatch.from_pydict({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
+        if group.num_rows > 1:
+            found = np.array(find(group), dtype=np.int64).reshape(-1, 2)
+            yield made(group.column("id").to_numpy(), found[:, 0], found[:, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -209,7 +285,17 @@ def by_group(find: Callable[[pa.Table], list[tuple[int, int]]]):
                 continue
             grp, block = batch.column("grp").to_numpy(), batch.column("block").to_numpy()
             edges = np.flatnonzero((grp[1:] != grp[:-1]) | (block[1:] != block[:-1])) + 1
-            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(grp)]):
+            lows, highs = np.concatenate([[0], edges]), np.concatenate([edges, [len(grp)]])
+            sizes = highs - lows
+            whole = np.zeros(len(lows), dtype=bool)
+            if in_leaves is not None:
+                whole[1:-1] = sizes[1:-1] <= LEAF
+                number = np.repeat(np.arange(len(lows)), sizes)
+                rows = np.flatnonzero((whole & (sizes > 1))[number])
+                if len(rows):
+                    part = batch.take(pa.array(rows))
+                    yield made(part.column("id").to_numpy(), *in_leaves(part, number[rows]))
+            for low, high in zip(lows[~whole].tolist(), highs[~whole].tolist()):
                 if held and mark != (grp[low], block[low]):
                     yield from links(pa.Table.from_batches(held))
                     held = []
@@ -221,18 +307,18 @@ def by_group(find: Callable[[pa.Table], list[tuple[int, int]]]):
     return run
 
 
-def _searched(rows: DataFrame, loads: DataFrame, find) -> DataFrame:
+def _searched(rows: DataFrame, loads: DataFrame, find: tuple) -> DataFrame:
     """(a, b) of the rows (grp, block, id, n, comp, home), each with the load of its id."""
     wide = rows.join(loads, "id").select("grp", "block", "id", "n", "comp", "home", "load")
     dealt = wide.repartition("grp", "block").sortWithinPartitions("grp", "block")
-    return written(dealt.mapInArrow(by_group(find), "a long, b long"), "links")
+    return written(dealt.mapInArrow(by_group(*find), "a long, b long"), "links")
 
 
 def _in_block(rows: DataFrame, salt: int) -> DataFrame:
     return rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")))
 
 
-def forest(members: DataFrame, loads: DataFrame, find, block: int = BLOCK, grams_: int | None = None) -> DataFrame:
+def forest(members: DataFrame, loads: DataFrame, find: tuple, block: int = BLOCK, grams_: int | None = None) -> DataFrame:
     """Links (a, b) among members (grp, id, n, comp) of equal ``grp`` that connect, with comp, what all links connect.
 
     A group of up to ``block`` members (and ``grams_`` grams) is one shard. A larger one is dealt to blocks by a hash
@@ -279,9 +365,8 @@ def gram_ranks(docs: DataFrame, text: str, size: int) -> np.ndarray:
         total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, ["text"]):
-                for body in part.column("text").to_pylist():
-                    found = grams(body, size) >> np.uint64(48)
-                    np.add.at(total, found.astype(np.int64), 1)
+                found = np.concatenate([runs((t or "").encode(), size) for t in part.column("text").to_pylist()])
+                total += np.bincount((found >> np.uint64(48)).astype(np.int64), minlength=COUNTERS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"at": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
 
@@ -293,24 +378,25 @@ def gram_ranks(docs: DataFrame, text: str, size: int) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """(row, key, text, n, high, low, first, bits): a number per row, the set's size, 128 bits of it, its prefix and bitmap."""
+    """(row, key, load, n, high, low, first, bits): a number per row, the text compressed, the set's size, 128 bits of it, its prefix and bitmap."""
     ranks = gram_ranks(docs, text, size)
     schema = StructType([StructField("row", docs.sparkSession.range(0).schema["id"].dataType), StructField("key", docs.schema[key].dataType)])
-    for name, kind in (("text", "string"), ("n", "long"), ("high", "long"), ("low", "long"), ("first", "array<long>"), ("bits", "binary")):
+    for name, kind in (("load", "binary"), ("n", "long"), ("high", "long"), ("low", "long"), ("first", "array<long>"), ("bits", "binary")):
         schema.add(name, StructType.fromDDL(f"x {kind}")["x"].dataType)
 
     def describe(rows: list, keys: list, texts: list) -> dict:
-        sets = [grams(body, size) for body in texts]
+        bodies = [(t or "").encode() for t in texts]
+        sets, pack = [grams(body, size) for body in bodies], zstandard.ZstdCompressor().compress
         digests = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=">i8") for s in sets]
         return {
-            "row": rows, "key": keys, "text": texts, "n": [len(s) for s in sets],
+            "row": rows, "key": keys, "load": list(map(pack, bodies)), "n": [len(s) for s in sets],
             "high": [int(d[0]) for d in digests], "low": [int(d[1]) for d in digests],
             "first": [prefix(s, ranks, percent).view(np.int64) for s in sets],
             "bits": [bitmap(s, WORDS).tobytes() for s in sets],
         }
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    return written(rows.mapInArrow(per_batch(describe, ["row", "key", "text"], schema), schema), "sets", "zstd")
+    return written(rows.mapInArrow(per_batch(describe, ["row", "key", "text"], schema), schema), "sets")
 
 
 def class_links(rows: DataFrame, classes: DataFrame, size: int = SIZE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -322,7 +408,7 @@ def class_links(rows: DataFrame, classes: DataFrame, size: int = SIZE, percent:
     shared = entries.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").drop("m")
     entries = written(entries.join(shared, "grp"), "shared")
     bits = own.select(F.col("row").alias("id"), F.col("bits").alias("load"))
-    allowed = lambda group: possible(group, percent)
+    allowed = (lambda group: possible(group, percent)), (lambda rows, group: possible_in_leaves(rows, group, percent))
     # Sets that agree in their first gram, mostly copies, make classes; other grams matter where classes meet.
     links = forest(entries.where("place = 0").select("grp", "id", "n", F.col("id").alias("comp")), bits, allowed, block)
     entries = written(classed(entries.select("grp", "id", "n", F.col("id").alias("comp")), links).drop("old"), "shared")
@@ -330,9 +416,9 @@ def class_links(rows: DataFrame, classes: DataFrame, size: int = SIZE, percent:
     links = links.unionAll(forest(entries.join(meeting.select("grp"), "grp"), bits, allowed, block))
     near = written(components(links).select(F.col("component").alias("grp"), F.col("node").alias("id")), "near")
     chosen = _chosen(rows, near.select("id"), near.count())
-    texts = written(chosen.select(F.col("row").alias("id"), "n", F.col("text").alias("load")), "texts", "zstd")
+    texts = written(chosen.select(F.col("row").alias("id"), "n", "load"), "texts")
     members = near.join(texts.select("id", "n"), "id").select("grp", "id", "n", F.col("id").alias("comp"))
-    return forest(members, texts.drop("n"), lambda group: certain(group, percent, size), block, BLOCK_GRAMS)
+    return forest(members, texts.drop("n"), (lambda group: certain(group, percent, size),), block, BLOCK_GRAMS)
 
 
 def linked(
