@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from brokerlens.llm.common import free_name, per_batch, slices, written
+from brokerlens.llm.common import PART_BYTES, free_name, per_batch, slices, written
 from brokerlens.llm.components import components
 
 SIZE, PERCENT = 4, 85
@@ -283,7 +283,7 @@ def by_group(find: Callable[[pa.Table], list[tuple[int, int]]], in_leaves=None):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grp, block = batch.column("grp").to_numpy(), batch.column("block").to_numpy()
+            grp, block = batch.column("grp").to_numpy(zero_copy_only=False), batch.column("block").to_numpy()
             edges = np.flatnonzero((grp[1:] != grp[:-1]) | (block[1:] != block[:-1])) + 1
             lows, highs = np.concatenate([[0], edges]), np.concatenate([edges, [len(grp)]])
             sizes = highs - lows
@@ -308,8 +308,8 @@ def by_group(find: Callable[[pa.Table], list[tuple[int, int]]], in_leaves=None):
 
 
 def _searched(rows: DataFrame, loads: DataFrame, find: tuple) -> DataFrame:
-    """(a, b) of the rows (grp, block, id, n, comp, home), each with the load of its id."""
-    wide = rows.join(loads, "id").select("grp", "block", "id", "n", "comp", "home", "load")
+    """(a, b) of the rows (grp, block, id, n, comp, home), each with its load."""
+    wide = rows.join(loads, [c for c in loads.columns if c != "load"]).select("grp", "block", "id", "n", "comp", "home", "load")
     dealt = wide.repartition("grp", "block").sortWithinPartitions("grp", "block")
     return written(dealt.mapInArrow(by_group(*find), "a long, b long"), "links")
 
@@ -347,10 +347,12 @@ def forest(members: DataFrame, loads: DataFrame, find: tuple, block: int = BLOCK
 def classed(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Rows with comp replaced by the class that the links and the old comp (kept as ``old``) make of it."""
     # A class so far is one node: links join classes, not only members.
-    known = rows.select("id", F.col("comp").alias("old")).distinct()
-    edges = links.select("a", "b").unionAll(known.select(F.col("id").alias("a"), F.col("old").alias("b")))
-    found = components(edges).withColumnsRenamed({"node": "id", "component": "comp"})
-    return rows.withColumnRenamed("comp", "old").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    known = rows.where("id <> comp").select("id", "comp").distinct()
+    found = written(components(links.select("a", "b").unionAll(known.select(F.col("id").alias("a"), F.col("comp").alias("b")))), "found")
+    small = found.count() * 16 <= BROADCAST_BYTES
+    found = found.withColumnsRenamed({"node": "id", "component": "comp"})
+    old = rows.withColumnRenamed("comp", "old")
+    return old.join(F.broadcast(found) if small else found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
 def _chosen(rows: DataFrame, ids: DataFrame, count: int) -> DataFrame:
@@ -414,13 +416,42 @@ def class_links(rows: DataFrame, classes: DataFrame, size: int = SIZE, percent:
     entries = written(classed(entries.select("grp", "id", "n", F.col("id").alias("comp")), links).drop("old"), "shared")
     meeting = entries.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     links = links.unionAll(forest(entries.join(meeting.select("grp"), "grp"), bits, allowed, block))
-    near = written(components(links).select(F.col("component").alias("grp"), F.col("node").alias("id")), "near")
+    near = written(_clusters(links), "near")
     chosen = _chosen(rows, near.select("id"), near.count())
     texts = written(chosen.select(F.col("row").alias("id"), "n", "load"), "texts")
+    # Long sets fill the stored bitmaps: what they connect is looked at again with bitmaps as wide as sets need.
+    wide = written(texts.mapInArrow(_wide(size, percent), "id long, n long, width long, load binary"), "wide")
+    members = near.join(wide.drop("load"), "id").select(F.concat_ws(":", "grp", "width").alias("grp"), "id", "n", F.col("id").alias("comp"), "width")
+    near = _clusters(forest(members, wide.drop("n"), allowed[:1], block, 16 * BLOCK_GRAMS))
     members = near.join(texts.select("id", "n"), "id").select("grp", "id", "n", F.col("id").alias("comp"))
     return forest(members, texts.drop("n"), (lambda group: certain(group, percent, size),), block, BLOCK_GRAMS)
 
 
+def _clusters(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("component").alias("grp"), F.col("node").alias("id"))
+
+
+def _wide(size: int, percent: int):
+    """(id, n, width, bitmap) of packed texts, with bits for twice the set's size, and for up to the largest set it may link.
+
+    Two sets that may link have one width in common, that of the larger.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for part in slices(batch, ["load"], PART_BYTES // 8):
+                made = []
+                for i, n, load in zip(*(part.column(c).to_pylist() for c in ("id", "n", "load"))):
+                    found = grams(unpack(load), size)
+                    least, most = ((2 * m // 64).bit_length() for m in (n, n * 100 // percent))
+                    made += [(i, n, 1 << w, bitmap(found, 1 << w).tobytes()) for w in range(least, most + 1)]
+                columns = [pa.array(c, k) for c, k in zip(zip(*made), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "width", "load"])
+
+    return run
+
+
 def linked(
     docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, percent: int = PERCENT, block: int = BLOCK
 ) -> DataFrame:
@@ -430,7 +461,7 @@ def linked(
     Two rows link when their overlap is at least ``percent`` of their union; component_id is the smallest key
     reachable by links. Equal sets are one class, so copies cost nothing after counting. Linked sets share a gram of
     their prefixes; groups of equal grams are searched by signature trees over stored bitmaps for what may link, and
-    the classes connected so are searched again by trees over the whole sets, where each link is counted exactly.
+    the classes connected so are searched again with wider bitmaps and then over whole sets, counting each link exactly.
 
     Null and empty texts, or blanks alone, have no set, size 0 and no links, not even to each other: their component_id
     is their own key. Very long texts are sets like any other. Repeated rows each get a row; null keys are passed over
