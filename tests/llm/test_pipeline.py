@@ -1,4 +1,6 @@
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from brokerlens.llm import packing, pii, quality, simhash, toxicity
@@ -36,7 +38,8 @@ def test_stages_equal_plain_versions(spark):
     field = pii.fit(spark.createDataFrame(single))
     assert safe["text"].tolist() == [pii.redacted(t, pii.find(t, field)[1]) for t in single["text"]]
     assert (safe["n_chars"] == safe["text"].str.len()).all()
-    need = dict(zip(safe["doc_id"], safe["text"].map(lambda t: -(-len(t.encode()) // 4) + 1)))
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    need = dict(zip(safe["doc_id"], safe["text"].map(lambda t: len(encoder.encode(t, add_special_tokens=False).ids) + 1)))
     assert packed.groupby("doc_id")["n_tokens"].sum().to_dict() == need
     source = dict(zip(safe["doc_id"], safe["source"]))
     for _, shard in packed.groupby(packed["bin"] // (1 << 32)):
