@@ -206,17 +206,36 @@ def changes(samples: DataFrame, window: float, step: float, slice_seconds: float
 def over_time(samples: DataFrame, fn: str, window: float, step: float, slice_seconds: float = SLICE) -> DataFrame:
     """avg, min, max, sum, count, last or (population) stddev of the samples in each window."""
     if fn == "stddev":
-        # Deviations need every value at once; one pass over the repeated samples is exact and stable.
-        grid = _Grid(window, step, slice_seconds)
-        rows = grid.to_grid(grid.cut(points(samples)), F.ceil(F.col("us") / F.lit(grid.bucket)))
-        merged = rows.groupBy(*SERIES, "slice", "grid").agg(F.stddev_pop("value").alias("value"))
-        return merged.select(grid.time().alias("ts"), "metric", F.map_from_entries("series").alias("labels"), "value")
+        return _deviation_over_time(samples, window, step, slice_seconds)
     fields = {"avg": ("sum", "n"), "count": ("n",)}.get(fn, (fn,))
     stats, w = window_stats(samples, {"w": window}, step, slice_seconds, fields), F.col("w")
     value = w["sum"] / w["n"] if fn == "avg" else w["n"] if fn == "count" else w[fn]
     return _finish(stats, value)
 
 
+def _deviation_over_time(samples: DataFrame, window: float, step: float, slice_seconds: float) -> DataFrame:
+    """Population deviation in each window out of one row of moments per bucket: no sample is repeated.
+
+    A bucket keeps its count, mean and squared deviation from it. A window adds up its buckets' squared deviations and
+    those of their means from its own mean; both are sums of squares, so large values lose no digits.
+    """
+    grid = _Grid(window, step, slice_seconds)
+    grid.bucket = gcd(grid.bucket, micros(window))
+    rows = grid.cut(points(samples)).withColumn("bucket", F.ceil(F.col("us") / F.lit(grid.bucket)))
+    buckets = rows.groupBy(*SERIES, "slice", "bucket").agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("*")).alias("inner")
+    )
+    spread = grid.to_grid(buckets, F.col("bucket"))
+    cell = [*SERIES, "slice", "grid"]
+    whole = W.partitionBy(*cell)
+    centre = F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)
+    between = F.col("n") * (F.col("mean") - F.col("centre")) * (F.col("mean") - F.col("centre"))
+    merged = spread.withColumn("centre", centre).groupBy(*cell).agg(
+        F.sqrt((F.sum("inner") + F.sum(between)) / F.sum("n")).alias("value")
+    )
+    return merged.select(grid.time().alias("ts"), "metric", F.map_from_entries("series").alias("labels"), "value")
+
+
 def subquery_over_time(inner: DataFrame, fn: str, window: float, step: float, slice_seconds: float = SLICE):
     """``fn`` over the last ``window`` of an inner result that is already on its own grid."""
     return over_time(inner, fn, window, step, slice_seconds)

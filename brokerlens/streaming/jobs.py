@@ -1,18 +1,19 @@
 """Structured Streaming jobs. Each adds a watermark; rows later than it are dropped.
 
-State lives per series, broker or key and is a few numbers each, so it grows
-with the number of keys and not with the stream.
+State lives per series, broker or key: a few numbers each and the rows that the
+watermark has not passed yet (``ordered``), so it grows with the number of keys
+and the watermark's delay and not with the stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from functools import reduce
+from math import gcd
 
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brokerlens.functions.rules import select_strategy
 from brokerlens.operators.model import classify
@@ -20,6 +21,7 @@ from brokerlens.operators.ordered import micros
 from brokerlens.operators.series import label, series_key
 from brokerlens.schemas import MODEL_FEATURES
 from brokerlens.sources.sinks import latest_sink, upsert_latest
+from brokerlens.streaming.ordered import in_time_order, time
 
 DELAY = "10 minutes"
 
@@ -69,58 +71,107 @@ def score_stream(
 
 # ---------------------------------------------------------------- counters
 
-_DELTAS = "metric string, series string, ts timestamp, prev_ts timestamp, delta double, value double"
-
-
-def _deltas(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Each sample with its distance to the one before; the newest sample is the state."""
-    rows = pd.concat(list(frames)).sort_values(["ts", "value"]).drop_duplicates("ts", keep="last")
-    last_us, last_value = state.get if state.exists else (None, None)
-    if last_us is not None:
-        rows = rows[rows["ts"] > pd.Timestamp(last_us, unit="us")]
-    if rows.empty:
-        return
-    prev_ts, prev = rows["ts"].shift(1), rows["value"].shift(1)
-    if last_us is not None:
-        prev_ts.iloc[0], prev.iloc[0] = pd.Timestamp(last_us, unit="us"), last_value
-    delta = (rows["value"] - prev).where(rows["value"] >= prev, rows["value"]).where(prev.notna())
-    state.update((int(rows["ts"].iloc[-1].value // 1000), float(rows["value"].iloc[-1])))
-    yield pd.DataFrame(
-        {"metric": key[0], "series": key[1], "ts": rows["ts"], "prev_ts": prev_ts, "delta": delta, "value": rows["value"]}
-    )
+def counter_deltas(samples: DataFrame, delay: str = DELAY, forget: float | None = None) -> DataFrame:
+    """Each sample with its distance to the one before, in event-time order: samples may come late by the delay.
 
+    Of several samples of an instant the highest counts. ``forget`` drops a series so many seconds after its last
+    sample, as if it began anew.
+    """
+
+    def step(key, due, now, mark):
+        last_us, last = now
+        out = []
+        for us, value in due:
+            if last_us is not None and forget is not None and us - last_us > micros(forget):
+                last_us = last = None
+            if last_us is None:
+                out.append((time(us), None, None, value))
+            else:
+                out.append((time(us), time(last_us), value - last if value >= last else value, value))
+            last_us, last = us, value
+        if forget is None or last_us is None:
+            return out, (last_us, last), None
+        ends = last_us + micros(forget)
+        return (out, None, None) if ends < mark else (out, (last_us, last), ends + 1000)
+
+    rows = event_time(samples, delay=delay)
+    keyed = rows.select("metric", F.to_json(F.map_from_entries(series_key())).alias("series"), "ts", F.col("value").cast("double"))
+    schema = "ts timestamp, prev_ts timestamp, delta double, value double"
+    return in_time_order(keyed, ["metric", "series"], "value", max, "us bigint, last double", schema, step)
+
+
+#: What a bucket of samples keeps; two neighbours merge into one. Times are microseconds.
+_BUCKET = "at bigint, n bigint, total double, m2 double, highest double, first_us bigint, last_us bigint, first double, last double, increase double"
+_BUCKET_NAMES = [part.split()[0] for part in _BUCKET.split(", ")]
 
-def counter_deltas(samples: DataFrame, delay: str = DELAY) -> DataFrame:
-    rows = event_time(samples, delay=delay).filter("value IS NOT NULL")
-    keyed = rows.select("metric", F.to_json(F.map_from_entries(series_key())).alias("series"), "ts", "value")
-    return keyed.groupBy("metric", "series").applyInPandasWithState(
-        _deltas, _DELTAS, "us bigint, value double", "append", GroupStateTimeout.NoTimeout
-    )
+
+def _rise(before: float, after: float) -> float:
+    """What a counter gained between two samples; one that fell began anew at 0."""
+    return after - before if after >= before else after
+
+
+def _merged(a: dict, b: dict) -> dict:
+    """Two neighbouring buckets as one, the earlier first; squared deviations merge without the samples."""
+    n, apart = a["n"] + b["n"], b["total"] / b["n"] - a["total"] / a["n"]
+    return {
+        "at": b["at"], "n": n, "total": a["total"] + b["total"], "m2": a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / n,
+        "highest": max(a["highest"], b["highest"]), "first_us": a["first_us"], "last_us": b["last_us"], "first": a["first"],
+        "last": b["last"], "increase": a["increase"] + _rise(a["last"], b["first"]) + b["increase"],
+    }
 
 
 def sliding_stream(samples: DataFrame, window: float = 300.0, step: float = 15.0, delay: str = DELAY) -> DataFrame:
-    """Increase, rate over the covered span, mean and maximum of each series in sliding windows.
+    """Increase, rate over the covered span, mean, maximum and population deviation of each series in sliding windows.
 
-    A window ends at ``ts`` and covers ``(ts - window, ts]``; a delta counts only
-    if both of its samples are inside.
+    A window ends at ``ts`` and covers ``(ts - window, ts]``; a delta counts only if both of its samples are inside.
+    Samples may come late by the delay; of several of an instant the highest counts. A series keeps one row of
+    moments per bucket (the greatest length that divides window and step), not its samples, and windows merge them;
+    a window is sent once the watermark has passed its end. A series without samples for a window has no state.
     """
-    rows = counter_deltas(samples, delay)
-    shifted = rows.withColumn("at", F.timestamp_micros(F.unix_micros("ts") - 1)).withWatermark("at", delay)
-    spans = F.window("at", f"{micros(window)} microseconds", f"{micros(step)} microseconds")
-    placed = shifted.withColumn("w", spans)
-    inside = F.col("prev_ts") > F.col("w.start")
-    stats = placed.groupBy("w", "metric", "series").agg(
-        F.count("*").alias("n"),
-        F.sum(F.when(inside, F.col("delta"))).alias("increase"),
-        F.avg("value").alias("mean"),
-        F.max("value").alias("highest"),
-        ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / F.lit(1e6)).alias("covered"),
-    )
-    rate = F.when(F.col("n") >= 2, F.col("increase") / F.col("covered"))
-    return stats.select(
-        F.col("w.end").alias("ts"), "metric", "series", "n",
-        F.when(F.col("n") >= 2, F.col("increase")).alias("increase"), rate.alias("rate"), "mean", "highest",
-    )
+    span, hop = micros(window), micros(step)
+    width = gcd(span, hop)
+
+    def following(buckets: list[dict], done: int | None) -> int:
+        """The next window end that sees the first bucket."""
+        return max(-(-buckets[0]["at"] * width // hop), done + 1 if done is not None else -(1 << 62))
+
+    def close(buckets: list[dict], done: int | None, until: int, out: list[tuple]) -> tuple[list[dict], int | None]:
+        """Send the windows that end at ``until`` or before, and let go of buckets that no later one sees."""
+        while buckets:
+            end = following(buckets, done) * hop
+            if end > until:
+                break
+            buckets = [b for b in buckets if b["at"] * width > end - span]
+            seen = [b for b in buckets if b["at"] * width <= end]
+            if seen:
+                w = reduce(_merged, seen)
+                many = w["n"] > 1
+                rate = w["increase"] / ((w["last_us"] - w["first_us"]) / 1e6) if many else None
+                out.append((time(end), w["n"], w["increase"] if many else None, rate, w["total"] / w["n"], w["highest"], (w["m2"] / w["n"]) ** 0.5))
+            done = end // hop
+        return buckets, done
+
+    def follow(key, due, now, mark):
+        *columns, done = now
+        buckets = [dict(zip(_BUCKET_NAMES, one)) for one in zip(*columns)] if columns[0] else []
+        out: list[tuple] = []
+        for us, value in due:
+            buckets, done = close(buckets, done, us - 1, out)
+            one = {"at": -(-us // width), "n": 1, "total": value, "m2": 0.0, "highest": value, "first_us": us, "last_us": us, "first": value, "last": value, "increase": 0.0}
+            if buckets and buckets[-1]["at"] == one["at"]:
+                buckets[-1] = _merged(buckets[-1], one)
+            else:
+                buckets.append(one)
+        buckets, done = close(buckets, done, mark, out)
+        if not buckets:
+            return out, None, None
+        return out, (*([b[n] for b in buckets] for n in _BUCKET_NAMES), done), following(buckets, done) * hop
+
+    rows = event_time(samples, delay=delay)
+    keyed = rows.select("metric", F.to_json(F.map_from_entries(series_key())).alias("series"), "ts", F.col("value").cast("double"))
+    carried = ", ".join(f"{name} array<{kind}>" for name, kind in (part.split() for part in _BUCKET.split(", ")))
+    result = "ts timestamp, n bigint, increase double, rate double, mean double, highest double, deviation double"
+    return in_time_order(keyed, ["metric", "series"], "value", max, f"{carried}, done bigint", result, follow)
 
 
 # ---------------------------------------------------------------- latest state
@@ -134,102 +185,125 @@ def latest_strategy_sink(stream: DataFrame, path: str, checkpoint: str, keys: li
 # ---------------------------------------------------------------- changes
 
 
-def change_stream(stream: DataFrame, by: list[str], column: str = "value", ts: str = "ts", delay: str = DELAY) -> DataFrame:
-    """Each moment a key's value changes, with the old and the new value."""
-    fields = {f.name: f.dataType.simpleString() for f in stream.schema}
-    kind = fields[column]
-
-    def changed(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).dropna(subset=[column]).sort_values([ts, column]).drop_duplicates(ts, keep="last")
-        last_us, last = state.get if state.exists else (None, None)
-        if last_us is not None:
-            rows = rows[rows[ts] > pd.Timestamp(last_us, unit="us")]
-        if rows.empty:
-            return
-        before = rows[column].shift(1).astype(object)
-        before.iloc[0] = last
-        value = rows[column].iloc[-1]
-        state.update((int(rows[ts].iloc[-1].value // 1000), value.item() if hasattr(value, "item") else value))
-        out = pd.DataFrame({**dict(zip(by, key)), "ts": rows[ts], "old": before, "new": rows[column]})
-        yield out[out["old"].notna() & (out["old"] != out["new"])]
-
-    keys = ", ".join(f"`{k}` {fields[k]}" for k in by)
-    rows = event_time(stream, ts, delay).select(*by, ts, column)
-    return rows.groupBy(*by).applyInPandasWithState(
-        changed, f"{keys}, ts timestamp, old {kind}, new {kind}", f"us bigint, value {kind}", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+def change_stream(
+    stream: DataFrame, by: list[str], column: str = "value", ts: str = "ts", delay: str = DELAY, forget: float | None = None
+) -> DataFrame:
+    """Each moment a key's value changes, with the old and the new value; rows may come late by the delay.
 
+    Of several values of an instant the highest counts. ``forget`` drops a key so many seconds after its last row, so
+    that its next value is no change.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in stream.schema}[column]
+
+    def step(key, due, now, mark):
+        last_us, last = now
+        out = []
+        for us, value in due:
+            known = last_us is not None and (forget is None or us - last_us <= micros(forget))
+            if known and value != last:
+                out.append((time(us), last, value))
+            last_us, last = us, value
+        if forget is None or last_us is None:
+            return out, (last_us, last), None
+        ends = last_us + micros(forget)
+        return (out, None, None) if ends < mark else (out, (last_us, last), ends + 1000)
+
+    rows = event_time(stream, ts, delay).withColumnRenamed(ts, "ts")
+    return in_time_order(rows, by, column, max, f"us bigint, last {kind}", f"ts timestamp, old {kind}, new {kind}", step)
 
-# ---------------------------------------------------------------- outages
 
-_OUTAGE_STATE = "last_us bigint, down_us bigint, attempt_us bigint"
-_OUTAGE_ROW = "broker string, kind string, ts timestamp, seconds double"
+# ---------------------------------------------------------------- strategy in force
 
 
-def _time(us: int) -> pd.Timestamp:
-    return pd.Timestamp(us, unit="us")
+def in_force_stream(
+    events: DataFrame, versions: DataFrame, by: list[str], columns: list[str], ts: str = "ts", delay: str = DELAY
+) -> DataFrame:
+    """Each event with the ``columns`` of the newest version at or before its time, per key; both are streams.
+
+    An event waits until the watermark has passed it, so a version that comes late by the delay still counts. Per
+    key the state holds the version in force and what waits. Events before the first version get nulls; of several
+    versions of an instant the one with the largest JSON text counts.
+    """
+    own = [c for c in events.columns if c not in by]
+    event_type = events.select(*own).schema
+    version_type = versions.select(*columns).schema
+
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+    def texts(df: DataFrame, kind: str, names: list[str]) -> DataFrame:
+        text = F.to_json(F.array(F.struct(F.lit(kind).alias("kind"), F.to_json(F.struct(*names), exact).alias("body"))))
+        rows = df.select(*by, F.col(ts).cast("timestamp").alias("ts"), text.alias("rows"))
+        return rows.withWatermark("ts", delay)
+
+    def step(key, due, now, mark):
+        version, out = now[0], []
+        for us, text in due:
+            rows = json.loads(text)
+            version = max([r["body"] for r in rows if r["kind"] == "version"], default=version)
+            out += [(time(us), r["body"], version) for r in rows if r["kind"] == "event"]
+        return out, (version,), None
+
+    both = texts(events, "event", own).unionByName(texts(versions, "version", columns))
+    found = in_time_order(
+        both, by, "rows", lambda a, b: f"{a[:-1]},{b[1:]}", "version string", "ts timestamp, event string, version string", step
+    )
+    parsed = found.select(*by, F.from_json("event", event_type, exact).alias("e"), F.from_json("version", version_type, exact).alias("v"))
+    return parsed.select(*by, *[F.col(f"e.{c}").alias(c) for c in own], *[F.col(f"v.{c}").alias(c) for c in columns])
 
 
-def outage_stream(stream: DataFrame, cooldown: float = 30.0, timeout: float = 60.0, delay: str = DELAY) -> DataFrame:
+# ---------------------------------------------------------------- outages
+
+def outage_stream(
+    stream: DataFrame, cooldown: float = 30.0, timeout: float = 60.0, delay: str = DELAY, one_at_a_time: bool = False
+) -> DataFrame:
     """Attempts, recoveries and timeouts per broker out of availability readings ``(broker, ts, up)``.
 
-    ``attempt``: a down reading at least the cool-down after the previous attempt.
+    ``attempt``: a down reading at least the cool-down after the previous attempt, and with ``one_at_a_time`` (not the
+    default) not while that one still runs: until the broker is back, or the timeout has passed since the attempt.
     ``recovered``: back within the timeout, with the seconds it took.
     ``timeout``: still down when the timeout passed, by a later reading or by the watermark.
-    Recoveries and timeouts carry the time the outage began.
+    Recoveries and timeouts carry the time the outage began. Readings may come late by the delay; of several of an
+    instant a down one counts. A broker that is up and past its cool-down has no state.
     """
     wait, limit = micros(cooldown), micros(timeout)
 
-    def follow(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, down, attempt = state.get if state.exists else (None, None, None)
+    def step(key, due, now, mark):
+        down, attempt, running = now
         out = []
-        if state.hasTimedOut:
-            if down is not None and down >= 0:
-                out.append(("timeout", _time(down), timeout))
+
+        def expire(at: int) -> None:
+            # A down time of -1 is an outage whose timeout has been reported.
+            nonlocal down
+            if down is not None and down >= 0 and at - down > limit:
+                out.append(("timeout", time(down), float(timeout)))
                 down = -1
-        else:
-            rows = pd.concat(list(frames))
-            readings = rows.groupby("ts", sort=True)["up"].min()
-            for at, up in zip(readings.index.asi8 // _per_micro(readings.index), readings.to_numpy()):
-                at = int(at)
-                if last is not None and at <= last:
-                    continue
-                last = at
-                if up:
-                    if down is not None and down >= 0:
-                        seconds = (at - down) / 1e6
-                        out.append(("recovered", _time(down), seconds) if at - down <= limit else ("timeout", _time(down), timeout))
-                    down = None
-                    continue
-                if down is None:
-                    down = at
-                if attempt is None or at - attempt >= wait:
-                    attempt = at
-                    out.append(("attempt", _time(at), 0.0))
-        # A down time of -1 is an outage whose timeout has been reported.
-        state.update((last, down, attempt))
-        if down is not None and down >= 0:
-            due = (down + limit) // 1000 + 1
-            if due <= state.getCurrentWatermarkMs():
-                out.append(("timeout", _time(down), timeout))
-                state.update((last, -1, attempt))
-            else:
-                state.setTimeoutTimestamp(due)
-        yield pd.DataFrame(
-            {"broker": key[0], "kind": [o[0] for o in out], "ts": [o[1] for o in out], "seconds": [o[2] for o in out]}
-        )
+
+        for at, up in due:
+            expire(at)
+            if up:
+                if down is not None and down >= 0:
+                    out.append(("recovered", time(down), (at - down) / 1e6))
+                down = running = None
+                continue
+            if down is None:
+                down = at
+            free = not one_at_a_time or running is None or at - running > limit
+            if free and (attempt is None or at - attempt >= wait):
+                attempt = running = at
+                out.append(("attempt", time(at), 0.0))
+        expire(mark)
+        if down is not None:
+            return out, (down, attempt, running), down + limit + 1 if down >= 0 else None
+        if attempt is None or attempt + wait <= mark:
+            return out, None, None
+        return out, (down, attempt, running), attempt + wait
 
     rows = event_time(stream, delay=delay).select("broker", "ts", "up")
-    return rows.groupBy("broker").applyInPandasWithState(
-        follow, _OUTAGE_ROW, _OUTAGE_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    return in_time_order(
+        rows, ["broker"], "up", lambda a, b: a and b, "down_us bigint, attempt_us bigint, running_us bigint", "kind string, ts timestamp, seconds double", step
     )
 
 
-def _per_micro(index: pd.DatetimeIndex) -> int:
-    return {"ns": 1000, "us": 1}[index.unit]
-
-
 # ---------------------------------------------------------------- windows
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,3 +181,16 @@ def test_no_task_holds_a_whole_series(spark):
     data = samples(spark, [(t, "c", A, t) for t in range(0, 100)])
     plan = series.rate(data, 60, 15)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(metric" in plan and "slice" in plan and "CartesianProduct" not in plan
+
+
+def test_deviations_of_large_values_from_buckets(spark):
+    rnd = random.Random(11)
+    rows = [("m", at(t), {"i": "a"}, 1e9 + rnd.random()) for t in range(0, 3000, 7)] + [("m", at(9000), {"i": "a"}, 5.0)]
+    samples = spark.createDataFrame(rows, "metric string, ts timestamp, labels map<string,string>, value double")
+    got = {since(r["ts"]): r["value"] for r in series.over_time(samples, "stddev", 900, 60).collect()}
+    for end in range(60, 3900, 60):
+        inside = [Fraction(v) for _, ts, _, v in rows if end - 900 < since(ts) <= end]
+        if inside:
+            mean = sum(inside) / len(inside)
+            assert abs(got[end] - float(sum((v - mean) ** 2 for v in inside) / len(inside)) ** 0.5) < 1e-6
+    assert got[9000] == 0.0 and len(got) == len([e for e in range(0, 9901, 60) if any(e - 900 < since(ts) <= e for _, ts, *_ in rows)])

@@ -3,6 +3,7 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from brokerlens.operators import sequence, series
@@ -11,9 +12,10 @@ from brokerlens.streaming import jobs
 from tests.helpers import at, since
 
 
-def feed(spark, folder, rows, schema, parts=4):
-    """Rows in time order as several files, and a stream that reads one file per batch."""
-    rows = sorted(rows, key=lambda r: r[1])
+def feed(spark, folder, rows, schema, parts=4, late=0):
+    """Rows as several files, out of time order by up to ``late`` seconds, and a stream that reads one file per batch."""
+    rnd = random.Random(7)
+    rows = sorted(rows, key=lambda r: since(r[1]) + rnd.uniform(0, late))
     size = -(-len(rows) // parts)
     for i in range(parts):
         chunk = rows[i * size:(i + 1) * size]
@@ -34,21 +36,72 @@ def finish(spark, folder, df):
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-def test_changes(spark, folder):
+@pytest.mark.parametrize("late", [0, 500])
+def test_changes(spark, folder, late):
     rnd = random.Random(1)
-    rows = [(rnd.choice("ab"), at(t), rnd.choice(["x", "y"])) for t in range(0, 400, 7)]
+    rows = [(rnd.choice("ab"), at(t), rnd.choice(["x", "y"])) for t in range(0, 4000, 37)]
+    rows += [("a", at(70), "x"), ("a", at(70), "y"), ("c", at(9000), "end")]  # the last closes the stream
     schema = "k string, ts timestamp, value string"
-    out = finish(spark, folder, jobs.change_stream(feed(spark, folder, rows, schema), ["k"]))
+    out = finish(spark, folder, jobs.change_stream(feed(spark, folder, rows, schema, 6, late), ["k"]))
     batch = sequence.change_events(spark.createDataFrame(rows, schema), "value", ["k"])
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_outages_attempts_and_timeouts(spark, folder):
+def test_late_rows_of_an_earlier_file(spark, folder):
+    schema = "k string, ts timestamp, value string"
+    for i, part in enumerate([[(0, "x"), (60, "x")], [(30, "y"), (90, "x")], [(5000, "x")]]):
+        spark.createDataFrame([("a", at(t), v) for t, v in part], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    got = [(since(r["ts"]), r["old"], r["new"]) for r in finish(spark, folder, jobs.change_stream(stream, ["k"])).collect()]
+    assert sorted(got) == [(30, "x", "y"), (60, "y", "x")]
+
+
+def test_forgotten_keys_have_no_state_and_no_change(spark, folder):
+    schema = "k string, ts timestamp, value string"
+    rows = [("a", at(0), "x"), ("b", at(0), "x"), ("b", at(900), "y"), ("c", at(5000), "x"), ("a", at(9000), "y"), ("c", at(20_000), "x"), ("c", at(40_000), "x")]
+    stream = jobs.change_stream(feed(spark, folder, rows, schema, 7), ["k"], forget=1000.0)
+    query = jobs.run_available(sinks.append_stream(stream, f"{folder}/out", f"{folder}/state"), 300)
+    got = [tuple(r) for r in spark.read.schema(stream.schema).parquet(f"{folder}/out").select("k", "old", "new").collect()]
+    assert got == [("b", "x", "y")]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
+
+
+@pytest.mark.parametrize("late", [0, 500])
+def test_strategy_in_force_equals_the_batch_join(spark, folder, late):
+    rnd = random.Random(5)
+    events = [(rnd.choice("ab"), at(t), t) for t in range(0, 4000, 31)] + [("z", at(30_000), -1)]
+    versions = [(rnd.choice("ab"), at(t), rnd.choice(["s1", "s2", "s3"]), {"n": str(t)}) for t in range(100, 4000, 143)]
+    versions += [("a", at(31), "s1", {"n": "0"}), ("z", at(30_000), "end", {})]
+    event_schema, version_schema = "k string, ts timestamp, id long", "k string, ts timestamp, strategy string, config map<string,string>"
+    found = jobs.in_force_stream(
+        feed(spark, f"{folder}/e", events, event_schema, 5, late), feed(spark, f"{folder}/v", versions, version_schema, 5, late),
+        ["k"], ["strategy", "config"],
+    )
+    got = sorted((r["id"], r["strategy"], str(r["config"])) for r in finish(spark, folder, found).collect() if r["id"] >= 0)
+    want = []
+    for k, t, i in events[:-1]:
+        at_or_before = [v for v in versions if v[0] == k and v[1] <= t]
+        newest = max(at_or_before, key=lambda v: v[1], default=(None, None, None, None))
+        want.append((i, newest[2], str(newest[3])))
+    assert got == sorted(want)
+
+
+def test_one_recovery_at_a_time(spark, folder):
+    schema = "broker string, ts timestamp, up boolean"
+    rows = [("k", at(t), False) for t in range(0, 100, 5)] + [("k", at(101), True), ("k", at(105), False), ("k", at(5000), True)]
+    gated = jobs.outage_stream(feed(spark, folder, rows, schema, 4, 300), one_at_a_time=True)
+    got = sorted((since(r["ts"]), r["kind"]) for r in finish(spark, folder, gated).collect())
+    # Begun at 0, given up after 60; the next attempt at the first reading after that, and one for the next outage.
+    assert got == [(0, "attempt"), (0, "timeout"), (65, "attempt"), (105, "attempt"), (105, "timeout")]
+
+
+@pytest.mark.parametrize("late", [0, 500])
+def test_outages_attempts_and_timeouts(spark, folder, late):
     rnd = random.Random(2)
     rows = [(rnd.choice(["k1", "k2"]), at(t), rnd.random() < 0.6) for t in range(0, 3000, 9)]
     rows += [("k3", at(100), False), ("k1", at(9000), True), ("k2", at(9000), True)]
     schema = "broker string, ts timestamp, up boolean"
-    out = finish(spark, folder, jobs.outage_stream(feed(spark, folder, rows, schema)))
+    out = finish(spark, folder, jobs.outage_stream(feed(spark, folder, rows, schema, 6, late)))
     table = spark.createDataFrame(rows, schema)
     expected = [(r["broker"], "attempt", since(r["ts"]), 0.0) for r in sequence.cooldown(table.filter("NOT up")).collect() if r["accepted"]]
     for r in sequence.outages(table).collect():
@@ -58,7 +111,8 @@ def test_outages_attempts_and_timeouts(spark, folder):
     assert ("k3", "timeout", 100.0, 60.0) in got  # reported by the watermark alone
 
 
-def test_sliding_counters(spark, folder):
+@pytest.mark.parametrize("late", [0, 500])
+def test_sliding_counters(spark, folder, late):
     rnd = random.Random(3)
     rows, value = [], 0.0
     for t in range(0, 4000, 13):
@@ -66,10 +120,12 @@ def test_sliding_counters(spark, folder):
         rows.append(("c", at(t), {"i": "a"}, value))
     rows.append(("c", at(90_000), {"i": "a"}, 0.0))
     schema = "metric string, ts timestamp, labels map<string,string>, value double"
-    out = finish(spark, folder, jobs.sliding_stream(feed(spark, folder, rows, schema), 300, 60))
+    out = finish(spark, folder, jobs.sliding_stream(feed(spark, folder, rows, schema, 6, late), 300, 60))
     batch = series.window_stats(spark.createDataFrame(rows, schema), {"w": 300}, 60).collect()
     expected = {since(r["ts"]): (r["w"]["n"], r["w"]["increase"] if r["w"]["n"] > 1 else None) for r in batch}
     got = {since(r["ts"]): (r["n"], r["increase"]) for r in out.collect()}
+    spread = {since(r["ts"]): r["value"] for r in series.over_time(spark.createDataFrame(rows, schema), "stddev", 300, 60).collect()}
+    assert all(abs(spread[since(r["ts"])] - r["deviation"]) < 1e-9 for r in out.collect())
     assert len(got) > 60 and all(expected[t] == v for t, v in got.items())
     assert set(got) == {t for t in expected if t <= 90_000 - 600}
 
