@@ -328,7 +328,7 @@ def counts_sink(counts: DataFrame, path: str, checkpoint: str):
     """Keep the highest count of each status."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        upsert_latest(batch, path, batch_id, ["status"], "count")
+        upsert_latest(batch, path, batch_id, ["status"], "count", checkpoint)
 
     return counts.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
 

@@ -89,6 +89,36 @@ def test_latest_snapshot_is_versioned_and_repeatable(spark, folder):
     assert {r["k"]: r["s"] for r in sinks.read_latest(spark, path, rows.schema).collect()} == {"a": "y", "b": "n"}
 
 
+def test_latest_snapshot_keeps_two_versions_and_the_newest_writer(spark, folder):
+    schema, path = "k string, ts timestamp, s string", f"{folder}/latest"
+    batch = lambda t, s: spark.createDataFrame([("a", at(t), s)], schema)
+    read = lambda: [r["s"] for r in sinks.read_latest(spark, path, schema).collect()]
+    for i in range(12):
+        sinks.upsert_latest(batch(i, f"s{i}"), path, i, ["k"], writer="first")
+        assert len([n for n in os.listdir(path) if n.startswith("v")]) <= 2
+    before = sinks.read_latest(spark, path, schema)
+    sinks.upsert_latest(batch(100, "other"), path, 0, ["k"], writer="second")  # a new checkpoint begins at 0
+    assert [r["s"] for r in before.collect()] == ["s11"] and read() == ["other"]
+    sinks.upsert_latest(batch(50, "earlier"), path, 1, ["k"], writer="second")
+    sinks.upsert_latest(batch(200, "repeated"), path, 1, ["k"], writer="second")
+    assert read() == ["other"]
+    with pytest.raises(ValueError, match="older"):
+        sinks.upsert_latest(batch(300, "late writer"), path, 12, ["k"], writer="first")
+    os.makedirs(f"{path}/v99-died")  # a version that was never published
+    assert read() == ["other"]
+
+
+def test_latest_snapshot_of_a_stream_outlives_its_checkpoint(spark, folder):
+    schema = "k string, ts timestamp, s string"
+    spark.createDataFrame([("a", at(5), "x"), ("b", at(5), "y")], schema).write.parquet(f"{folder}/in")
+    for checkpoint in ("one", "two"):
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        query = sinks.latest_sink(stream, f"{folder}/out", f"{folder}/{checkpoint}", ["k"]).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        spark.createDataFrame([("a", at(9), "z")], schema).write.mode("append").parquet(f"{folder}/in")
+    assert {r["k"]: r["s"] for r in sinks.read_latest(spark, f"{folder}/out", schema).collect()} == {"a": "z", "b": "y"}
+
+
 def named(spark, *beans):
     out = naming.normalize_metrics(spark.createDataFrame([(b,) for b in beans], "bean string"))
     return {r["bean"]: (r["metric"], r["kind"], r["labels"]) for r in out.collect()}
