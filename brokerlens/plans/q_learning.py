@@ -231,7 +231,7 @@ def m18_p(spark, sf):
     return stats.tukey_hsd(rows, METRICS, "grp")
 
 
-@query("m19_one_way", f"""WITH {PROGRESS_SQL}, k AS (SELECT epoch_us(ts) AS us, CASE user_id % 3 WHEN 0 THEN 'QUICK_REBALANCE' WHEN 1 THEN 'RESOURCE_OPTIMIZED' ELSE 'CONTROLLED_GRADUAL' END AS strategy FROM events WHERE event_type = 'purchase'),
+_ONE_WAY = f"""WITH {PROGRESS_SQL}, k AS (SELECT epoch_us(ts) AS us, CASE user_id % 3 WHEN 0 THEN 'QUICK_REBALANCE' WHEN 1 THEN 'RESOURCE_OPTIMIZED' ELSE 'CONTROLLED_GRADUAL' END AS strategy FROM events WHERE event_type = 'purchase'),
     m AS (SELECT * FROM prg WHERE workload_type = 'real_time'),
     b AS (SELECT k.us, strategy, m.us AS mus, cpu_usage, memory_usage FROM k ASOF LEFT JOIN m ON k.us >= m.us),
     a AS (SELECT k.us, m.us AS mus, cpu_usage, memory_usage FROM k ASOF LEFT JOIN m ON k.us <= m.us),
@@ -240,7 +240,10 @@ def m18_p(spark, sf):
     l AS (SELECT strategy, 'cpu_usage' AS metric, cpu_usage AS v FROM nr UNION ALL SELECT strategy, 'memory_usage', memory_usage FROM nr),
     c AS (SELECT metric, strategy, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS ss FROM l GROUP BY ALL), g AS (SELECT metric, avg(v) AS m FROM l GROUP BY metric)
     SELECT c.metric, CAST(count(*) AS BIGINT) AS groups, CAST(count(*) - 1 AS DOUBLE) AS df_between, CAST(sum(n) - count(*) AS DOUBLE) AS df_within,
-      round(sum(n * (c.m - g.m) * (c.m - g.m)) / (count(*) - 1) / (sum(ss) / (sum(n) - count(*))), 4) AS f FROM c JOIN g ON c.metric = g.metric GROUP BY c.metric""")
+      round(sum(n * (c.m - g.m) * (c.m - g.m)) / (count(*) - 1) / (sum(ss) / (sum(n) - count(*))), 4) AS f FROM c JOIN g ON c.metric = g.metric GROUP BY c.metric"""
+
+
+@query("m19_one_way", _ONE_WAY)
 def m19(spark, sf):
     return rounded(_one_way(spark, sf).drop("p"), ["f"])
 
@@ -258,6 +261,8 @@ def _one_way(spark, sf):
     return stats.anova_one_way(near, ["cpu_usage", "memory_usage"], "strategy")
 
 
-@query("m20_significant")
+# With three groups the tail of F has a closed form.
+@query("m20_significant", f"""SELECT *, p < 0.05 AS significant FROM (SELECT metric, groups, df_between, df_within, f, round(power(1 + 2 * exact / df_within, -df_within / 2), 6) AS p FROM (
+    {_ONE_WAY.replace("AS f FROM c JOIN g", "AS f, sum(n * (c.m - g.m) * (c.m - g.m)) / (count(*) - 1) / (sum(ss) / (sum(n) - count(*))) AS exact FROM c JOIN g")}))""")
 def m20(spark, sf):
-    return stats.flag_significant(_one_way(spark, sf))
+    return rounded(rounded(stats.flag_significant(_one_way(spark, sf)), ["f"]), ["p"], 6)

@@ -158,6 +158,22 @@ for _q, _by in ((0.95, []), (0.5, ["broker"]), (0.99, ["broker"])):
     _quantile(_q, _by)
 
 
+@query("t9_quantile_of_rates", f"""WITH le(le) AS (VALUES {_LE}, ('inf'::DOUBLE)),
+      h AS (SELECT DISTINCT epoch_us(ts) AS us, event_type, le, count(*) FILTER (value <= le) OVER (PARTITION BY event_type, le ORDER BY ts) AS v FROM events CROSS JOIN le),
+      s AS (SELECT event_type, le, us, v, unnest(range((us + {_S} - 1) // {_S}, (us + {_W} - 1) // {_S} + 1)) * {_S} AS ts FROM h),
+      x AS (SELECT ts, event_type, le, (max(v) - min(v)) / ((max(us) - min(us)) / 1e6) AS rate FROM s GROUP BY ALL HAVING count(*) >= 2),
+      b AS (SELECT ts, le, sum(rate) AS c FROM x GROUP BY ALL),
+      r AS (SELECT *, 0.95 * max(c) OVER (PARTITION BY ts) AS rank, lag(c, 1, 0) OVER w AS below, lag(le, 1, 0) OVER w AS low
+            FROM b WINDOW w AS (PARTITION BY ts ORDER BY le)),
+      t AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY le) AS i FROM r WHERE c >= rank)
+      SELECT ts, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (rank - below) / (c - below) END, 4) AS value FROM t WHERE i = 1""")
+def t9_of_rates(spark, sf):
+    """histogram_quantile(0.95, sum(rate(bucket[1d])) by (le)) every six hours."""
+    buckets = series.to_histogram(views.events(spark, sf), "latency", ["event_type"], F.col("value"), BOUNDS)
+    rates = series.agg_series(series.rate(buckets, DAY, QUARTER, False, DAY), "sum", ["le"])
+    return rounded(series.histogram_quantile(rates, 0.95).withColumn("ts", us("ts")), ["value"])
+
+
 def _pair(spark, sf):
     grid = series.over_time(views.samples(spark, sf).filter(F.col("metric").isin("click", "error")), "sum", DAY, QUARTER, DAY)
     return grid.filter(F.col("metric") == "error"), grid.filter(F.col("metric") == "click")
