@@ -158,8 +158,8 @@ def around_events(
     """Readings around each event: the last one within ``before`` seconds up to its start, the first
     from ``during`` seconds after its start, and the first from its end, each at most ``after`` seconds later.
 
-    Each is an as-of lookup whose match is then checked for distance, so no
-    range join is needed and dense readings cost nothing extra.
+    The three times of an event are rows of one as-of lookup, whose matches are then checked for distance and gathered
+    per event; no range join is needed and dense readings cost nothing extra.
     """
     by = list(by)
     start = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -170,13 +170,20 @@ def around_events(
         "value_during": (start + micros(during), "_ahead", after),
         "value_after": (end, "_ahead", after),
     }
-    out = events
-    for name, (at, mode, reach) in probes.items():
-        asked = out.withColumn("_probe", F.timestamp_micros(at))
-        joined, _ = _asof(asked, readings, "_probe", by, [mode], width, right_ts="ts")
+    times = [F.struct(F.lit(name).alias("_name"), F.timestamp_micros(at).alias("_probe")) for name, (at, _, _) in probes.items()]
+    asked = events.select(
+        *by, F.struct(*events.columns).alias("_event"), F.monotonically_increasing_id().alias("_row"), F.array(*times).alias("_times")
+    )
+    asked = asked.select(*by, "_event", "_row", F.explode("_times").alias("_t")).select(*by, "_event", "_row", "_t.*")
+    joined, _ = _asof(asked, readings, "_probe", by, ["_back", "_ahead"], width, right_ts="ts")
+
+    def found(name: str, mode: str, reach: float) -> Column:
         close = F.abs(F.col(f"{mode}._us") - F.col("_us")) <= micros(reach)
-        out = joined.withColumn(name, F.when(close, F.col(f"{mode}.value"))).drop("_probe", "_us", mode)
-    return out.select(*events.columns, *probes)
+        return F.max(F.when((F.col("_name") == name) & close, F.col(f"{mode}.value"))).alias(name)
+
+    values = [found(name, mode, reach) for name, (_, mode, reach) in probes.items()]
+    gathered = joined.groupBy("_row").agg(F.any_value("_event").alias("_event"), *values)
+    return gathered.select("_event.*", *probes)
 
 
 def within_period(df: DataFrame, period: DataFrame, ts: str = "timestamp", by: list[str] = ()) -> DataFrame:

@@ -46,6 +46,16 @@ def test_hot_left_instant_keeps_every_row(spark):
     assert out.count() == 5000 and out.filter("right_rid = 1").count() == 5000
 
 
+def test_around_repeated_events_with_maps_and_missing_ends(spark):
+    rows = [("a", at(100), at(150), {"x": 1}), ("a", at(100), at(150), {"x": 1}), ("b", at(100), None, None), ("b", None, at(20), {})]
+    events = spark.createDataFrame(rows, "k string, ts timestamp, end_ts timestamp, props map<string,int>")
+    samples = spark.createDataFrame([(k, at(t), float(t)) for k in "ab" for t in range(0, 300, 7)], "k string, ts timestamp, value double")
+    out = joins.around_events(events, samples, 30, 10, 30, ["k"])
+    assert out.columns == [*events.columns, "value_before", "value_during", "value_after"]
+    got = sorted((r["k"], r["value_before"] or 0, r["value_during"] or 0, r["value_after"] or 0) for r in out.collect())
+    assert got == [("a", 98.0, 112.0, 154.0), ("a", 98.0, 112.0, 154.0), ("b", 0, 0, 21.0), ("b", 98.0, 112.0, 0)]
+
+
 def test_around_events(spark):
     e = spark.createDataFrame([(at(100), at(150), 1)], "ts timestamp, end_ts timestamp, id int")
     s = spark.createDataFrame([(at(40), 1.0), (at(99), 2.0), (at(105), 3.0), (at(110), 4.0), (at(150), 5.0), (at(160), 6.0)], "ts timestamp, value double")
