@@ -55,19 +55,22 @@ def _hits(name: str, pattern: str, group: int) -> str:
 _ASSIGN = r"""'((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
 
 SECRETS = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-{_hits("a", _ASSIGN, 2)}, {_hits("k", "'AKIA[A-Z0-9]+'", 0)}, {_hits("h", "'[0-9a-f]+'", 0)}, {_hits("c", "'[A-Za-z0-9+/_=-]+'", 0)},
+{_hits("a", _ASSIGN, 2)}, {_hits("k", "'AKIA[A-Z0-9]+'", 0)}, {_hits("h", "'[0-9a-f]+'", 0)}, {_hits("ch", "'[0-9a-f]{20,}'", 0)},
+{_hits("cu", "'[0-9A-F]{20,}'", 0)}, {_hits("ca", "'[0-9A-Za-z]{20,}'", 0)}, {_hits("cb", "'[A-Za-z0-9+/_=-]{20,}'", 0)},
 base AS (SELECT rid, e - n AS s, 0 AS kind, e FROM a WHERE length(part) >= 6 UNION ALL SELECT rid, e - n, 1, e FROM k WHERE n >= 20
   UNION ALL SELECT rid, e - n, 2, e FROM h WHERE n >= 24),
-cand AS (SELECT rid, hit, e - n AS s, n, CASE WHEN regexp_full_match(hit, '[0-9a-f]*|[0-9A-F]*') THEN 3.0 WHEN regexp_full_match(hit, '[0-9A-Za-z]*') THEN 3.8 ELSE 3.9 END AS least
-  FROM c WHERE n >= 20 AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')
+runs AS (SELECT *, 3.0 AS least FROM ch UNION ALL SELECT *, 3.0 FROM cu UNION ALL SELECT *, 3.8 FROM ca UNION ALL SELECT *, 3.9 FROM cb),
+cand AS (SELECT rid, hit, e - n AS s, n, least FROM runs WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')
     AND NOT regexp_full_match(hit, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}')
     AND NOT regexp_matches(hit, '(?i)example|sample|placeholder|dummy|changeme|0123456789|abcdefghij|qwertyuiop')),
 win AS (SELECT rid, s, least, w, substr(hit, w + 1, 20) AS piece FROM (SELECT *, unnest(range(n - 19)) AS w FROM cand)),
 chars AS (SELECT rid, s, least, w, unnest(string_split(piece, '')) AS ch FROM win),
 freq AS (SELECT rid, s, least, w, ch, count(*) / 20 AS p FROM chars GROUP BY ALL),
 high AS (SELECT rid, s, w FROM freq GROUP BY rid, s, least, w HAVING -sum(p * log2(p)) >= least - 1e-9),
-stretch AS (SELECT rid, s + min(w) AS s, 3 AS kind, s + max(w) + 20 AS e FROM high GROUP BY rid, high.s),
-spans AS (SELECT * FROM base UNION ALL SELECT * FROM stretch x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.s < x.e AND x.s < b.e)),
+places AS (SELECT DISTINCT rid, unnest(range(s + w, s + w + 20)) AS p FROM high),
+free AS (SELECT rid, p, p - row_number() OVER (PARTITION BY rid ORDER BY p) AS island FROM places x
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.s <= x.p AND x.p < b.e)),
+spans AS (SELECT * FROM base UNION ALL SELECT rid, min(p), 3, max(p) + 1 FROM free GROUP BY rid, island HAVING count(*) >= 16),
 named AS (SELECT rid, s, kind, e, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || s || ':' || e AS span FROM spans),
 lists AS (SELECT rid, count(*) FILTER (kind = 0) AS na, count(*) FILTER (kind = 1) AS nk, count(*) FILTER (kind = 2) AS nh,
     string_agg(span, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS own, string_agg(span, ',' ORDER BY s, kind, e) AS spans FROM named GROUP BY rid)

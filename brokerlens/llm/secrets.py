@@ -6,6 +6,7 @@ All of it is SQL expressions over a row; no Python runs on the executors.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "entropy"]
 SPANS = "array<struct<start:long,end:long>>"
+#: Long arrays and candidates are worked off in chunks of this many; results do not depend on it.
+CHUNK = 256
+#: Weight of a fixed span in the sweep, above any number of spans of one text.
+FIXED = 1 << 32
 
 #: Alphabets of the character classes; the last holds all others. A candidate is a maximal stretch of one class.
 CLASSES = {
@@ -32,10 +37,11 @@ CLASSES = {
 class Limits:
     """Window length and least entropy in bits per character class, and what is never a secret.
 
-    ``allowed_patterns`` are searched in a candidate of a class; ``allowed`` are whole candidates.
+    What a fixed span leaves of a stretch is listed from ``shortest`` characters on. ``allowed_patterns`` are searched in a candidate of a class; ``allowed`` are whole candidates.
     """
 
     window: int = 20
+    shortest: int = 16
     bits: tuple[tuple[str, float], ...] = (("hex", 3.0), ("upper_hex", 3.0), ("alphanumeric", 3.8), ("base64", 3.9))
     allowed_patterns: tuple[str, ...] = (
         r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
@@ -47,41 +53,68 @@ class Limits:
     allowed: tuple[str, ...] = ()
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sums(values: Column) -> Column:
+    """Running sums of longs. They are taken chunk by chunk, so a long array costs no more for each value than a short one."""
+    none = F.array().cast("array<long>")
+    last = lambda held: F.coalesce(F.get(held, F.size(held) - 1), F.lit(0).cast("long"))
+
+    def running(chunk: Column) -> Column:
+        return F.aggregate(chunk, none, lambda held, x: F.array_append(held, last(held) + x))
+
+    def joined(chunks: Column) -> Column:
+        before = F.aggregate(chunks, F.array(F.lit(0).cast("long")), lambda held, c: F.array_append(held, last(held) + last(c)))
+        return F.flatten(F.zip_with(chunks, F.slice(before, F.lit(1), F.size(chunks)), lambda c, b: F.transform(c, lambda x: x + b)))
+
+    def chunked(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(CHUNK))
+        return _let(F.transform(starts, lambda at: running(F.slice(v, at, F.lit(CHUNK)))), joined)
+
+    return _let(values, chunked)
+
+
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
     """[(start, end, text, group)] of all leftmost matches that do not overlap, in code points.
 
     The pattern also cuts the text, so a match begins where the matches and the gaps before it end.
     """
-    parts = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
-    )
     none = F.array().cast("array<struct<start:long,end:long,hit:string,part:string>>")
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    def placed(gaps: Column, found: Column) -> Column:
+        lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: (F.length(g) + F.length(h)).cast("long"))
+        return F.transform(
+            F.arrays_zip(_sums(lengths).alias("end"), found.alias("hit"), parts.alias("part")),
+            lambda x: F.struct((x["end"] - F.length(x["hit"])).alias("start"), x["end"], x["hit"], x["part"]),
+        )
 
-    def step(held: Column, x: Column) -> Column:
-        start = held["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["part"].alias("part"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), held["out"]).otherwise(F.array_append(held["out"], span)).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda held: held["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), _let(hits, lambda h: placed(F.split(text, pattern, -1), h))).otherwise(none)
 
 
 def _weight(count: int) -> float:
     return count * math.log2(count) if count > 1 else 0.0
 
 
-def _entropy_range(hit: Column, alphabet: str, window: int, least: float) -> Column:
-    """(first, last) window starts, from 0, whose entropy is ``least`` bits or more; first is null without any.
+def _high_runs(piece: Column, alphabet: str, window: int, least: float) -> Column:
+    """[(start, end)] in a piece of a candidate: each run of consecutive windows with ``least`` bits of entropy or more.
 
     Counts per character move with the window: one goes up, one goes down, and with them the sum of c * log2(c), from
     which the entropy of w characters follows as log2(w) - sum / w.
     """
     weights = F.array(*(F.lit(_weight(c)) for c in range(window + 2)))
-    codes = F.transform(F.split(hit, ""), lambda c: F.position(c, F.lit(alphabet)))
+    codes = F.transform(F.split(piece, ""), lambda c: F.position(c, F.lit(alphabet)))
     # What enters and what leaves, side by side; 0 while nothing leaves yet.
     moves = F.arrays_zip(codes.alias("new"), F.concat(F.array_repeat(F.lit(0), window), codes).alias("old"))
+    nothing = F.lit(None).cast("int")
+
+    def closed(held: Column) -> Column:
+        run = F.struct(held["first"].cast("long").alias("start"), held["at"].cast("long").alias("end"))
+        return F.when(held["first"].isNull(), held["runs"]).otherwise(F.array_append(held["runs"], run))
 
     def step(held: Column, x: Column) -> Column:
         full, after = x["old"] > 0, held["at"] + 1
@@ -98,17 +131,16 @@ def _entropy_range(hit: Column, alphabet: str, window: int, least: float) -> Col
             x["new"].isNotNull(),
             F.struct(
                 after.alias("at"), counts.alias("counts"), total.alias("sum"),
-                F.when(high & held["first"].isNull(), after - window).otherwise(held["first"]).alias("first"),
-                F.when(high, after - window).otherwise(held["last"]).alias("last"),
+                F.when(high, F.coalesce(held["first"], after - window)).otherwise(nothing).alias("first"),
+                F.when(high, held["runs"]).otherwise(closed(held)).alias("runs"),
             ),
         ).otherwise(held)  # the last leaving ones have nothing beside them
 
-    nothing = F.lit(None).cast("int")
     start = F.struct(
         F.lit(0).alias("at"), F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"), F.lit(0.0).alias("sum"),
-        nothing.alias("first"), nothing.alias("last"),
+        nothing.alias("first"), F.array().cast(SPANS).alias("runs"),
     )
-    return F.aggregate(moves, start, step, lambda held: F.struct(held["first"].alias("first"), held["last"].alias("last")))
+    return F.aggregate(moves, start, step, closed)
 
 
 def _candidates(text: Column, name: str, limits: Limits) -> Column:
@@ -119,26 +151,61 @@ def _candidates(text: Column, name: str, limits: Limits) -> Column:
 
 
 def _high(candidate: Column, name: str, least: float, window: int) -> Column:
-    """(start, end) within the text of a candidate's stretch of high entropy; start is null without any."""
-    return F.transform(
-        F.array(_entropy_range(candidate["hit"], CLASSES[name], window, least)),
-        lambda f: F.struct(
-            (candidate["start"] + f["first"]).cast("long").alias("start"),
-            (candidate["start"] + f["last"] + window).cast("long").alias("end"),
-        ),
-    )[0]
+    """[(start, end)] within the text of a candidate's runs of high windows.
 
+    A candidate is looked at in pieces that overlap by a window less one, so each window lies in one piece.
+    """
+    pieces = F.regexp_extract_all(candidate["hit"], F.lit(f"(?=(.{{{window},{CHUNK + window - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+
+    def of(piece: Column, at: Column) -> Column:
+        before = candidate["start"] + at * CHUNK
+        return F.transform(
+            _high_runs(piece, CLASSES[name], window, least),
+            lambda r: F.struct((before + r["start"]).alias("start"), (before + r["end"]).alias("end")),
+        )
 
-def _merged(spans: Column) -> Column:
-    """Spans in order of start, those that overlap made one."""
+    return F.flatten(F.transform(pieces, of))
 
-    def step(held: Column, x: Column) -> Column:
-        last = F.get(held, F.size(held) - 1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        joined = F.array_append(F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0))), wider)
-        return F.when(x["start"] < last["end"], joined).otherwise(F.array_append(held, x))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
+def _outside(spans: Column, fixed: Column, shortest: int) -> Column:
+    """[(start, end)] of the maximal stretches in a span and in no fixed one, of ``shortest`` characters or more.
+
+    One sweep over where spans begin and end: the running sum counts the spans that are open in its lower half and the
+    fixed ones in its upper half.
+    """
+
+    def ends(of: Column, weight: int) -> Column:
+        step = lambda at, n: F.struct(at.alias("at"), F.lit(n).cast("long").alias("step"))
+        return F.flatten(F.transform(of, lambda s: F.array(step(s["start"], weight), step(s["end"], -weight))))
+
+    def beside(v: Column) -> Column:
+        """Each element with the one before and the one after it."""
+        empty = F.slice(v, F.lit(1), F.lit(0))
+        front = F.concat(F.transform(F.slice(v, F.lit(1), F.least(F.size(v), F.lit(1))), lambda _: F.lit(None)), v)
+        return F.arrays_zip(v.alias("own"), front.alias("before"), F.coalesce(F.slice(v, F.lit(2), F.size(v)), empty).alias("after"))
+
+    def swept(events: Column) -> Column:
+        open_ = F.zip_with(
+            events, _sums(F.transform(events, lambda e: e["step"])),
+            lambda e, n: F.struct(e["at"].alias("at"), n.between(1, FIXED - 1).alias("on")),
+        )
+        # What holds behind a place is what its last event says.
+        last = F.transform(
+            F.filter(_let(open_, beside), lambda x: x["own"].isNotNull() & ~F.coalesce(x["own"]["at"] == x["after"]["at"], F.lit(False))),
+            lambda x: x["own"],
+        )
+        return F.transform(
+            F.filter(_let(last, beside), lambda x: x["own"].isNotNull() & (x["own"]["on"] != F.coalesce(x["before"]["on"], F.lit(False)))),
+            lambda x: x["own"],
+        )
+
+    def paired(turns: Column) -> Column:
+        on, off = F.filter(turns, lambda t: t["on"]), F.filter(turns, lambda t: ~t["on"])
+        both = F.zip_with(on, off, lambda a, b: F.struct(a["at"].alias("start"), b["at"].alias("end")))
+        return F.filter(both, lambda s: s["end"] - s["start"] >= shortest)
+
+    events = F.array_sort(F.concat(ends(spans, 1), ends(fixed, FIXED)))
+    return _let(_let(events, swept), paired)
 
 
 def _allowed(hit: Column, limits: Limits) -> Column:
@@ -151,10 +218,10 @@ def _allowed(hit: Column, limits: Limits) -> Column:
 def scan(docs: DataFrame, limits: Limits = Limits(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, n_assign, n_access, n_hex, base_sha256 and spans ("kind:start:end", comma-joined).
 
-    Offsets are code points, ends exclusive; spans are in order of start, then kind as in ``KINDS``. A high-entropy
-    stretch is listed only where no fixed pattern lies and the allow-list does not suppress its candidate. Candidates
-    are the maximal stretches of each class, so a key glued to a name or a path is judged by its own class too, and
-    an allowed word beside it does not suppress it; stretches of several classes that overlap are one span. A null or
+    Offsets are code points, ends exclusive; spans are in order of start, then kind as in ``KINDS``. An entropy span is
+    a maximal stretch of characters that lie in a window of high entropy and in no fixed span. Candidates are the
+    maximal stretches of each class, so a key glued to a name or a path is judged by its own class too, and an allowed
+    word beside it does not suppress it. Work grows in step with a text's length, whatever it matches. A null or
     empty text has none and the digest of an empty list. Repeated rows each get a row; other columns are left out.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -172,17 +239,13 @@ def scan(docs: DataFrame, limits: Limits = Limits(), text: str = "text", key: st
 
     rows = rows.withColumn("base", F.array_sort(F.concat(placed("assign"), placed("access"), placed("hex"))))
 
-    def free(name: str, least: float) -> Column:
-        """The stretches of high entropy of a class where no fixed pattern lies."""
-        held = F.filter(
-            F.transform(f"in_{name}", lambda c: _high(c, name, least, limits.window)),
-            lambda e: e["start"].isNotNull()
-            & ~F.exists(F.col("base"), lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])),
-        )
+    def stretches(name: str, least: float) -> Column:
+        held = F.flatten(F.transform(f"in_{name}", lambda c: _high(c, name, least, limits.window)))
         return F.when(F.size(f"in_{name}") > 0, held).otherwise(F.array().cast(SPANS))
 
-    rows = rows.withColumn("entropy", F.concat(*(free(name, least) for name, least in limits.bits)))
-    rows = rows.withColumn("entropy", F.when(F.size("entropy") > 1, _merged(F.col("entropy"))).otherwise(F.col("entropy")))
+    rows = rows.withColumn("entropy", F.concat(*(stretches(name, least) for name, least in limits.bits)))
+    cut = _outside(F.col("entropy"), F.col("base"), limits.shortest)
+    rows = rows.withColumn("entropy", F.when(F.size("entropy") > 0, cut).otherwise(F.col("entropy")))
     names = F.array(*(F.lit(k) for k in KINDS))
 
     def listed(spans: Column) -> Column:

@@ -2,8 +2,12 @@ import hashlib
 import math
 import random
 import re
+import time
+from collections import Counter
 
-from brokerlens.llm import secrets
+import duckdb
+
+from brokerlens.llm import oracles, secrets
 from tests.llm.conftest import TEXTS
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -15,21 +19,21 @@ def plain(text, limits=secrets.Limits()):
     base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     base.sort()
-    more, w = [], limits.window
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
-        hit = m[0]
-        if len(hit) < 20 or hit in limits.allowed or any(re.search(p, hit) for p in limits.allowed_patterns):
-            continue
-        least = next(bits for name, bits in limits.bits if set(hit) <= set(secrets.CLASSES[name]))
-        high = []
-        for i in range(len(hit) - w + 1):
-            counts = [hit[i : i + w].count(c) / w for c in set(hit[i : i + w])]
-            if -sum(p * math.log2(p) for p in counts) >= least - 1e-9:
-                high.append(i)
-        if high:
-            a, b = m.start() + high[0], m.start() + high[-1] + w
-            if not any(x < b and a < y for x, _, y in base):
-                more.append((a, 3, b))
+    places, w = set(), limits.window
+    for name, least in limits.bits:
+        for m in re.finditer("[" + re.escape(secrets.CLASSES[name]) + "]+", text):
+            hit = m[0]
+            if len(hit) < w or hit in limits.allowed or any(re.search(p, hit) for p in limits.allowed_patterns):
+                continue
+            for i in range(len(hit) - w + 1):
+                counts = [n / w for n in Counter(hit[i : i + w]).values()]
+                if -sum(p * math.log2(p) for p in counts) >= least - 1e-9:
+                    places |= set(range(m.start() + i, m.start() + i + w))
+    for a, _, b in base:
+        places -= set(range(a, b))
+    starts = sorted(p for p in places if p - 1 not in places)
+    ends = sorted(p + 1 for p in places if p + 1 not in places)
+    more = [(a, 3, b) for a, b in zip(starts, ends) if b - a >= limits.shortest]
     listed = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
     numbers = [sum(k == kind for _, k, _ in base) for kind in range(3)]
     return (*numbers, hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + more)))
@@ -43,8 +47,16 @@ CASES = [
 ]
 
 
+OWN, UPPER, HEXES = "Zx9Kq2Lm8Vt4Bn7Wp3Rd", "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B", "9f86d081884c7d659a2feaa0c55ad015"
+GLUED = [
+    f"see sig={UPPER} end", f"see example/{OWN}{OWN} end", OWN + "a" * 400 + OWN, f"{OWN}{'-' * 60}{OWN}", f"{HEXES}/{OWN}",
+    f"dir/sample/{UPPER}/{OWN}", f"{OWN} {UPPER}/{HEXES}{OWN}", (OWN + "Qy5Hs1") * 50, ("é " + OWN + " 🙂") * 30, f"x/{OWN}/token={OWN}",
+    (OWN + "z" * 250) * 9, "".join(random.Random(5).choices(secrets.CLASSES["base64"], k=3000)), "k" * 255 + OWN + "k" * 254 + UPPER,
+]
+
+
 def test_equals_plain_scan_of_edge_texts_and_tables(spark, crowded, nothing):
-    texts = CASES + [t for _, t, *_ in TEXTS if t is None or len(t) < 50_000]
+    texts = CASES + GLUED + [t for _, t, *_ in TEXTS if t is None or len(t) < 50_000]
     rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert len(rows) == len(texts)
     for row in rows:
@@ -83,9 +95,39 @@ def test_keys_glued_to_names_and_paths(spark):
     assert found >= 0.97 * len(cases)
 
 
+def test_sql_holds_for_glued_keys(spark, tmp_path):
+    texts = GLUED + CASES + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        wanted = {row[0]: row for row in db.execute(oracles.SECRETS).fetchall()}
+    for row in secrets.scan(docs).collect():
+        assert tuple(row) == wanted[row["doc_id"]] and tuple(row)[1:] == plain(texts[row["doc_id"]]), texts[row["doc_id"]]
+
+
 def test_stretches_beside_fixed_patterns_and_overlaps(spark):
-    own, upper, hexes = "Zx9Kq2Lm8Vt4Bn7Wp3Rd", "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B", "9f86d081884c7d659a2feaa0c55ad015"
-    texts = [f"{hexes}/{own}", f"{own} {own}", f"sample/{own}", f"example{own}", f"dir/sample/{upper}/{own}"]
+    texts = [
+        f"{HEXES}/{OWN}", f"{OWN} {OWN}", f"sample/{OWN}", f"example{OWN}", f"dir/sample/{UPPER}/{OWN}",
+        OWN + "a" * 400 + OWN, f"x/y-{OWN}{'-' * 60}{OWN}",
+    ]
     rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     spans = {r["doc_id"]: r["spans"] for r in rows}
-    assert spans == {0: "hex:0:32,entropy:33:53", 1: "entropy:0:20,entropy:21:41", 2: "entropy:7:27", 3: "", 4: "entropy:11:51,entropy:52:72"}
+    assert [spans[i] for i in range(5)] == [
+        "hex:0:32,entropy:32:53", "entropy:0:20,entropy:21:41", "entropy:7:27", "", "entropy:11:51,entropy:52:72",
+    ]
+    assert spans[5] == "entropy:0:19,hex:19:420,entropy:420:440"  # both keys, the d goes to the hexadecimal run
+    assert [s.split(":")[0] for s in spans[6].split(",")] == ["entropy", "entropy"]
+
+
+def test_many_matches_in_one_text_cost_no_more_each(spark):
+    def seconds(n):
+        docs = spark.createDataFrame([(1, f"token=abcdef {HEXES} {OWN} " * n)], "doc_id long, text string")
+        start = time.monotonic()
+        row = secrets.scan(docs).first()
+        assert row["n_assign"] == row["n_hex"] == n and row["spans"].count("entropy") == n
+        return time.monotonic() - start
+
+    seconds(10)
+    few, many = seconds(2000), seconds(8000)
+    assert many < 8 * few + 5
