@@ -28,7 +28,7 @@ m AS (SELECT rid, source, own, line, regexp_extract_all(line, '{_WORD}+') AS wor
   FROM l WHERE regexp_matches(line, '{_WORD}')),
 hosts AS (SELECT source, count(DISTINCT coalesce(md5(own), 'none')) AS total FROM d GROUP BY source),
 often AS (SELECT source, norm, count(DISTINCT md5(own)) AS n FROM m GROUP BY source, norm),
-over AS (SELECT o.source, o.norm FROM often o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source WHERE n > 20 AND n > 0.1 * total),
+over AS (SELECT o.source, o.norm FROM often o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source WHERE n > 100 OR (n > 5 AND n > 0.1 * total)),
 ln AS (SELECT rid, count(*) - count(DISTINCT line) AS dup, sum(CASE WHEN o.norm IS NOT NULL THEN len(words) ELSE 0 END) AS common
   FROM m LEFT JOIN over o ON m.norm = o.norm AND m.source IS NOT DISTINCT FROM o.source GROUP BY rid),
 w AS (SELECT rid, unnest(regexp_extract_all(text, '{_WORD}+')) AS w, generate_subscripts(regexp_extract_all(text, '{_WORD}+'), 1) AS i FROM d),

@@ -22,14 +22,15 @@ BLANKS = " \t\n\x0b\x0c\r"
 class Rules:
     """Limits of the verdict.
 
-    A line is boilerplate of a host if more than ``line_documents`` distinct documents and more than ``line_share``
-    of the host's distinct documents hold it. A document is depleted if boilerplate has more than ``depleted`` of
-    its words.
+    A line is boilerplate of a host if more than ``line_documents`` of the host's distinct documents hold it, or, in
+    small hosts, more than ``line_least`` and more than ``line_share`` of them. A document is depleted if boilerplate
+    has more than ``depleted`` of its words.
     """
 
     least_words: int = 50
     repeat_share: float = 0.5
-    line_documents: int = 20
+    line_documents: int = 100
+    line_least: int = 5
     line_share: float = 0.1
     depleted: float = 0.5
 
@@ -77,25 +78,41 @@ def _distinct_lines(hosts: list, texts: list, keys: list) -> dict:
     return out
 
 
-def common_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:
-    """(host, lines): per host the hashes of its boilerplate lines. Hosts without any are left out.
-
-    Documents are counted once per distinct text, so copies of one document make none of its lines boilerplate.
-    A null host is a host of its own. Each document sends a hash per distinct line; counts are taken in two steps
-    with partial sums before each shuffle, so a line in every document does not gather anywhere. A host has at most
-    1 / ``line_share`` times its mean lines per document such lines, so ``lines`` stays short.
-    """
+def _lines(docs: DataFrame, text: str, host: str) -> DataFrame:
+    """(host, line, doc): a row for each distinct line of each document, and one with a null line for itself."""
     schema = T.StructType().add("host", "string").add("line", "long").add("doc", "long")
     rows = docs.select(
         F.col(host).cast("string").alias("host"), F.col(text).alias("text"), text_key(F.col(text)).alias("doc")
     )
-    lines = rows.mapInArrow(per_batch(_distinct_lines, ["host", "text", "doc"], schema), schema)
+    return rows.mapInArrow(per_batch(_distinct_lines, ["host", "text", "doc"], schema), schema)
+
+
+def _over(lines: DataFrame, rules: Rules) -> DataFrame:
     counts = lines.groupBy("host", "line").agg(F.countDistinct("doc").alias("n"))
-    counts = written(counts.where(F.col("line").isNull() | (F.col("n") > rules.line_documents)), "lines")
+    counts = written(counts.where(F.col("line").isNull() | (F.col("n") > min(rules.line_least, rules.line_documents))), "lines")
     total = counts.where("line IS NULL").select(F.col("host").alias("owner"), F.col("n").alias("total"))
     often = counts.where("line IS NOT NULL").join(total, same(F.col("host"), F.col("owner")))
-    over = often.where(F.col("n") > F.lit(rules.line_share) * F.col("total"))
-    return written(over.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("lines")), "hosts")
+    share = (F.col("n") > rules.line_least) & (F.col("n") > F.lit(rules.line_share) * F.col("total"))
+    return often.where((F.col("n") > rules.line_documents) | share).select("host", "line", F.col("n").alias("documents"))
+
+
+def common_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:
+    """(host, line, documents): the hashes of each host's boilerplate lines and how many distinct documents hold them.
+
+    Documents are counted once per distinct text, so copies of one document make none of its lines boilerplate.
+    A null host is a host of its own; null and empty texts have no lines; an empty table has none. Each document
+    sends a hash per distinct line; counts are taken in two steps with partial sums before each shuffle, so a line
+    in every document does not gather anywhere.
+    """
+    return _over(_lines(docs, text, host), rules)
+
+
+def _marked(docs: DataFrame, rules: Rules, text: str, host: str) -> DataFrame:
+    """(host, doc, lines): for each distinct document with boilerplate, the hashes of those of its own lines."""
+    lines = written(_lines(docs, text, host), "document_lines")
+    over = _over(lines, rules).select(F.col("host").alias("owner"), F.col("line").alias("common"))
+    own = lines.where("line IS NOT NULL").join(over, same(F.col("host"), F.col("owner")) & (F.col("line") == F.col("common")))
+    return written(own.groupBy("host", "doc").agg(F.collect_set("line").alias("lines")), "marks")
 
 
 def _verdicts(rules: Rules, text: str, lines: str, names: list[str], kept_only: bool):
@@ -139,9 +156,11 @@ def _judged(docs: DataFrame, rules: Rules, text: str, host: str, kept_only: bool
     names: list[str] = []
     for name in MEASURES:
         names.append(free_name([*docs.columns, *names], name))
-    owner, lines = free_name(docs, "line_owner"), free_name(docs, "line_hashes")
-    bad = common_lines(docs, rules, text, host).select(F.col("host").alias(owner), F.col("lines").alias(lines))
-    joined = docs.join(bad, same(F.col(host).cast("string"), F.col(owner)), "left").drop(owner)
+    owner, mark, lines, own = (free_name(docs, name) for name in ("line_owner", "line_document", "line_hashes", "own_key"))
+    bad = _marked(docs, rules, text, host).toDF(owner, mark, lines)
+    keyed = docs.withColumn(own, text_key(F.col(text)))
+    met = same(F.col(host).cast("string"), F.col(owner)) & (F.col(own) == F.col(mark))
+    joined = keyed.join(bad, met, "left").drop(owner, mark, own)
     schema = T.StructType(list(docs.schema.fields))
     for k, name in enumerate(names):
         schema = schema.add(name, "long" if k < 6 else "boolean")
@@ -163,7 +182,8 @@ def clean(
 ) -> DataFrame:
     """The documents that pass, boilerplate lines removed from their texts; the columns stay as they are.
 
-    ``length``, if there is such a column, follows the new text.
+    ``length``, if there is such a column, follows the new text. Null and empty texts have no words and go; repeated
+    rows are judged alike and each of them stays or goes; an empty table gives an empty table.
     """
     kept = _judged(docs, rules, text, host, True)[0].select(*docs.columns)
     if length in docs.columns:

@@ -1,12 +1,13 @@
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
-from brokerlens.llm import quality
+import duckdb
+
+from brokerlens.llm import oracles, quality
 from tests.llm.conftest import TEXTS
 
 
 def plain(text):
-    import re
-
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -16,6 +17,32 @@ def plain(text):
     return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered)
 
 
+def plain_cleaned(rows, rules=quality.Rules()):
+    """doc_id -> cleaned text of what is kept, of rows (doc_id, text, host)."""
+
+    def norm(line):
+        return " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+
+    holders, total, out = defaultdict(set), defaultdict(set), {}
+    for _, text, host in rows:
+        total[host].add(text)
+        for line in (text or "").split("\n"):
+            holders[host, norm(line)].add(text)
+    for key, text, host in rows:
+        n, _, _, _, repeat = plain(text)
+        keep, gone = [], 0
+        for line in (text or "").split("\n"):
+            held = len(holders[host, norm(line)])
+            share = held > rules.line_least and held > rules.line_share * len(total[host])
+            if norm(line) and (held > rules.line_documents or share):
+                gone += len(norm(line).split(" "))
+            else:
+                keep.append(line)
+        if n >= rules.least_words and repeat <= rules.repeat_share * n and gone <= rules.depleted * n:
+            out[key] = "\n".join(keep)
+    return out
+
+
 def test_measures_equal_plain_ones():
     more = ["a b c a b c a", "#x $y | z\n\n#x $y | z\n", "a a a a", "\x85a\xa0b \x1c c", "p q r s p q r t q r s"]
     for text in [t for _, t, *_ in TEXTS] + more:
@@ -50,3 +77,24 @@ def test_common_lines_of_a_host_go(spark):
     assert judged[201]["n_common_words"] == 0 and judged[300]["kept"]
     cleaned = {r["doc_id"]: r["text"] for r in quality.clean(docs, rules).collect()}
     assert cleaned[4] == body[4] and 200 not in cleaned and cleaned[100] == rows[10][1]
+
+
+def test_lines_go_by_count_in_large_hosts_and_by_share_in_small_ones(spark, tmp_path):
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, f"Shared  by 5 percent\n{words(i)}" if i % 20 == 0 else words(i), "large") for i in range(2200)]
+    rows += [(3000 + i, "in every\tfooter here\n" * 2 + words(i), "small") for i in range(6)]
+    rows += [(3100 + i, f"shared by 5 percent\n{words(i)}", "small") for i in range(5)]  # five are not over the limit
+    rows += [(3200 + i, "of no host\n" + words(i), None) for i in range(7)]
+    rows += [(3300 + i, "in every footer here " * 9 + "\n" + words(i), "mostly") for i in range(6)]
+    rows += [(3400 + i, "\n".join(["in every footer here " * 20, words(i)]), "depleted") for i in range(6)]
+    rows += [(3500 + i, "one text\n" + words(1), "copies") for i in range(300)] + [(3900, None, "small"), (3901, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cleaned = {r["doc_id"]: r["text"] for r in quality.clean(docs).collect()}
+    assert cleaned == plain_cleaned(rows)
+    assert cleaned[0] == words(0) and cleaned[3000] == words(0) and cleaned[3200] == words(0)
+    assert cleaned[3100].startswith("shared") and cleaned[3500].startswith("one") and not {3400, 3405, 3900, 3901} & set(cleaned)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        wanted = {(r[0], r[6], r[8]) for r in db.execute(oracles.QUALITY).fetchall()}
+    assert {(r["doc_id"], r["n_common_words"], r["kept"]) for r in quality.judge(docs).collect()} == wanted
