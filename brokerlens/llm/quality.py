@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,8 @@ class Rules:
 
     A line is boilerplate of a host if more than ``line_documents`` of the host's distinct documents hold it, or, in
     small hosts, more than ``line_least`` and more than ``line_share`` of them. A document is depleted if boilerplate
-    has more than ``depleted`` of its words.
+    has more than ``depleted`` of its words. Up to ``most_held`` boilerplate lines of all hosts are broadcast (a 64-bit
+    hash each); if there are more, documents meet theirs by a shuffle instead, with the same result.
     """
 
     least_words: int = 50
@@ -33,6 +35,7 @@ class Rules:
     line_least: int = 5
     line_share: float = 0.1
     depleted: float = 0.5
+    most_held: int = 250_000
 
 
 def line_key(line: bytes) -> int | None:
@@ -107,23 +110,23 @@ def common_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text", ho
     return _over(_lines(docs, text, host), rules)
 
 
-def _marked(docs: DataFrame, rules: Rules, text: str, host: str) -> DataFrame:
+def _marked(docs: DataFrame, over: DataFrame, text: str, host: str) -> DataFrame:
     """(host, doc, lines): for each distinct document with boilerplate, the hashes of those of its own lines."""
-    lines = written(_lines(docs, text, host), "document_lines")
-    over = _over(lines, rules).select(F.col("host").alias("owner"), F.col("line").alias("common"))
-    own = lines.where("line IS NOT NULL").join(over, same(F.col("host"), F.col("owner")) & (F.col("line") == F.col("common")))
+    held = over.select(F.col("host").alias("owner"), F.col("line").alias("common"))
+    own = _lines(docs, text, host).join(held, same(F.col("host"), F.col("owner")) & (F.col("line") == F.col("common")))
     return written(own.groupBy("host", "doc").agg(F.collect_set("line").alias("lines")), "marks")
 
 
-def _verdicts(rules: Rules, text: str, lines: str, names: list[str], kept_only: bool):
+def _verdicts(rules: Rules, text: str, lines: str, held: Broadcast | None, names: list[str], kept_only: bool):
+    """Judges rows whose column ``lines`` is the host, to be looked up in ``held``, or without that their own lines."""
     schema = [pa.field(n, pa.int64()) for n in names[:6]] + [pa.field(n, pa.bool_()) for n in names[6:]]
 
-    def of(value: str | None, bad: list | None) -> tuple:
+    def of(value: str | None, bad: Iterable[int] | None) -> tuple:
         n, chars, symbols, dup, repeat = measures(value)
         failed = n < rules.least_words or repeat > rules.repeat_share * n
         gone, kept_text = 0, value
         if bad and n:
-            drop, keep = set(bad), []
+            drop, keep = bad if held else set(bad), []
             for line in value.split("\n"):
                 raw = line.encode()
                 if line_key(raw) in drop:
@@ -137,7 +140,10 @@ def _verdicts(rules: Rules, text: str, lines: str, names: list[str], kept_only:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, [text]):
-                made = [of(*pair) for pair in zip(batch.column(text).to_pylist(), batch.column(lines).to_pylist())]
+                bad = batch.column(lines).to_pylist()
+                if held:
+                    bad = [held.value.get(owner) for owner in bad]
+                made = [of(*pair) for pair in zip(batch.column(text).to_pylist(), bad)]
                 columns = {name: batch.column(name) for name in batch.schema.names if name != lines}
                 if kept_only:
                     columns[text] = pa.array([t for _, t in made], type=batch.schema.field(text).type)
@@ -157,14 +163,22 @@ def _judged(docs: DataFrame, rules: Rules, text: str, host: str, kept_only: bool
     for name in MEASURES:
         names.append(free_name([*docs.columns, *names], name))
     owner, mark, lines, own = (free_name(docs, name) for name in ("line_owner", "line_document", "line_hashes", "own_key"))
-    bad = _marked(docs, rules, text, host).toDF(owner, mark, lines)
-    keyed = docs.withColumn(own, text_key(F.col(text)))
-    met = same(F.col(host).cast("string"), F.col(owner)) & (F.col(own) == F.col(mark))
-    joined = keyed.join(bad, met, "left").drop(owner, mark, own)
+    over = written(common_lines(docs, rules, text, host), "over")
+    held = None
+    if over.count() <= rules.most_held:
+        by_host: dict[str | None, set] = {}
+        for row in over.collect():
+            by_host.setdefault(row["host"], set()).add(row["line"])
+        held = docs.sparkSession.sparkContext.broadcast(by_host)
+        joined = docs.withColumn(lines, F.col(host).cast("string"))
+    else:
+        bad = _marked(docs, over, text, host).toDF(owner, mark, lines)
+        met = same(F.col(host).cast("string"), F.col(owner)) & (F.col(own) == F.col(mark))
+        joined = docs.withColumn(own, text_key(F.col(text))).join(bad, met, "left").drop(owner, mark, own)
     schema = T.StructType(list(docs.schema.fields))
     for k, name in enumerate(names):
         schema = schema.add(name, "long" if k < 6 else "boolean")
-    return joined.mapInArrow(_verdicts(rules, text, lines, names, kept_only), schema), names
+    return joined.mapInArrow(_verdicts(rules, text, lines, held, names, kept_only), schema), names
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:

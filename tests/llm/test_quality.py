@@ -91,6 +91,8 @@ def test_lines_go_by_count_in_large_hosts_and_by_share_in_small_ones(spark, tmp_
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     cleaned = {r["doc_id"]: r["text"] for r in quality.clean(docs).collect()}
     assert cleaned == plain_cleaned(rows)
+    shuffled = quality.clean(docs, quality.Rules(most_held=0)).collect()
+    assert {r["doc_id"]: r["text"] for r in shuffled} == cleaned and len(shuffled) == len(cleaned)
     assert cleaned[0] == words(0) and cleaned[3000] == words(0) and cleaned[3200] == words(0)
     assert cleaned[3100].startswith("shared") and cleaned[3500].startswith("one") and not {3400, 3405, 3900, 3901} & set(cleaned)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
