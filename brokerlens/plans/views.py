@@ -22,10 +22,10 @@ def broker() -> F.Column:
     return (F.col("user_id") % 3 + 1).cast("string")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A gauge per event type and broker."""
+def samples(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """A gauge per event type and broker; ``more`` columns of the events stay beside it."""
     return events(spark, sf_dir).select(
-        "ts", F.col("event_type").alias("metric"), F.create_map(F.lit("broker"), broker()).alias("labels"), "value"
+        "ts", F.col("event_type").alias("metric"), F.create_map(F.lit("broker"), broker()).alias("labels"), "value", *more
     )
 
 
