@@ -520,27 +520,16 @@ FEATURES = [
 ]
 
 
-def feature_matrix(
-    samples: DataFrame,
-    features: list[Feature] = FEATURES,
-    step: float = 15.0,
-    windows: dict[str, float] | None = None,
-    subquery_step: float = 60.0,
-    extrapolate: bool = True,
-    slice_seconds: float = SLICE,
-) -> DataFrame:
-    """One row per step, one column per feature, NULL where nothing could be computed.
+#: How far the kinds of reading look back.
+READS = {"instant": LOOKBACK, "rate_5m": 300.0, "rate_1m": 60.0}
 
-    All windows of all metrics come from one pass over the samples and one
-    grouping by time; only the stddev-over-minutes features look at neighbouring
-    rows, and those come from the already aggregated, one-row-per-step table.
-    """
-    windows = windows or {"instant": LOOKBACK, "rate_5m": 300.0, "rate_1m": 60.0}
-    if subquery_step % step:
-        raise ValueError("subquery_step must be a multiple of step")
-    wanted = {f.metric for f in features} | {f.divide_by.metric for f in features if f.divide_by}
-    known = samples.filter(F.col("metric").isin(sorted(wanted)))
-    stats = window_stats(known, windows, step, slice_seconds, (*COUNTER_FIELDS, "last"))
+
+def feature_metrics(features: list[Feature]) -> list[str]:
+    return sorted({f.metric for f in features} | {f.divide_by.metric for f in features if f.divide_by})
+
+
+def feature_columns(features: list[Feature], windows: dict[str, float], extrapolate: bool) -> list[Column]:
+    """Aggregates over the window statistics of all series at one time, one per feature."""
 
     def one(f: Feature) -> Column:
         stat = F.col(f.read)
@@ -561,7 +550,30 @@ def feature_matrix(
         bottom = one(f.divide_by)
         return F.when(bottom != 0, one(f) / bottom).alias(f.name)
 
-    wide = stats.groupBy("ts").agg(*[column(f) for f in features])
+    return [column(f) for f in features]
+
+
+def feature_matrix(
+    samples: DataFrame,
+    features: list[Feature] = FEATURES,
+    step: float = 15.0,
+    windows: dict[str, float] | None = None,
+    subquery_step: float = 60.0,
+    extrapolate: bool = True,
+    slice_seconds: float = SLICE,
+) -> DataFrame:
+    """One row per step, one column per feature, NULL where nothing could be computed.
+
+    All windows of all metrics come from one pass over the samples and one
+    grouping by time; only the stddev-over-minutes features look at neighbouring
+    rows, and those come from the already aggregated, one-row-per-step table.
+    """
+    windows = windows or READS
+    if subquery_step % step:
+        raise ValueError("subquery_step must be a multiple of step")
+    known = samples.filter(F.col("metric").isin(feature_metrics(features)))
+    stats = window_stats(known, windows, step, slice_seconds, (*COUNTER_FIELDS, "last"))
+    wide = stats.groupBy("ts").agg(*feature_columns(features, windows, extrapolate))
     for f in features:
         if f.stddev_minutes:
             wide = _stddev_over(wide, f, step, subquery_step, slice_seconds)

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from brokerlens.functions.rules import select_strategy
 from brokerlens.operators.model import classify
 from brokerlens.operators.ordered import micros
-from brokerlens.operators.series import label, series_key
+from brokerlens.operators.series import FEATURES, label, series_key
 from brokerlens.schemas import MODEL_FEATURES
 from brokerlens.sources.sinks import latest_sink, upsert_latest
+from brokerlens.streaming.features import feature_matrix_stream
 from brokerlens.streaming.ordered import in_time_order, time
 
 DELAY = "10 minutes"
@@ -63,10 +64,19 @@ def score_stream(
     samples: DataFrame, model: PipelineModel, features: dict[str, tuple[str, str]] | None = None, seconds: float = 30.0,
     by: list[str] = (), delay: str = DELAY, min_confidence: float = 90.0,
 ) -> DataFrame:
-    """Windows of samples to feature rows, predictions and strategies."""
-    features = features or {name: (name, "avg") for name in MODEL_FEATURES}
-    rows = feature_stream(samples, features, seconds, by, delay)
-    return select_strategy(classify(rows, model, list(features)), min_confidence)
+    """Samples to feature rows, predictions and strategies.
+
+    By default the rows are those the model is trained on: its rates and variances every ``seconds``, which divide a
+    minute. With ``features`` they are plain aggregates of aligned windows (``feature_stream``).
+    """
+    if features:
+        rows = feature_stream(samples, features, seconds, by, delay)
+    elif by:
+        raise ValueError("the model's features are of all series: give features to score per key")
+    else:
+        wanted = [f for f in FEATURES if f.name in MODEL_FEATURES]
+        rows = feature_matrix_stream(samples, wanted, seconds, delay=delay)
+    return select_strategy(classify(rows, model, list(features or MODEL_FEATURES)), min_confidence)
 
 
 # ---------------------------------------------------------------- counters

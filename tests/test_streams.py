@@ -1,12 +1,15 @@
 """Streams fed file by file give what the batch operators give on all rows."""
 
+import math
 import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from brokerlens.functions.rules import select_strategy
 from brokerlens.operators import sequence, series
+from brokerlens.schemas import MODEL_FEATURES
 from brokerlens.sources import readers, sinks
 from brokerlens.streaming import jobs
 from tests.helpers import at, since
@@ -164,6 +167,58 @@ def test_scoring_marks_windows_without_a_feature(spark, folder):
     assert out[90]["type"] == "UNKNOWN" and out[90]["strategy"] == "CONTROLLED_GRADUAL" and out[90]["error"].endswith(": g")
 
 
+def telemetry(seed=3):
+    """Counters that reset now and then, a level, gaps, copies of an instant and samples off the grid."""
+    rnd, rows = random.Random(seed), []
+    metrics = {f.metric for f in series.FEATURES if f.name in MODEL_FEATURES}
+    for metric in sorted(metrics):
+        for broker in "ab":
+            value = 0.0
+            for t in range(0, 2400, 15):
+                value = rnd.uniform(0, 5) if rnd.random() < 0.03 else value + rnd.uniform(0, 50)
+                if rnd.random() < 0.9:
+                    rows.append((metric, at(t + rnd.choice([0, 0, 1.25])), {"instance": broker}, value))
+                if rnd.random() < 0.1:
+                    rows.append((*rows[-1][:3], rows[-1][3] - 1.0))
+    return rows + [(metric, at(60), {"instance": "a"}, None)]
+
+
+SAMPLES = "metric string, ts timestamp, labels map<string,string>, value double"
+
+
+@pytest.mark.parametrize("late", [0, 500])
+def test_feature_rows_of_a_stream_equal_the_batch(spark, folder, late):
+    wanted = [f for f in series.FEATURES if f.name in MODEL_FEATURES] + [
+        series.Feature("first_level", "node_memory_MemAvailable_bytes"),
+        series.Feature("of_b", "node_disk_written_bytes_total", "rate_5m", "avg", 100.0, {"instance": "b"}),
+    ]
+    rows = telemetry()
+    stream = jobs.feature_matrix_stream(feed(spark, folder, [*rows, ("other", at(30_000), {}, 0.0)], SAMPLES, 5, late), wanted)
+    got = {r["ts"]: r for r in finish(spark, folder, stream).collect()}
+    expected = {r["ts"]: r for r in series.feature_matrix(spark.createDataFrame(rows, SAMPLES), wanted).collect()}
+    assert set(got) == set(expected) and len(got) > 150
+    for ts, row in expected.items():
+        known, found = ([math.nan if v is None else v for v in tuple(r)[1:]] for r in (row, got[ts]))
+        assert found == pytest.approx(known, rel=1e-9, abs=1e-6, nan_ok=True), ts
+
+
+def test_scoring_by_the_features_of_the_model(spark, folder):
+    from brokerlens.operators import model
+
+    rows = telemetry(5)
+    table = series.feature_matrix(spark.createDataFrame(rows, SAMPLES)).select("ts", *MODEL_FEATURES)
+    level = "node_memory_MemAvailable_bytes"
+    middle = table.approxQuantile(level, [0.5], 0.0)[0]
+    fitted = model.train_classifier(table.withColumn("label", (F.col(level) > middle).cast("int")), MODEL_FEATURES, "label")
+    scored = jobs.score_stream(feed(spark, folder, [*rows, ("other", at(30_000), {}, 0.0)], SAMPLES, 4, 300), fitted, seconds=15.0)
+    kept = scored.select("ts", "prediction", "type", "strategy")
+    batch = {r["ts"]: tuple(r) for r in select_strategy(model.classify(table, fitted, MODEL_FEATURES)).select(*kept.columns).collect()}
+    got = {r["ts"]: tuple(r) for r in finish(spark, folder, kept).collect()}
+    assert got == batch and {"UNKNOWN"} < {r[2] for r in got.values()}
+    with pytest.raises(ValueError):
+        jobs.score_stream(scored, fitted, by=["instance"])
+
+
 def test_messages_stream_and_restart(spark, folder):
     rows = [(str(i), at(i), "v") for i in range(6)]
     feed(spark, folder, rows, "key string, ts timestamp, value string", 2)
