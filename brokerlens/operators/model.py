@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brokerlens.functions.scalars import CLASS_NAMES
+from brokerlens.operators import logistic
 from brokerlens.operators.ranks import bucket_count
 
 
@@ -110,7 +111,7 @@ def train_classifier(
             VectorAssembler(inputCols=[f"_scaled_{f}" for f in features], outputCol="_vector"),
             LogisticRegression(
                 featuresCol="_vector", labelCol=label, regParam=1.0 / (strength * max(n, 1)), elasticNetParam=0.0,
-                standardization=False, maxIter=max_iter,
+                standardization=False, maxIter=max_iter, tol=1e-12,
             ),
         ]
         return Pipeline(stages=stages).fit(rows)
@@ -146,18 +147,20 @@ def classify(df: DataFrame, model: PipelineModel, features: list[str]) -> DataFr
     )
 
 
-def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    pairs = df.select(F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction"))
-    return pairs.groupBy("label", "prediction").agg(F.count("*").alias("count"))
+def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction", by: list[str] = ()) -> DataFrame:
+    pairs = df.select(*by, F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction"))
+    return pairs.groupBy(*by, "label", "prediction").agg(F.count("*").alias("count"))
 
 
-def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Precision, recall, F1 and support per class, with overall accuracy and macro F1 on each row.
+def classification_report(
+    df: DataFrame, label: str = "label", prediction: str = "prediction", by: list[str] = ()
+) -> DataFrame:
+    """Precision, recall, F1 and support per class, with overall accuracy and macro F1 on each row; per group of ``by``.
 
     Rows without a prediction count as misses of their class; they are no class of their own.
     Rows without a label are left out.
     """
-    counts = confusion(df, label, prediction).filter("label IS NOT NULL")
+    counts = confusion(df, label, prediction, by).filter("label IS NOT NULL")
     hit = F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)
     sides = F.explode(
         F.array(
@@ -165,14 +168,14 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
             F.struct(F.col("prediction").alias("class"), F.lit(0).cast("bigint").alias("actual"), F.col("count").alias("claimed"), F.lit(0).cast("bigint").alias("hit")),
         )
     )
-    classes = counts.select(sides.alias("_s")).select("_s.*").filter("class IS NOT NULL").groupBy("class")
+    classes = counts.select(*by, sides.alias("_s")).select(*by, "_s.*").filter("class IS NOT NULL").groupBy(*by, "class")
     sums = classes.agg(F.sum("actual").alias("support"), F.sum("claimed").alias("claimed"), F.sum("hit").alias("hit"))
     precision = F.coalesce(F.try_divide("hit", "claimed"), F.lit(0.0))
     recall = F.coalesce(F.try_divide("hit", "support"), F.lit(0.0))
     scored = sums.withColumns({"precision": precision, "recall": recall})
     both = F.col("precision") + F.col("recall")
     scored = scored.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), both), F.lit(0.0)))
-    everything = W.partitionBy(F.lit(1))
+    everything = W.partitionBy(*by or [F.lit(1)])
     return scored.withColumns(
         {
             "accuracy": F.sum("hit").over(everything) / F.sum("support").over(everything),
@@ -236,6 +239,23 @@ def _fold_scores(
     return out
 
 
+def out_of_fold(
+    df: DataFrame, features: list[str], label: str, ids: list[str], k: int = 5, seed: int = 42,
+    scaler: dict[str, tuple[float, float]] | None = None, strength: float = 1.0,
+) -> DataFrame:
+    """Each row's ``fold``, ``chance`` of class 1 and ``prediction`` by the regression fitted to the other folds.
+
+    Labels are 0 and 1. Rows with a null feature or label are left out.
+    """
+    rows = stratified_folds(_clean(df, features, label), label, ids, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fits = logistic.fit_folds(rows, features, label, "fold", k, strength, scaler)
+    finally:
+        rows.unpersist()
+    scored = rows.withColumn("chance", logistic.chance(fits, "fold"))
+    return scored.withColumn("prediction", (F.col("chance") > 0.5).cast("int"))
+
+
 def cross_validate(
     df: DataFrame, features: list[str], label: str, ids: list[str], estimator: Estimator | None = None, k: int = 5,
     seed: int = 42, scaler: dict[str, tuple[float, float]] | None = None, parallelism: int = 4,
@@ -243,8 +263,23 @@ def cross_validate(
     """Accuracy and macro F1 over stratified folds: mean and population deviation, one row.
 
     Without an estimator a scaled logistic regression is used; its scaler is fitted
-    inside each fold unless one fitted elsewhere is passed in.
+    inside each fold unless one fitted elsewhere is passed in. With labels 0 and 1 its folds
+    share their passes over the rows; other labels are fitted fold by fold.
     """
+    if estimator is None and features:
+        rows = stratified_folds(_clean(df, features, label), label, ids, k, seed).select(*features, label, "fold")
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if rows.filter(~F.col(label).isin(0, 1)).isEmpty():
+                chance = logistic.chance(logistic.fit_folds(rows, features, label, "fold", k, scaler=scaler), "fold")
+                scored = rows.withColumn("prediction", (chance > 0.5).cast("int"))
+                report = classification_report(scored, label, by=["fold"])
+                found = report.groupBy("fold").agg(F.any_value("accuracy"), F.any_value("macro_f1")).collect()
+                accuracy, f1 = [r[1] for r in found], [r[2] for r in found]
+                score = (len(features), *(g(v) if v else None for v in (accuracy, f1) for g in (fmean, pstdev)))
+                return df.sparkSession.createDataFrame([score], _SCORES)
+        finally:
+            rows.unpersist()
 
     def fit(train: DataFrame, names: list[str]):
         if estimator is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from brokerlens.operators import features, model, stats
@@ -189,6 +190,116 @@ def m16(spark, sf):
     return model.coefficients(_fitted(spark, sf)[0], spark)
 
 
+# ---------------------------------------------------------------- decided cases
+
+# A two-valued feature and a label that goes with it in seven of ten and two of ten rows; ``echo`` is a label as a feature.
+_PARITY = f"""{CLASSES_SQL}, par AS (SELECT *, avg(label) OVER (PARTITION BY odd) AS share FROM (
+    SELECT doc_id, CAST(chars AS BIGINT) % 2 AS odd, CAST(doc_id % 10 < CASE WHEN chars % 2 = 1 THEN 7 ELSE 2 END AS INTEGER) AS label FROM cls))"""
+_WEAK = 1e9  # so weak a penalty that the fitted chance is the share of the class
+
+
+def parity(spark, sf):
+    odd = F.col("chars").cast("bigint") % 2
+    chosen = F.col("doc_id") % 10 < F.when(odd == 1, 7).otherwise(2)
+    return classes(spark, sf).select("doc_id", odd.cast("double").alias("odd"), chosen.cast("int").alias("label"))
+
+
+def echo(spark, sf):
+    return classes(spark, sf).select("doc_id", "label", F.col("label").cast("double").alias("echo"), "constant")
+
+
+@query("m12_fitted_chance", f"WITH {_PARITY} SELECT doc_id, round(share, 4) AS chance FROM par")
+def m12_chance(spark, sf):
+    rows = parity(spark, sf)
+    fitted = model.train_classifier(rows, ["odd"], LABEL, _WEAK)
+    return rounded(fitted.transform(rows).select("doc_id", vector_to_array("probability")[1].alias("chance")), ["chance"])
+
+
+@query("m13_decided", f"""WITH {_PARITY} SELECT doc_id, CASE WHEN doc_id % 11 > 0 THEN CAST(share > 0.5 AS INTEGER) END AS prediction,
+    CASE WHEN doc_id % 11 > 0 THEN round(greatest(share, 1 - share) * 100, 2) ELSE 0.0 END AS confidence,
+    CASE WHEN doc_id % 11 = 0 THEN 'UNKNOWN' WHEN share > 0.5 THEN 'BATCH_DATA_INTENSIVE' ELSE 'REAL_TIME_EVENT_DRIVEN' END AS type,
+    CASE WHEN doc_id % 11 = 0 THEN 'Missing required feature: odd' END AS error FROM par""")
+def m13_decided(spark, sf):
+    rows = parity(spark, sf)
+    fitted = model.train_classifier(rows, ["odd"], LABEL, _WEAK)
+    gaps = rows.withColumn("odd", F.when(F.col("doc_id") % 11 != 0, F.col("odd")))
+    out = model.classify(gaps, fitted, ["odd"]).select("doc_id", "prediction", "confidence", "type", "error")
+    return rounded(out, ["confidence"], 2)
+
+
+@query("m15_out_of_fold", f"WITH {_PARITY} SELECT doc_id, CAST(share > 0.5 AS INTEGER) AS prediction FROM par")
+def m15_out_of_fold(spark, sf):
+    return model.out_of_fold(parity(spark, sf), ["odd"], LABEL, IDS).select("doc_id", "prediction")
+
+
+# With nothing to go by every fold predicts the commoner class, and folds differ by a row at most.
+_MAJORITY = f"""{CLASSES_SQL}, cn AS (SELECT label, count(*) AS n FROM cls GROUP BY label),
+    fo AS (SELECT f, label, n // 5 + CAST(f BETWEEN 1 AND n % 5 AS INTEGER) AS n FROM cn CROSS JOIN range(5) r(f)),
+    ac AS (SELECT f, arg_max(n, a) / sum(n) AS p, count(*) AS kinds FROM fo JOIN (SELECT label, n AS a FROM cn) USING (label) WHERE n > 0 GROUP BY f),
+    ma AS (SELECT avg(p) AS accuracy, stddev_pop(p) AS accuracy_std, avg(2 * p / (1 + p) / kinds) AS f1, stddev_pop(2 * p / (1 + p) / kinds) AS f1_std FROM ac)"""
+_CV = "round({0}, 6) AS accuracy_mean, round({1}, 6) AS accuracy_std, round({2}, 6) AS f1_mean, round({3}, 6) AS f1_std"
+_CV_COLUMNS = ["accuracy_mean", "accuracy_std", "f1_mean", "f1_std"]
+
+
+@query("m15_majority_cv", f"WITH {_MAJORITY} SELECT 1 AS n_features, {_CV.format('accuracy', 'accuracy_std', 'f1', 'f1_std')} FROM ma")
+def m15_majority(spark, sf):
+    return rounded(model.cross_validate(echo(spark, sf), ["constant"], LABEL, IDS), _CV_COLUMNS, 6)
+
+
+@query("m16_two_valued", f"""WITH {_PARITY}, sh AS (SELECT max(share) FILTER (odd = 1) AS p, max(share) FILTER (odd = 0) AS q, stddev_pop(odd) AS s FROM par)
+    SELECT 'odd' AS feature, round(s * (ln(p / (1 - p)) - ln(q / (1 - q))), 3) AS coefficient FROM sh""")
+def m16_two_valued(spark, sf):
+    fitted = model.train_classifier(parity(spark, sf), ["odd"], LABEL, _WEAK)
+    return rounded(model.coefficients(fitted, spark), ["coefficient"], 3)
+
+
+@query("m16_gradient", " UNION ALL ".join(f"SELECT '{f}' AS feature, 0.0::DOUBLE AS gradient" for f in CLASS_FEATURES))
+def m16_gradient(spark, sf):
+    """The slope of the penalised loss a row, at the fitted coefficients: nothing at the optimum."""
+    rows = classes(spark, sf)
+    fitted = model.train_classifier(rows, CLASS_FEATURES, LABEL)
+    weight = {r["feature"]: r["coefficient"] for r in model.coefficients(fitted, spark).collect()}
+    miss = vector_to_array("probability")[1] - F.col(LABEL)
+    slopes = fitted.transform(rows).agg(*[(F.avg(miss * F.col(f"_scaled_{f}")) + F.lit(weight[f]) / F.count("*")).alias(f) for f in CLASS_FEATURES])
+    long = slopes.unpivot([], CLASS_FEATURES, "feature", "gradient")
+    return long.withColumn("gradient", F.round("gradient", 5) + 0.0)
+
+
+@query("m5_decided", " UNION ALL ".join(
+    f"SELECT {t}::DOUBLE AS threshold, 'echo' AS features, 1 AS n_features, 1.0::DOUBLE AS accuracy_mean, 0.0::DOUBLE AS accuracy_std, 1.0::DOUBLE AS f1_mean, 0.0::DOUBLE AS f1_std" for t in model.THRESHOLDS))
+def m5_decided(spark, sf):
+    rows = echo(spark, sf)
+    found = features.aggregate_scores(features.feature_scores(rows, ["echo", "constant"], LABEL))
+    return model.threshold_sweep(rows, found, LABEL, IDS, trees=10, depth=3)
+
+
+@query("m5_sets", f"""WITH {_RANKED} {_BINNED}, nm AS (SELECT sp.feature, spearman / max(spearman) OVER () + mi / max(mi) OVER () AS score FROM sp JOIN mi ON sp.feature = mi.feature)
+    SELECT t AS threshold, coalesce(string_agg(feature, ', ' ORDER BY feature) FILTER (score > t), 'None') AS features, CAST(count(*) FILTER (score > t) AS INTEGER) AS n_features
+    FROM nm CROSS JOIN (SELECT unnest({model.THRESHOLDS})::DOUBLE AS t) GROUP BY t""")
+def m5_sets(spark, sf):
+    rows = classes(spark, sf)
+    return model.threshold_sweep(rows, scores(rows), LABEL, IDS, trees=1, depth=1, k=2).select("threshold", "features", "n_features")
+
+
+@query("m6_majority_cv", f"WITH {_MAJORITY} SELECT 1 AS n_features, {_CV.format('accuracy', 'accuracy_std', 'f1', 'f1_std')} FROM ma")
+def m6_majority(spark, sf):
+    trees = model.forest(["constant"], LABEL, 20, 3)
+    return rounded(model.cross_validate(echo(spark, sf), ["constant"], LABEL, IDS, trees), _CV_COLUMNS, 6)
+
+
+@query("m7_decided", "SELECT 'echo' AS feature, 1.0::DOUBLE AS importance UNION ALL SELECT 'constant', 0.0")
+def m7_decided(spark, sf):
+    fitted = model.forest(["constant", "echo"], LABEL, TREES, DEPTH).fit(echo(spark, sf))
+    return rounded(model.importances(fitted, spark), ["importance"], 6)
+
+
+@query("m8_decided", f"""WITH {_MAJORITY} SELECT 'Echo' AS feature_set, 1 AS features, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1
+    UNION ALL SELECT 'Constant', 1, round(accuracy, 6), round(f1, 6) FROM ma""")
+def m8_decided(spark, sf):
+    sets = {"Echo": ["echo"], "Constant": ["constant"]}
+    return rounded(model.compare_feature_sets(echo(spark, sf), sets, LABEL, IDS, 20, 3), ["accuracy", "f1"], 6)
+
+
 # ---------------------------------------------------------------- tests
 
 _CELLS = "cel AS (" + " UNION ALL ".join(

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from brokerlens.operators import features, model, ranks, stats, summary
+from brokerlens.operators import features, logistic, model, ranks, stats, summary
 from brokerlens.plans import workflows
 
 # Recovery seconds of a published 120-row comparison, 30 per cell.
@@ -251,6 +251,40 @@ def test_logistic_regression_reaches_the_penalised_optimum(spark, folder):
     assert out[1]["probabilities"][out[1]["type"]] == pytest.approx(out[1]["confidence"])
 
 
+@pytest.mark.parametrize("strength", [1.0, 50.0])
+def test_folds_fitted_together_equal_separate_fits(spark, strength):
+    pdf = random_classes(n=300)
+    pdf["fold"] = pdf.index % 4
+    pdf["shifted"] = pdf["b"] * 1e-3 + 1e6
+    names = ["a", "shifted"]
+    fits = logistic.fit_folds(spark.createDataFrame(pdf), names, "label", "fold", 4, strength)
+    for fold, fit in enumerate(fits):
+        train = pdf[pdf.fold != fold]
+        mean, std = train[names].mean(), train[names].std(ddof=0)
+        assert fit.mean == pytest.approx(tuple(mean)) and fit.std == pytest.approx(tuple(std), rel=1e-6)
+        expected = newton(((train[names] - mean) / std).to_numpy(), train.label.to_numpy(), strength)
+        assert [*fit.weights, fit.intercept] == pytest.approx(list(expected), abs=1e-5)
+    both = model.cross_validate(spark.createDataFrame(pdf), names, "label", ["id"], k=4).first()
+    rows = model.out_of_fold(spark.createDataFrame(pdf), names, "label", ["id"], k=4).toPandas()
+    hits = (rows.label == rows.prediction).groupby(rows.fold).mean()
+    assert (both["accuracy_mean"], both["accuracy_std"]) == pytest.approx((hits.mean(), hits.std(ddof=0)))
+
+
+def test_regressions_of_odd_tables(spark):
+    schema = "x double, flat double, label int, fold int"
+    split = [(float(i), 7.1, int(i >= 20), i % 2) for i in range(40)]  # separable, with a constant column
+    (fit,) = logistic.fit_folds(spark.createDataFrame(split, schema), ["x", "flat"], "label", strength=1e6)
+    chance = spark.createDataFrame(split, schema).select("label", logistic.chance([fit]).alias("p")).collect()
+    assert all(abs(r["p"] - r["label"]) < 0.1 for r in chance) and fit.std[1] == 1.0 and abs(fit.weights[1]) < 1e-6
+    fits = logistic.fit_folds(spark.createDataFrame([(1.0, 1.0, 1, 0), (2.0, 1.0, 1, 0)], schema), ["x"], "label", "fold", 2)
+    assert fits[0].raw == [0.0, 0.0]  # no rows but its own
+    assert logistic.chance(fits, "fold") is not None and fits[1].intercept > 10  # one class only
+    three = spark.createDataFrame([(i, float(i % 3), i % 3) for i in range(60)], "id int, x double, label int")
+    assert model.cross_validate(three, ["x"], "label", ["id"], k=2).first()["accuracy_mean"] > 0.6
+    empty = model.cross_validate(three.filter("id < 0"), ["x"], "label", ["id"], k=2).first()
+    assert tuple(empty) == (1, None, None, None, None)
+
+
 def test_report(spark):
     rows = spark.createDataFrame([(0, 0), (0, 0), (0, 1), (1, 1), (2, 1)], "label int, prediction int")
     out = {r["class"]: r for r in model.classification_report(rows).collect()}
