@@ -26,23 +26,31 @@ def _struct(**parts: Column) -> Column:
 
 
 def _summary(points: Column) -> Column:
-    """What a bucket keeps of its samples, an array of (us, value); of several of an instant the highest counts."""
-    ordered = F.array_sort(points)
-    # Sorted by (us, value): the last of each instant is the highest.
-    known = F.filter(ordered, lambda p, i: F.coalesce(F.get(ordered, i + 1)["us"] != p["us"], F.lit(True)))
-    start = F.get(known, F.lit(0))
+    """What a bucket keeps of its samples, an array of (us, value); of several of an instant the highest counts.
+
+    One pass over the sorted samples: ``before`` and ``gained`` are the value and the increase up to the instant before
+    the last, from which a further, higher sample of the last instant counts anew.
+    """
 
     def follow(state: Column, p: Column) -> Column:
-        return _struct(
-            n=state["n"] + 1, first=state["first"], first_us=state["first_us"], last=p["value"], last_us=p["us"],
-            increase=state["increase"] + _rise(state["last"], p["value"]),
+        again = F.coalesce(state["last_us"] == p["us"], F.lit(False))
+        before = F.when(again, state["before"]).otherwise(state["last"])
+        gained = F.when(again, state["gained"]).otherwise(state["increase"])
+        return F.struct(
+            F.when(again, state["n"]).otherwise(state["n"] + 1).alias("n"),
+            F.when(before.isNull(), p["value"]).otherwise(state["first"]).alias("first"),
+            p["value"].alias("last"),
+            F.coalesce(state["first_us"], p["us"]).alias("first_us"),
+            p["us"].alias("last_us"),
+            F.when(before.isNull(), F.lit(0.0)).otherwise(gained + _rise(before, p["value"])).alias("increase"),
+            before.alias("before"),
+            gained.alias("gained"),
         )
 
-    begin = _struct(
-        n=F.lit(1).cast("long"), first=start["value"], first_us=start["us"], last=start["value"], last_us=start["us"],
-        increase=F.lit(0.0),
-    )
-    return F.aggregate(F.slice(known, 2, F.greatest(F.size(known) - 1, F.lit(0))), begin, follow)
+    kinds = {"n": "0L", "increase": "0D", "gained": "0D", "first_us": "CAST(NULL AS BIGINT)", "last_us": "CAST(NULL AS BIGINT)"}
+    begin = F.struct(*[F.expr(kinds.get(n, "CAST(NULL AS DOUBLE)")).alias(n) for n in (*_KEPT, "before", "gained")])
+    # Sorted by (us, value): the last of each instant is the highest.
+    return F.aggregate(F.sort_array(points), begin, follow, lambda state: _struct(**{n: state[n] for n in _KEPT}))
 
 
 def _merged(buckets: Column) -> Column:
