@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brokerlens.functions.rules import select_strategy
+from brokerlens.plans import q_streams
 from brokerlens.operators import sequence, series
 from brokerlens.schemas import MODEL_FEATURES
 from brokerlens.sources import readers, sinks
@@ -245,3 +246,24 @@ def test_a_dense_bucket_is_summed_up_in_one_pass(spark):
     assert time.monotonic() - begun < 30
     one = (1, 2.0, 2.0, 5, 5, 0.0)
     assert got == [(len(known), known[0][1], known[-1][1], known[0][0], known[-1][0], rise), one, one]
+
+
+def test_waiting_rows_are_one_small_value_of_the_state(spark, folder):
+    schema = "k string, ts timestamp, value string"
+    rows = [("a", at(t / 100), "x" if t % 2 else "y") for t in range(20_000)]
+    stream = jobs.change_stream(feed(spark, folder, rows, schema, 1), ["k"])
+    query = jobs.run_available(sinks.append_stream(stream, f"{folder}/out", f"{folder}/state"), 300)
+    state = query.lastProgress["stateOperators"][0]
+    # All of them wait: the watermark is 10 minutes behind.
+    assert state["numRowsTotal"] == 1 and state["memoryUsedBytes"] < 20_000 * 10
+
+
+def test_large_tables_come_as_more_files(spark, folder):
+    rows = [(i, at(i * 40), None if i % 5 == 0 else "x") for i in range(1000)] + [(1000, None, "y")]
+    table = spark.createDataFrame(rows, "id long, ts timestamp, v string").repartition(3)
+    stream = q_streams.shuffled(spark, table, "many", most=100)
+    query = jobs.run_available(sinks.append_stream(stream, f"{folder}/out", f"{folder}/state"), 300)
+    out = [tuple(r) for r in spark.read.schema(table.schema).parquet(f"{folder}/out").collect()]
+    assert sorted(map(str, out)) == sorted(map(str, [*rows, (None, at(999 * 40 + 86_400), None)]))
+    batches = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(batches) == 12 and max(batches) < 130
