@@ -185,18 +185,20 @@ def classification_report(
 
 
 def forest(features: list[str], label: str, trees: int = 100, depth: int = 12, seed: int = 42) -> Pipeline:
+    """Each row's node in every tree is kept from level to level, so that no level walks the trees from their roots."""
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=features, outputCol="_vector"),
             RandomForestClassifier(
                 featuresCol="_vector", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed,
-                featureSubsetStrategy="sqrt",
+                featureSubsetStrategy="sqrt", cacheNodeIds=True, checkpointInterval=-1,
             ),
         ]
     )
 
 
-
+#: Rows of a partition when folds are scored; a smaller table stays as it is.
+DEALT = 50_000
 
 _SCORES = "n_features int, accuracy_mean double, accuracy_std double, f1_mean double, f1_std double"
 
@@ -207,7 +209,8 @@ def _fold_scores(
     """Scores of every feature set over the same stratified folds.
 
     Fits of all sets and folds are independent jobs, so several run at a time;
-    each one is distributed by Spark. Rows are reduced to the needed columns and kept.
+    each one is distributed by Spark. Rows are reduced to the needed columns and kept; those of
+    a large table are dealt out evenly, since folds leave whole classes in one partition.
     """
     names = sorted({f for features in sets for f in features})
     if not names:
@@ -224,7 +227,7 @@ def _fold_scores(
 
     jobs = [(i, fold) for i, features in enumerate(sets) if features for fold in range(k)]
     try:
-        rows.count()
+        rows = _dealt(rows)
         with ThreadPool(parallelism) as pool:
             scores = dict(zip(jobs, pool.map(inheritable_thread_target(score), jobs)))
     finally:
@@ -239,6 +242,17 @@ def _fold_scores(
     return out
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Kept rows in partitions of about ``DEALT``; kept again if they had to be dealt out."""
+    n = rows.count()
+    if n <= DEALT:
+        return rows
+    even = rows.repartition(-(-n // DEALT)).persist(StorageLevel.MEMORY_AND_DISK)
+    even.count()
+    rows.unpersist()
+    return even
+
+
 def out_of_fold(
     df: DataFrame, features: list[str], label: str, ids: list[str], k: int = 5, seed: int = 42,
     scaler: dict[str, tuple[float, float]] | None = None, strength: float = 1.0,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -30,6 +33,16 @@ def classes(spark, sf):
     return views.classes(spark, sf)
 
 
+@contextmanager
+def kept_classes(spark, sf):
+    """The feature rows, kept while a query passes over them again and again: texts are read once."""
+    rows = classes(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 @query("m1_spearman", f"WITH {_RANKED} SELECT feature, round(spearman, 6) AS spearman FROM sp")
 def m1(spark, sf):
     return rounded(features.spearman(classes(spark, sf), CLASS_FEATURES, LABEL), ["spearman"], 6)
@@ -79,14 +92,15 @@ def m4(spark, sf):
 
 @query("m5_threshold_sweep")
 def m5(spark, sf):
-    rows = classes(spark, sf)
-    return model.threshold_sweep(rows, scores(rows), LABEL, IDS, trees=TREES, depth=DEPTH)
+    with kept_classes(spark, sf) as rows:
+        return model.threshold_sweep(rows, scores(rows), LABEL, IDS, trees=TREES, depth=DEPTH)
 
 
 @query("m6_forest_cv")
 def m6(spark, sf):
     whole = model.forest(CLASS_FEATURES, LABEL, TREES, DEPTH)
-    return model.cross_validate(classes(spark, sf), CLASS_FEATURES, LABEL, IDS, whole)
+    with kept_classes(spark, sf) as rows:
+        return model.cross_validate(rows, CLASS_FEATURES, LABEL, IDS, whole)
 
 
 @query("m7_importances")
@@ -97,10 +111,10 @@ def m7(spark, sf):
 
 @query("m8_compare_sets")
 def m8(spark, sf):
-    rows = classes(spark, sf)
-    selected = features.select_features(scores(rows), 0.8).select("feature").orderBy("feature").collect()
-    sets = {"All Features": CLASS_FEATURES, "Selected Features": [r["feature"] for r in selected]}
-    return model.compare_feature_sets(rows, sets, LABEL, IDS, TREES, DEPTH)
+    with kept_classes(spark, sf) as rows:
+        selected = features.select_features(scores(rows), 0.8).select("feature").orderBy("feature").collect()
+        sets = {"All Features": CLASS_FEATURES, "Selected Features": [r["feature"] for r in selected]}
+        return model.compare_feature_sets(rows, sets, LABEL, IDS, TREES, DEPTH)
 
 
 _MATRIX = ["recovery_time_seconds", "cpu_usage_percent", "memory_usage_percent", "price"]

@@ -310,3 +310,41 @@ def test_choose_features_and_train(spark, folder):
 def test_no_features_score_zero(spark):
     df = spark.createDataFrame(random_classes())
     assert tuple(model.cross_validate(df, [], "label", ["id"]).first()) == (0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_folds_of_a_large_table_are_dealt_out_evenly(spark, monkeypatch):
+    # One class and one key hold nearly all rows, so that dealing by either would leave them in one partition.
+    df = spark.range(4000).select((F.col("id") % 3).alias("id"), F.col("id").cast("double").alias("x"), (F.col("id") % 50 == 0).cast("int").alias("label"))
+    seen = []
+
+    class Fitted:
+        def transform(self, rows):
+            return rows.withColumn("prediction", F.lit(0))
+
+    def fit(train, names):
+        seen.append([r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()])
+        return Fitted()
+
+    def scores():
+        seen.clear()
+        return model._fold_scores(df, [["x"]], "label", ["id"], fit, 4, 42, 2)
+
+    before = scores()
+    monkeypatch.setattr(model, "DEALT", 500)
+    assert scores() == before  # the same rows in the same folds
+    assert len(seen) == 4 and all(sum(sizes) == 3000 and len(sizes) == 8 and max(sizes) < 600 for sizes in seen)
+
+
+def test_forests_keep_the_nodes_of_rows(spark):
+    stage = model.forest(["a", "b"], "label", 3, 4).getStages()[-1]
+    assert stage.getCacheNodeIds() and stage.getCheckpointInterval() == -1
+
+
+def test_forest_queries_read_the_texts_once(spark, monkeypatch):
+    from brokerlens.plans import q_learning
+
+    rows = spark.createDataFrame(random_classes(n=60)).withColumnRenamed("id", "doc_id")
+    monkeypatch.setattr(q_learning, "classes", lambda spark, sf: rows)
+    with q_learning.kept_classes(spark, "") as kept:
+        assert kept.storageLevel.useMemory and kept.count() == 60
+    assert not rows.storageLevel.useMemory
