@@ -21,6 +21,8 @@ SIZE, PERCENT = 4, 85
 COUNTERS, WORDS = 1 << 16, 16
 #: Members and grams of a shard, and members of a leaf.
 BLOCK, BLOCK_GRAMS, LEAF = 2048, 1_000_000, 16
+#: Rows of shared grams that are looked at together; a group of more rows than that is kept whole.
+MET_ROWS = 1 << 17
 #: Class ids are sent to every task up to so many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -97,6 +99,15 @@ def prefix(found: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> np.n
     return found[order[: n - -(-percent * n // 100) + 1]] if n else found
 
 
+def reach(sizes: np.ndarray, places: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How far sets reach whose first gram in common with another stands at these places of their order.
+
+    Only grams from there on can be common, so two sets can link by that gram only if each one's reach is at least
+    ``percent`` times the other's size. Linked sets have a first common gram, where this holds.
+    """
+    return 100 * sizes - (100 + percent) * places
+
+
 def bitmap(found: np.ndarray, words: int) -> np.ndarray:
     """64 * ``words`` bits (a power of two), those of the set's hashes on."""
     out = np.zeros(64 * words, dtype=bool)
@@ -123,8 +134,9 @@ class Node:
 class Shard:
     """Members of a shard: set sizes, bitmaps, and the class of each, by which known links are passed over."""
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray, label: np.ndarray, home: np.ndarray, percent: int, leaf: int = LEAF):
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, label: np.ndarray, home: np.ndarray, percent: int, leaf: int = LEAF, places: np.ndarray | int = 0):
         self.sizes, self.bits, self.home, self.percent, self.leaf = sizes, bits, home, percent, leaf
+        self.reach = reach(sizes, places, percent)
         self.extra = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         self.label = np.unique(label, return_inverse=True)[1]
         self.members: dict[int, list[int]] = {}
@@ -199,6 +211,8 @@ class Shard:
         overlap += np.minimum(self.extra[rows][:, None], self.extra[others][None, :])
         smaller = np.minimum(self.sizes[rows][:, None], self.sizes[others][None, :])
         near = np.minimum(overlap, smaller) >= needed(total, self.percent)
+        near &= self.reach[rows][:, None] >= self.percent * self.sizes[others][None, :]
+        near &= self.reach[others][None, :] >= self.percent * self.sizes[rows][:, None]
         near &= self.home[rows][:, None] | self.home[others][None, :]
         near &= self.label[rows][:, None] != self.label[others][None, :]
         if own:
@@ -218,7 +232,8 @@ def possible(group: pa.Table, percent: int) -> list[tuple[int, int]]:
 def possible_in_leaves(rows: pa.RecordBatch, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The same for many groups of a leaf's size at once: pairs of rows at equal distances, all groups together."""
     bits = np.frombuffer(b"".join(rows.column("load").to_pylist()), dtype=np.uint64).reshape(rows.num_rows, -1)
-    n, comp, home = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "comp", "home"))
+    n, comp, home, place = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "comp", "home", "place"))
+    far = reach(n, place.astype(np.int64), percent)
     extra = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     left, right = [], []
     for gap in range(1, LEAF):
@@ -226,8 +241,8 @@ def possible_in_leaves(rows: pa.RecordBatch, group: np.ndarray, percent: int) ->
         if not len(a):
             break
         b = a + gap
-        total, smaller = n[a] + n[b], np.minimum(n[a], n[b])
-        near = (smaller >= needed(total, percent)) & (comp[a] != comp[b]) & (home[a] | home[b])
+        total = n[a] + n[b]
+        near = (far[a] >= percent * n[b]) & (far[b] >= percent * n[a]) & (comp[a] != comp[b]) & (home[a] | home[b])
         a, b, total = a[near], b[near], total[near]
         overlap = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(extra[a], extra[b])
         near = overlap >= needed(total, percent)
@@ -256,21 +271,57 @@ def certain(group: pa.Table, percent: int, size: int) -> list[tuple[int, int]]:
 
 def _shard(group: pa.Table, bits: np.ndarray, percent: int) -> Shard:
     column = lambda name: group.column(name).to_numpy()
-    return Shard(column("n").astype(np.int64), bits, column("comp"), column("home"), percent)
+    return Shard(column("n").astype(np.int64), bits, column("comp"), column("home"), percent, places=column("place").astype(np.int64))
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (least, node) that connect what the links (a, b) connect, each node to the least it reaches."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        np.minimum.at(label, high, low)
+        while (label != label[label]).any():
+            label = label[label]
+        open_ = label[x] != label[y]
+        x, y = x[open_], y[open_]
+    rest = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[rest]], nodes[rest]
+
+
+def met(sizes: np.ndarray, places: np.ndarray, group: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether a member of a group (numbered from 0 upwards) has another one in it that both reaches allow."""
+    order = np.lexsort((sizes, group))
+    n, grp = sizes[order], group[order]
+    far = reach(n, places[order], percent)
+    # By size: those small enough for a member's reach come first in its group, and the best reach of these decides.
+    span = int(max(n.max(), far.max() // percent)) + 2
+    ends = np.searchsorted(grp * span + n, grp * span + np.maximum(far // percent, -1), side="right") - 1
+    step = int(far.max() - far.min()) + 1
+    lift = grp * step + (far - far.min())
+    best = np.maximum.accumulate(lift)
+    second = np.maximum.accumulate(np.minimum(np.concatenate([[-1], best[:-1]]), lift))
+    # A member counts for others only; the best of the group before lies below all of this one.
+    own = (ends >= np.arange(len(n))) & (best[ends] == lift)
+    other = np.where(own, second[ends], best[ends]) - grp * step
+    out = np.zeros(len(n), dtype=bool)
+    out[order] = (ends >= 0) & (other >= 0) & (other + far.min() >= percent * n)
+    return out
 
 
 # Shards in Spark
 
 
 def by_group(find: Callable[[pa.Table], list[tuple[int, int]]], in_leaves=None):
-    """A ``mapInArrow`` function over partitions sorted by (grp, block): links (a, b) of each group of rows.
+    """A ``mapInArrow`` function over partitions sorted by (grp, block): links (a, b) that connect what each group's links do.
 
     Groups that fit a leaf and end within their batch are handed to ``in_leaves`` together, if given.
     """
 
     def made(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        pairs = np.unique(np.stack([ids[a], ids[b]], axis=1), axis=0)
-        return pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
+        least, node = stars(ids[a], ids[b])
+        return pa.RecordBatch.from_pydict({"a": pa.array(least, pa.int64()), "b": pa.array(node, pa.int64())})
 
     def links(group: pa.Table) -> Iterator[pa.RecordBatch]:
         if group.num_rows > 1:
@@ -307,9 +358,56 @@ def by_group(find: Callable[[pa.Table], list[tuple[int, int]]], in_leaves=None):
     return run
 
 
+def by_reach(percent: int, most: int = MET_ROWS):
+    """A ``mapInArrow`` function over partitions sorted by grp: the rows (grp, id, n, place) that ``met`` keeps.
+
+    Groups of more than ``most`` rows pass whole, so a task holds about that many rows.
+    """
+
+    def kept(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        grp, n, place = (rows.column(c).to_numpy() for c in ("grp", "n", "place"))
+        number = np.cumsum(np.append(0, grp[1:] != grp[:-1]))
+        some = np.flatnonzero((np.bincount(number) > 1)[number])
+        if len(some):
+            some = some[met(n[some].astype(np.int64), place[some].astype(np.int64), number[some], percent)]
+            yield from rows.take(pa.array(some)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count, passing = 0, None
+        for batch in batches:
+            grp = batch.column("grp").to_numpy()
+            if passing is not None:
+                end = int(np.searchsorted(grp, passing, side="right"))
+                if end:
+                    yield batch.slice(0, end)
+                if end == len(grp):
+                    continue
+                batch, grp, passing = batch.slice(end), grp[end:], None
+            if not len(grp):
+                continue
+            held.append(batch)
+            count += len(grp)
+            if count < most:
+                continue
+            rows = pa.Table.from_batches(held)
+            start = int(np.searchsorted(rows.column("grp").to_numpy(), grp[-1]))
+            if start:
+                yield from kept(rows.slice(0, start))
+                held = rows.slice(start).to_batches()
+                count -= start
+            if count >= most:
+                yield from held
+                held, count, passing = [], 0, grp[-1]
+        if held:
+            yield from kept(pa.Table.from_batches(held))
+
+    return run
+
+
 def _searched(rows: DataFrame, loads: DataFrame, find: tuple) -> DataFrame:
-    """(a, b) of the rows (grp, block, id, n, comp, home), each with its load."""
-    wide = rows.join(loads, [c for c in loads.columns if c != "load"]).select("grp", "block", "id", "n", "comp", "home", "load")
+    """(a, b) of the rows (grp, block, id, n, place, comp, home), each with its load."""
+    wide = rows.join(loads, [c for c in loads.columns if c != "load"]).select("grp", "block", "id", "n", "place", "comp", "home", "load")
     dealt = wide.repartition("grp", "block").sortWithinPartitions("grp", "block")
     return written(dealt.mapInArrow(by_group(*find), "a long, b long"), "links")
 
@@ -319,7 +417,9 @@ def _in_block(rows: DataFrame, salt: int) -> DataFrame:
 
 
 def forest(members: DataFrame, loads: DataFrame, find: tuple, block: int = BLOCK, grams_: int | None = None) -> DataFrame:
-    """Links (a, b) among members (grp, id, n, comp) of equal ``grp`` that connect, with comp, what all links connect.
+    """Links (a, b) among members (grp, id, n, place, comp) of equal ``grp`` that connect, with comp, what all links connect.
+
+    ``place`` is where the group's gram stands in the order of a member's set (0: the group has no such gram).
 
     A group of up to ``block`` members (and ``grams_`` grams) is one shard. A larger one is dealt to blocks by a hash
     of the ids, and again by another hash; then only members outside its largest class so far can lack a link, and
@@ -405,15 +505,17 @@ def class_links(rows: DataFrame, classes: DataFrame, size: int = SIZE, percent:
     """(a, b): links between classes of equal sets, of ``rows`` from ``with_sets``, connecting all that are linked."""
     total = classes.count()
     own = _chosen(rows, classes.select("id"), total)
-    entries = own.select(F.col("row").alias("id"), "n", F.posexplode("first").alias("place", "grp"))
-    entries = written(entries, "entries")
-    shared = entries.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    entries = written(entries.join(shared, "grp"), "shared")
+    # A gram's upper 40 bits name its group: they take less room, and sets that meet for nothing are not linked.
+    entries = own.select(F.col("row").alias("id"), "n", F.posexplode("first").alias("place", "gram"))
+    entries = entries.select(F.shiftright("gram", 24).alias("grp"), "id", F.col("n").cast("int"), "place")
+    dealt = entries.repartition("grp").sortWithinPartitions("grp")
+    entries = written(dealt.mapInArrow(by_reach(percent), "grp long, id long, n int, place int"), "shared")
+    entries = entries.withColumn("n", F.col("n").cast("long"))
     bits = own.select(F.col("row").alias("id"), F.col("bits").alias("load"))
     allowed = (lambda group: possible(group, percent)), (lambda rows, group: possible_in_leaves(rows, group, percent))
     # Sets that agree in their first gram, mostly copies, make classes; other grams matter where classes meet.
-    links = forest(entries.where("place = 0").select("grp", "id", "n", F.col("id").alias("comp")), bits, allowed, block)
-    entries = written(classed(entries.select("grp", "id", "n", F.col("id").alias("comp")), links).drop("old"), "shared")
+    links = forest(entries.where("place = 0").select("grp", "id", "n", "place", F.col("id").alias("comp")), bits, allowed, block)
+    entries = written(classed(entries.select("grp", "id", "n", "place", F.col("id").alias("comp")), links).drop("old"), "shared")
     meeting = entries.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     links = links.unionAll(forest(entries.join(meeting.select("grp"), "grp"), bits, allowed, block))
     near = written(_clusters(links), "near")
@@ -421,9 +523,9 @@ def class_links(rows: DataFrame, classes: DataFrame, size: int = SIZE, percent:
     texts = written(chosen.select(F.col("row").alias("id"), "n", "load"), "texts")
     # Long sets fill the stored bitmaps: what they connect is looked at again with bitmaps as wide as sets need.
     wide = written(texts.mapInArrow(_wide(size, percent), "id long, n long, width long, load binary"), "wide")
-    members = near.join(wide.drop("load"), "id").select(F.concat_ws(":", "grp", "width").alias("grp"), "id", "n", F.col("id").alias("comp"), "width")
+    members = near.join(wide.drop("load"), "id").select(F.concat_ws(":", "grp", "width").alias("grp"), "id", "n", F.lit(0).alias("place"), F.col("id").alias("comp"), "width")
     near = _clusters(forest(members, wide.drop("n"), allowed[:1], block, 16 * BLOCK_GRAMS))
-    members = near.join(texts.select("id", "n"), "id").select("grp", "id", "n", F.col("id").alias("comp"))
+    members = near.join(texts.select("id", "n"), "id").select("grp", "id", "n", F.lit(0).alias("place"), F.col("id").alias("comp"))
     return forest(members, texts.drop("n"), (lambda group: certain(group, percent, size),), block, BLOCK_GRAMS)
 
 

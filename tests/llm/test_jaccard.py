@@ -130,3 +130,33 @@ def test_groups_that_cross_batches():
     for step, run in itertools.product((1, 2, 5, 12), (jaccard.by_group(find), jaccard.by_group(find, count))):
         out = [b for b in run(iter([whole.slice(i, step) for i in range(0, 12, step)]))]
         assert sorted((a, b) for batch in out for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())) == [(g * 10, g * 10 + 2) for g in range(4)]
+
+
+@pytest.mark.parametrize("percent", [50, 85, 100])
+def test_members_within_reach_are_those_of_a_pair_within_reach(percent):
+    rng = np.random.default_rng(percent)
+    group = np.sort(rng.integers(0, 150, 600))
+    sizes = rng.integers(1, 60, 600)
+    places = (rng.random(600) * (sizes - -(-percent * sizes // 100) + 1)).astype(np.int64)
+    far = [[min(sizes[i] - places[i], sizes[j] - places[j]) >= jaccard.needed(sizes[i] + sizes[j], percent) for j in range(600)] for i in range(600)]
+    near = [any(i != j and group[i] == group[j] and far[i][j] for j in range(600)) for i in range(600)]
+    assert jaccard.met(sizes, places, group, percent).tolist() == near and 0 < sum(near) < 600
+
+
+@pytest.mark.parametrize("step", [1, 3, 7, 40])
+@pytest.mark.parametrize("most", [4, 10, 100])
+def test_groups_are_kept_alike_however_their_rows_arrive(step, most):
+    # Groups of one row, of two within reach, of two that stand too late in their sets for each other, and a large one.
+    rows = [(0, 1, 100, 0), (1, 2, 100, 0), (1, 3, 99, 3), (2, 4, 100, 0), (2, 5, 100, 15)] + [(3, i, 50, 0) for i in range(6, 18)]
+    rows += [(4, 18, 10, 0), (5, 19, 20, 1), (5, 20, 20, 1)]
+    batch = pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in rows], pa.int64()) for k, name in enumerate(("grp", "id", "n", "place"))})
+    out = jaccard.by_reach(85, most)(iter([batch.slice(i, step) for i in range(0, len(rows), step)]))
+    assert sorted(x for b in out for x in b["id"].to_pylist()) == [2, 3, *range(6, 18), 19, 20]
+
+
+def test_links_of_a_chain_become_a_star():
+    order = np.random.default_rng(0).permutation(500)
+    a, b = jaccard.stars(order[:-1] * 3, order[1:] * 3)
+    assert a.tolist() == [0] * 499 and sorted(b.tolist()) == [3 * i for i in range(1, 500)]
+    a, b = jaccard.stars(np.array([5, 9, 7, 7]), np.array([9, 5, 8, 7]))
+    assert sorted(zip(a.tolist(), b.tolist())) == [(5, 9), (7, 8)]
