@@ -17,7 +17,8 @@ from brokerlens.llm.common import PART_BYTES, free_name, per_batch, slices, writ
 from brokerlens.llm.components import components
 
 SIZE, PERCENT = 4, 85
-#: Counters of grams by the upper bits of their hashes, and the 64-bit words of a class's stored bitmap.
+#: Counters of grams by the upper bits of their hashes, and the 64-bit words of a class's stored bitmap. Sets of up to as
+#: many grams as it has bits have one; larger ones have a byte to count every 8 to 16 grams.
 COUNTERS, WORDS = 1 << 16, 16
 #: Members and grams of a shard, and members of a leaf.
 BLOCK, BLOCK_GRAMS, LEAF = 2048, 1_000_000, 16
@@ -115,12 +116,54 @@ def bitmap(found: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(out, bitorder="little").view(np.uint64)
 
 
+def scale(n: int) -> int:
+    """0 for sets whose signature is a bitmap; then one more for every doubling of the size."""
+    return ((n - 1) // (64 * WORDS)).bit_length() if n else 0
+
+
+def signature(found: np.ndarray, at: int) -> bytes:
+    """What a set tells of its grams at a scale: a bitmap, or counts by their hashes (up to 255, which ``extra`` makes up for).
+
+    A bitmap of a set much larger than its bits is all ones and lets every pair pass. Two unrelated sets have different
+    counts of most remainders, so the sum of the smaller ones stays below the overlap that a link needs.
+    """
+    if not at:
+        return bitmap(found, WORDS).tobytes()
+    count = 4 * WORDS << at
+    return np.minimum(np.bincount((found & np.uint64(count - 1)).astype(np.int64), minlength=count), 255).astype(np.uint8).tobytes()
+
+
+def signatures(found: np.ndarray, percent: int = PERCENT) -> list[tuple[int, bytes]]:
+    """(scale, signature) at the scales from that of the set to that of the largest set it may link.
+
+    Two sets that may link have one scale in common, that of the larger.
+    """
+    n = len(found)
+    return [(at, signature(found, at)) for at in range(scale(n), scale(n * 100 // percent) + 1)] if n else []
+
+
+def stacked(loads: list[bytes], counted: bool = False) -> np.ndarray:
+    """Signatures of one scale, a row each."""
+    return np.frombuffer(b"".join(loads), dtype=np.uint8 if counted else np.uint64).reshape(len(loads), -1)
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bits two signatures have in common, or the sum of the smaller counts."""
+    each = np.minimum(a, b) if a.dtype == np.uint8 else np.bitwise_count(a & b)
+    return each.sum(axis=-1, dtype=np.int64)
+
+
+def merged(rows: np.ndarray) -> np.ndarray:
+    """A signature with which none of these has more in common than with another: OR of bits, the largest counts."""
+    return np.maximum.reduce(rows, axis=0) if rows.dtype == np.uint8 else np.bitwise_or.reduce(rows, axis=0)
+
+
 # The signature tree of a shard
 
 
 @dataclass
 class Node:
-    """Members order[low:high]: their bitmaps combined by OR, the range of their sizes, and the most grams that share a bit."""
+    """Members order[low:high]: their signatures merged, the range of their sizes, and the most grams that share a bit."""
 
     low: int
     high: int
@@ -132,12 +175,12 @@ class Node:
 
 
 class Shard:
-    """Members of a shard: set sizes, bitmaps, and the class of each, by which known links are passed over."""
+    """Members of a shard: set sizes, signatures, and the class of each, by which known links are passed over."""
 
     def __init__(self, sizes: np.ndarray, bits: np.ndarray, label: np.ndarray, home: np.ndarray, percent: int, leaf: int = LEAF, places: np.ndarray | int = 0):
         self.sizes, self.bits, self.home, self.percent, self.leaf = sizes, bits, home, percent, leaf
         self.reach = reach(sizes, places, percent)
-        self.extra = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        self.extra = sizes - shared(bits, bits)
         self.label = np.unique(label, return_inverse=True)[1]
         self.members: dict[int, list[int]] = {}
         for i, c in enumerate(self.label.tolist()):
@@ -155,14 +198,14 @@ class Shard:
         self.members[a] += gone
 
     def grow(self, low: int, high: int) -> Node:
-        """Halves by size while sizes are too far apart, then by overlap with one member's bitmap, down to leaves."""
+        """Halves by size while sizes are too far apart, then by overlap with one member's signature, down to leaves."""
         rows = self.order[low:high]
-        node = Node(low, high, np.bitwise_or.reduce(self.bits[rows], axis=0), int(self.sizes[rows].min()), int(self.sizes[rows].max()), int(self.extra[rows].max()))
+        node = Node(low, high, merged(self.bits[rows]), int(self.sizes[rows].min()), int(self.sizes[rows].max()), int(self.extra[rows].max()))
         if high - low > self.leaf:
             if node.least * 100 < self.percent * node.most:
                 by = self.sizes[rows]
             else:
-                by = -np.bitwise_count(self.bits[rows] & self.bits[rows[len(rows) // 2]]).sum(axis=1, dtype=np.int64)
+                by = -shared(self.bits[rows], self.bits[rows[len(rows) // 2]])
             self.order[low:high] = rows[np.argsort(by, kind="stable")]
             middle = (low + high) // 2
             node.parts = self.grow(low, middle), self.grow(middle, high)
@@ -172,7 +215,7 @@ class Shard:
         """No member of one can link a member of the other, or all are linked already."""
         if a.most * 100 < self.percent * b.least or b.most * 100 < self.percent * a.least:
             return True
-        overlap = int(np.bitwise_count(a.bits & b.bits).sum(dtype=np.int64)) + min(a.extra, b.extra)
+        overlap = int(shared(a.bits, b.bits)) + min(a.extra, b.extra)
         if min(overlap, a.most, b.most) < needed(a.least + b.least, self.percent):
             return True
         return self.single(a, b)
@@ -205,9 +248,9 @@ class Shard:
         return self.links
 
     def meet(self, rows: np.ndarray, others: np.ndarray, own: bool, linked: Callable[[int, int], bool]) -> None:
-        """Pairs of two leaves, or of one, whose bitmaps leave room for the overlap they need."""
+        """Pairs of two leaves, or of one, whose signatures leave room for the overlap they need."""
         total = self.sizes[rows][:, None] + self.sizes[others][None, :]
-        overlap = np.bitwise_count(self.bits[rows][:, None, :] & self.bits[others][None, :, :]).sum(axis=2, dtype=np.int64)
+        overlap = shared(self.bits[rows][:, None, :], self.bits[others][None, :, :])
         overlap += np.minimum(self.extra[rows][:, None], self.extra[others][None, :])
         smaller = np.minimum(self.sizes[rows][:, None], self.sizes[others][None, :])
         near = np.minimum(overlap, smaller) >= needed(total, self.percent)
@@ -224,31 +267,33 @@ class Shard:
 
 
 def possible(group: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Links that sizes and stored bitmaps allow."""
-    bits = np.frombuffer(b"".join(group.column("load").to_pylist()), dtype=np.uint64).reshape(group.num_rows, -1)
-    return _shard(group, bits, percent).search(lambda i, j: True)
+    """Links that sizes and stored signatures allow; groups without a scale hold bitmaps."""
+    counted = "scale" in group.column_names and group.column("scale")[0].as_py() > 0
+    return _shard(group, stacked(group.column("load").to_pylist(), counted), percent).search(lambda i, j: True)
 
 
 def possible_in_leaves(rows: pa.RecordBatch, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The same for many groups of a leaf's size at once: pairs of rows at equal distances, all groups together."""
-    bits = np.frombuffer(b"".join(rows.column("load").to_pylist()), dtype=np.uint64).reshape(rows.num_rows, -1)
-    n, comp, home, place = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "comp", "home", "place"))
+    n, comp, home, place, scales = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "comp", "home", "place", "scale"))
     far = reach(n, place.astype(np.int64), percent)
-    extra = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     left, right = [], []
     for gap in range(1, LEAF):
         a = np.flatnonzero(group[:-gap] == group[gap:])
         if not len(a):
             break
         b = a + gap
-        total = n[a] + n[b]
         near = (far[a] >= percent * n[b]) & (far[b] >= percent * n[a]) & (comp[a] != comp[b]) & (home[a] | home[b])
-        a, b, total = a[near], b[near], total[near]
-        overlap = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(extra[a], extra[b])
-        near = overlap >= needed(total, percent)
         left.append(a[near])
         right.append(b[near])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+    a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
+    near = np.zeros(len(a), dtype=bool)
+    for at in np.unique(scales[a]).tolist():
+        pairs = np.flatnonzero(scales[a] == at)
+        some, flat = np.unique(np.concatenate([a[pairs], b[pairs]]), return_inverse=True)
+        marks, x, y = stacked(rows.column("load").take(pa.array(some)).to_pylist(), at > 0), flat[: len(pairs)], flat[len(pairs) :]
+        extra = n[some] - shared(marks, marks)
+        near[pairs] = shared(marks[x], marks[y]) + np.minimum(extra[x], extra[y]) >= needed(n[a[pairs]] + n[b[pairs]], percent)
+    return a[near], b[near]
 
 
 def certain(group: pa.Table, percent: int, size: int) -> list[tuple[int, int]]:
@@ -407,7 +452,9 @@ def by_reach(percent: int, most: int = MET_ROWS):
 
 def _searched(rows: DataFrame, loads: DataFrame, find: tuple) -> DataFrame:
     """(a, b) of the rows (grp, block, id, n, place, comp, home), each with its load."""
-    wide = rows.join(loads, [c for c in loads.columns if c != "load"]).select("grp", "block", "id", "n", "place", "comp", "home", "load")
+    # Loads may have a scale or width beside the id.
+    kind = [c for c in loads.columns if c not in ("id", "load")]
+    wide = rows.join(loads, ["id", *kind]).select("grp", "block", "id", "n", "place", "comp", "home", *kind, "load")
     dealt = wide.repartition("grp", "block").sortWithinPartitions("grp", "block")
     return written(dealt.mapInArrow(by_group(*find), "a long, b long"), "links")
 
@@ -480,10 +527,10 @@ def gram_ranks(docs: DataFrame, text: str, size: int) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """(row, key, load, n, high, low, first, bits): a number per row, the text compressed, the set's size, 128 bits of it, its prefix and bitmap."""
+    """(row, key, load, n, high, low, first, bits): a number per row, the text compressed, the set's size, 128 bits of it, its prefix and signatures."""
     ranks = gram_ranks(docs, text, size)
     schema = StructType([StructField("row", docs.sparkSession.range(0).schema["id"].dataType), StructField("key", docs.schema[key].dataType)])
-    for name, kind in (("load", "binary"), ("n", "long"), ("high", "long"), ("low", "long"), ("first", "array<long>"), ("bits", "binary")):
+    for name, kind in (("load", "binary"), ("n", "long"), ("high", "long"), ("low", "long"), ("first", "array<long>"), ("bits", "array<struct<scale: int, load: binary>>")):
         schema.add(name, StructType.fromDDL(f"x {kind}")["x"].dataType)
 
     def describe(rows: list, keys: list, texts: list) -> dict:
@@ -494,7 +541,7 @@ def with_sets(docs: DataFrame, key: str, text: str, size: int, percent: int) ->
             "row": rows, "key": keys, "load": list(map(pack, bodies)), "n": [len(s) for s in sets],
             "high": [int(d[0]) for d in digests], "low": [int(d[1]) for d in digests],
             "first": [prefix(s, ranks, percent).view(np.int64) for s in sets],
-            "bits": [bitmap(s, WORDS).tobytes() for s in sets],
+            "bits": [signatures(s, percent) for s in sets],
         }
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
@@ -511,13 +558,14 @@ def class_links(rows: DataFrame, classes: DataFrame, size: int = SIZE, percent:
     dealt = entries.repartition("grp").sortWithinPartitions("grp")
     entries = written(dealt.mapInArrow(by_reach(percent), "grp long, id long, n int, place int"), "shared")
     entries = entries.withColumn("n", F.col("n").cast("long"))
-    bits = own.select(F.col("row").alias("id"), F.col("bits").alias("load"))
+    bits = own.select(F.col("row").alias("id"), F.inline("bits"))
     allowed = (lambda group: possible(group, percent)), (lambda rows, group: possible_in_leaves(rows, group, percent))
     # Sets that agree in their first gram, mostly copies, make classes; other grams matter where classes meet.
-    links = forest(entries.where("place = 0").select("grp", "id", "n", "place", F.col("id").alias("comp")), bits, allowed, block)
+    first = entries.where("place = 0").select("grp", "id", "n", "place", F.col("id").alias("comp"))
+    links = forest(_at_scales(first, percent), bits, allowed, block)
     entries = written(classed(entries.select("grp", "id", "n", "place", F.col("id").alias("comp")), links).drop("old"), "shared")
     meeting = entries.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    links = links.unionAll(forest(entries.join(meeting.select("grp"), "grp"), bits, allowed, block))
+    links = links.unionAll(forest(_at_scales(entries.join(meeting.select("grp"), "grp"), percent), bits, allowed, block))
     near = written(_clusters(links), "near")
     chosen = _chosen(rows, near.select("id"), near.count())
     texts = written(chosen.select(F.col("row").alias("id"), "n", "load"), "texts")
@@ -529,6 +577,13 @@ def class_links(rows: DataFrame, classes: DataFrame, size: int = SIZE, percent:
     return forest(members, texts.drop("n"), (lambda group: certain(group, percent, size),), block, BLOCK_GRAMS)
 
 
+def _at_scales(members: DataFrame, percent: int) -> DataFrame:
+    """The members once for each scale of theirs, which makes groups of its own."""
+    size = lambda n: F.length(F.bin(F.floor((n - 1) / (64 * WORDS)))) * (n > 64 * WORDS).cast("int")
+    scales = F.sequence(size(F.col("n")), size(F.floor(F.col("n") * 100 / percent)))
+    return members.withColumn("scale", F.explode(scales)).withColumn("grp", F.col("grp") * 64 + F.col("scale"))
+
+
 def _clusters(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("component").alias("grp"), F.col("node").alias("id"))
 

@@ -160,3 +160,67 @@ def test_links_of_a_chain_become_a_star():
     assert a.tolist() == [0] * 499 and sorted(b.tolist()) == [3 * i for i in range(1, 500)]
     a, b = jaccard.stars(np.array([5, 9, 7, 7]), np.array([9, 5, 8, 7]))
     assert sorted(zip(a.tolist(), b.tolist())) == [(5, 9), (7, 8)]
+
+
+def test_no_overlap_is_larger_than_signatures_allow():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    alike = np.arange(900, dtype=np.uint64) << np.uint64(20)  # all of one remainder, more than a byte counts
+    sets = [np.unique(np.append(base[low : low + n], extra)) for low, n in ((0, 1100), (150, 1300), (0, 5000), (400, 5200), (900, 100)) for extra in (alike, base[:0])]
+    assert {jaccard.scale(len(s)) for s in sets} == {0, 1, 2, 3}
+    for at in range(5):
+        marks = jaccard.stacked([jaccard.signature(s, at) for s in sets], at > 0)
+        extra = np.array([len(s) for s in sets]) - jaccard.shared(marks, marks)
+        assert at == 0 or marks.max() == 255 and extra.max() >= 900 - 255
+        whole = jaccard.merged(marks)
+        for i, s in enumerate(sets):
+            assert jaccard.shared(marks[i], whole) == jaccard.shared(marks[i], marks[i])
+            for j, t in enumerate(sets):
+                assert len(np.intersect1d(s, t)) <= jaccard.shared(marks[i], marks[j]) + min(extra[i], extra[j])
+
+
+@pytest.mark.parametrize("percent", [30, 50, 85, 100])
+def test_sets_that_may_link_have_a_scale_in_common(spark, percent):
+    sizes = [1, 2, 869, 870, 871, 872, 1023, 1024, 1025, 1204, 1205, 1740, 1741, 2047, 2048, 2049, 2409, 4096, 4097, 70_000]
+    own = [[at for at, _ in jaccard.signatures(np.arange(n, dtype=np.uint64), percent)] for n in sizes]
+    for n, scales in zip(sizes, own):
+        for m, others in zip(sizes, own):
+            assert m * percent > n * 100 or n * percent > m * 100 or jaccard.scale(max(n, m)) in {*scales} & {*others}
+    members = spark.createDataFrame([(-7, n) for n in sizes], "grp long, n long")
+    found = {}
+    for r in jaccard._at_scales(members, percent).collect():
+        assert r["grp"] == -7 * 64 + r["scale"]
+        found.setdefault(r["n"], []).append(r["scale"])
+    assert [sorted(found[n]) for n in sizes] == own
+
+
+def test_equals_comparing_all_pairs_where_scales_meet(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    out = []
+    for size in (900, 1027, 1110, 1200, 2051, 2200, 2400):
+        for share in (0.83, 0.849, 0.851, 0.87, 0.95):
+            long = word(size)
+            near = [f"e{i}" if rng.random() < (1 - share) / 3 else w for i, w in enumerate(long)]
+            out += [long, long[: int(size * share) + 3], near]
+    rows = [(i, " ".join(words)) for i, words in enumerate(out)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted((tuple(r) for r in jaccard.linked(df).collect()), key=str) == plain(rows)
+
+
+def test_long_sets_that_only_share_a_passage_are_told_apart_in_their_groups(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage = word(150)
+    out = [word(1900) + passage for _ in range(60)]
+    out.append([*out[0][:700], "other", *out[0][701:]])
+    rows = [(i, " ".join(words)) for i, words in enumerate(out)]
+    seen = []
+    # Without ranks the passage stands anywhere in the order, as passages do that a large table's counters do not show.
+    monkeypatch.setattr(jaccard, "gram_ranks", lambda *_: np.zeros(jaccard.COUNTERS, dtype=np.uint16))
+    write = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: seen.append((name, made := write(df, name))) or made)
+    got = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain(rows)
+    met = next(df.count() for name, df in seen if name == "shared")
+    assert met > 120 and next(df.count() for name, df in seen if name == "near") == 2
