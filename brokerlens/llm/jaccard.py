@@ -507,6 +507,17 @@ def _chosen(rows: DataFrame, ids: DataFrame, count: int) -> DataFrame:
     return rows.join(F.broadcast(ids) if count * 16 <= BROADCAST_BYTES else ids, rows["row"] == ids["id"], "left_semi")
 
 
+def representatives(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows whose ``row`` is the id of their class (high, low, id, m), without those of no set.
+
+    Only classes of more than one row are looked up, and go to every task if they are small.
+    """
+    copied = classes.where("m > 1").select("high", "low", "id")
+    small = copied.count() * 32 <= BROADCAST_BYTES
+    marked = rows.where("n > 0").join(F.broadcast(copied) if small else copied, ["high", "low"], "left")
+    return marked.where("id is null or id = row").drop("id")
+
+
 def gram_ranks(docs: DataFrame, text: str, size: int) -> np.ndarray:
     """The places of the counters when ordered by how many grams of all documents they count."""
 
@@ -550,8 +561,7 @@ def with_sets(docs: DataFrame, key: str, text: str, size: int, percent: int) ->
 
 def class_links(rows: DataFrame, classes: DataFrame, size: int = SIZE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b): links between classes of equal sets, of ``rows`` from ``with_sets``, connecting all that are linked."""
-    total = classes.count()
-    own = _chosen(rows, classes.select("id"), total)
+    own = representatives(rows, classes)
     # A gram's upper 40 bits name its group: they take less room, and sets that meet for nothing are not linked.
     entries = own.select(F.col("row").alias("id"), "n", F.posexplode("first").alias("place", "gram"))
     entries = entries.select(F.shiftright("gram", 24).alias("grp"), "id", F.col("n").cast("int"), "place")
@@ -627,7 +637,7 @@ def linked(
     """
     names = [key, free_name([key], "n_shingles"), free_name([key], "component_id")]
     rows = with_sets(docs, key, text, size, percent)
-    classes = rows.where("n > 0").groupBy("high", "low").agg(F.min("row").alias("id"), F.min("key").alias("least"))
+    classes = rows.where("n > 0").groupBy("high", "low").agg(F.min("row").alias("id"), F.min("key").alias("least"), F.count("*").alias("m"))
     classes = written(classes, "classes")
     links = class_links(rows, classes, size, percent, block)
     found = written(components(links), "found")

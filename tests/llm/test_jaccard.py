@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from brokerlens.llm import jaccard
 
@@ -224,3 +225,13 @@ def test_long_sets_that_only_share_a_passage_are_told_apart_in_their_groups(spar
     assert sorted((tuple(r) for r in got), key=str) == plain(rows)
     met = next(df.count() for name, df in seen if name == "shared")
     assert met > 120 and next(df.count() for name, df in seen if name == "near") == 2
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_one_row_stands_for_equal_sets(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", most)
+    rows = [(4, 1, 7, 7), (1, 1, 7, 7), (9, 1, 7, 8), (2, 3, 5, 7), (3, 3, 5, 7), (0, 0, 6, 6), (8, 0, 6, 6), (6, 2, 9, 9)]
+    df = spark.createDataFrame(rows, "row long, n long, high long, low long").repartition(3)
+    classes = df.where("n > 0").groupBy("high", "low").agg(F.min("row").alias("id"), F.count("*").alias("m"))
+    out = jaccard.representatives(df, classes)
+    assert sorted((r["row"], r["n"], r["high"], r["low"]) for r in out.collect()) == [(1, 1, 7, 7), (2, 3, 5, 7), (6, 2, 9, 9), (9, 1, 7, 8)]
